@@ -60,12 +60,17 @@ def decide(analysis: DataFrame) -> DataFrame:
     return analysis.withColumn("action", action).withColumn("reason", reason)
 
 
+def _percent(name: str, digits: int) -> Column:
+    """Share as a percentage; ties go to the even digit before the text is formatted."""
+    return F.bround(F.col(name) * 100, digits)
+
+
 def recommendation_text() -> Column:
     return F.format_string(
         fv.RECOMMENDATION_FORMAT,
         F.col("bias_direction"),
-        F.col("avg_deviation") * 100,
-        F.col("failure_rate") * 100,
+        _percent("avg_deviation", 2),
+        _percent("failure_rate", 1),
         F.col("failure_count"),
         F.col("total_samples"),
     )
@@ -93,7 +98,7 @@ def corrected_content(content: Column, event: str = "event") -> Column:
         e("bias_direction"),
         e("recommendation"),
         e("bias_direction"),
-        e("failure_rate") * 100,
+        _percent(f"{event}.failure_rate", 0),
     )
     return F.concat(content, block)
 

@@ -24,9 +24,13 @@ def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = KEYS)
 
 
 def replace_dates(rows: DataFrame, path: str) -> None:
-    """Write whole dates; only dates present in ``rows`` are replaced."""
+    """Write whole dates; only dates present in ``rows`` are replaced.
+
+    The rebalance hint gathers a date's rows for few files per folder and,
+    with AQE, splits a date that is much larger than the others.
+    """
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", "date").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)

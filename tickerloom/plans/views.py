@@ -88,7 +88,7 @@ VIEWS["v_eod_base"] = (
 )
 VIEWS["v_eod"] = f"""
 SELECT symbol, ord, qty,
-  CASE WHEN ord % 97 = 11 THEN NULL ELSE day END AS date,
+  CASE WHEN ord % 97 = 11 AND symbol LIKE '%7' THEN NULL ELSE day END AS date,
   CASE WHEN ord % 23 = 0 THEN NULL WHEN ord % 19 = 0 THEN CAST(0 AS DOUBLE)
        ELSE CAST(px AS DOUBLE) / CAST(100 AS DOUBLE) END AS close,
   CASE WHEN ord % 46 = 0 THEN NULL ELSE CAST(px - 1 AS DOUBLE) / CAST(100 AS DOUBLE) END AS adj_close
