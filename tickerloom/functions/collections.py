@@ -46,3 +46,13 @@ def strict_json(c: Column) -> Column:
     and counting one element rejects it.
     """
     return F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False))
+
+
+def once(c: Column) -> Column:
+    """Evaluate an expensive expression exactly once per row.
+
+    As a one-element explode it stays a separate step of the plan: filters and
+    later columns refer to its result, and the optimizer cannot copy the
+    expression into each of them.
+    """
+    return F.explode(F.array(c))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
-from tickerloom.functions.collections import strict_json
+from tickerloom.functions.collections import once, strict_json
 from tickerloom.sources.scans import stored_metrics
 
 
@@ -91,7 +91,7 @@ def read_forecasts(requests: DataFrame, metrics: DataFrame) -> DataFrame:
     text = F.col("metrics_json")
     found = stored_metrics(requests, metrics)
     body = F.when(strict_json(text), F.try_parse_json(text))
-    parsed = found.withColumn("body", body)
+    parsed = found.withColumn("body", once(body))
     is_object = F.coalesce(F.schema_of_variant("body").startswith("OBJECT"), F.lit(False))
     status = F.when(text.isNull(), "missing_metrics").when(~is_object, "invalid_metrics")
     return (

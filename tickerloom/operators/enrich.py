@@ -65,6 +65,16 @@ STATEMENTS.remove("analyst_estimates_annual")
 
 # --- macro bundle -------------------------------------------------------------
 
+def macro_as_of(macro: DataFrame, as_of: date | str) -> DataFrame:
+    """The rows one run reads: snapshots of the day, calendar of the coming weeks, whole series."""
+    today = F.lit(as_of).cast("date")
+    ahead = F.col("date").between(today, F.date_add(today, fv.MACRO_CALENDAR_DAYS))
+    return macro.where(
+        ((F.col("part") != "economic_calendar") | ahead)
+        & (~F.col("part").endswith("snapshot") | (F.col("date") == today))
+    )
+
+
 def macro_rows(macro: DataFrame) -> DataFrame:
     """The run's macro bundle as rows (part, name, ord, …), unknown parts dropped.
 

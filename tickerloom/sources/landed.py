@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.collections import strict_json, variant_truthy
+from tickerloom.functions.collections import once, strict_json, variant_truthy
 
 
 def _parsed(c: Column) -> Column:
@@ -45,7 +45,7 @@ def parse_payloads(landed: DataFrame) -> DataFrame:
     A payload is refused when it is not JSON or when it is an object whose
     error field is truthy.
     """
-    parsed = landed.withColumn("body", _parsed(F.col("payload")))
+    parsed = landed.withColumn("body", once(_parsed(F.col("payload"))))
     is_object = _is_object(F.col("body"))
     message = [
         F.when(is_object & variant_truthy(F.try_variant_get(F.col("body"), path, "variant")),
