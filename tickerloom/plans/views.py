@@ -384,10 +384,10 @@ def references(text: str) -> list[str]:
 class Views:
     """Spark side: DataFrames for driver tables and views of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, **given: DataFrame):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self._built: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = dict(given)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,14 +34,15 @@ def gate_results(docs: DataFrame) -> DataFrame:
         "date", "symbol", "stage", "passed", "severity", "failures", "warnings", "metrics")
 
 
-def gate_stream(docs: DataFrame, path: str, checkpoint: str):
+def gate_stream(docs: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
     """Check documents as they land and keep one result per (date, symbol).
 
-    The sink replaces by key, so a micro-batch that runs twice after a failure
-    leaves the same table.
+    ``prepare`` may complete the landed rows (joins with other tables) before
+    the check.  The sink replaces by key, so a micro-batch that runs twice
+    after a failure leaves the same table.
     """
     def store(batch: DataFrame, _epoch: int) -> None:
-        upsert(gate_results(batch), path)
+        upsert(gate_results(prepare(batch) if prepare else batch), path)
 
     return (
         docs.writeStream.foreachBatch(store)
