@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,9 @@ def once(c: Column) -> Column:
     expression into each of them.
     """
     return F.explode(F.array(c))
+
+
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add several columns, each evaluated exactly once per row (see ``once``)."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

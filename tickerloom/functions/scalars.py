@@ -9,8 +9,8 @@ from tickerloom import fixed_values as fv
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of Unicode white space (``trim`` handles spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of Unicode white space (plain ``trim`` handles spaces only)."""
+    return F.btrim(c, F.lit(fv.WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -24,7 +24,11 @@ def normalize_symbol(c: Column) -> Column:
 
 def normalize_cik(c: Column) -> Column:
     """Null-like text to null, digits padded to ten places and never cut."""
-    text = strip(c)
+    return padded_cik(strip(c))
+
+
+def padded_cik(text: Column) -> Column:
+    """The CIK rule for text that is trimmed already."""
     digits = text.rlike("^[0-9]+$") & (F.length(text) < 10)
     return (
         F.when(text.isNull() | F.lower(text).isin("", "none", "null"), None)

@@ -2,11 +2,11 @@
 
 The price of a forecast is the first close on or after its target date within
 a few days.  The tolerance is a hard bound, so the as-of join becomes an equi
-join on (symbol, span) where a span covers ``tolerance + 1`` days: each price
-is copied to its own span and the one before, a span then holds at most
-``2 * (tolerance + 1)`` days, and every forecast meets exactly one row.  There
-is no per-symbol sort and no range join, so a symbol holding a third of all
-rows is spread over as many keys as it has spans.
+join on (symbol, day): each distinct (symbol, target) asks for its
+``tolerance + 1`` days and keeps the earliest day that has a price.  Prices are
+shuffled once, already combined per day; there is no per-symbol sort, no range
+join and no collected list, so a symbol holding a third of all rows is spread
+over as many keys as it has days.
 """
 
 from __future__ import annotations
@@ -32,57 +32,45 @@ def relative_deviation(predicted: Column, actual: Column) -> Column:
     return F.when(actual == 0, F.lit(0.0)).otherwise((predicted - actual) / actual)
 
 
-def _span(day: Column, width: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(width))
-
-
-def price_spans(eod: DataFrame, tolerance: int = fv.PRICE_TOLERANCE_DAYS) -> DataFrame:
-    """(symbol, span) rows with the span's prices sorted by day.
-
-    Several rows of one day collapse to the first in source order before
-    anything is collected, so a span's array never exceeds two span widths.
-    """
-    width = tolerance + 1
-    daily = (
-        eod.where(F.col("date").isNotNull() & F.col("symbol").isNotNull())
-        .groupBy("symbol", "date")
-        .agg(F.min_by(F.struct("close", "adj_close"), F.col("ord")).alias("px"))
-    )
-    own = _span(F.col("date"), width)
-    return (
-        daily.select("symbol", "date", "px", F.explode(F.array(own, own - 1)).alias("span"))
-        .groupBy("symbol", "span")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("date"), F.col("px.close"), F.col("px.adj_close")))
-                          ).alias("prices"))
-    )
+def daily_prices(eod: DataFrame) -> DataFrame:
+    """One row per (symbol, date): the first in source order."""
+    dated = eod.where(F.col("date").isNotNull() & F.col("symbol").isNotNull())
+    return dated.groupBy("symbol", "date").agg(
+        F.min_by("close", "ord").alias("close"), F.min_by("adj_close", "ord").alias("adj_close"))
 
 
 def undated_prices(eod: DataFrame) -> DataFrame:
     """Last row without a date per symbol: the fallback when no dated row qualifies."""
-    return (
-        eod.where(F.col("date").isNull() & F.col("symbol").isNotNull())
-        .groupBy("symbol")
-        .agg(F.max_by(F.struct(F.lit(None).cast("date").alias("date"), "close", "adj_close"), F.col("ord"))
-             .alias("undated"))
-    )
+    undated = eod.where(F.col("date").isNull() & F.col("symbol").isNotNull())
+    return undated.groupBy("symbol").agg(
+        F.max_by("close", "ord").alias("undated_close"), F.max_by("adj_close", "ord").alias("undated_adj_close"),
+        F.lit(True).alias("has_undated"))
+
+
+def target_prices(requests: DataFrame, eod: DataFrame, tolerance: int = fv.PRICE_TOLERANCE_DAYS) -> DataFrame:
+    """Earliest priced day of every distinct (symbol, target_date) that has one."""
+    target = F.col("target_date")
+    wanted = requests.select("symbol", "target_date").where(target.isNotNull()).distinct()
+    days = wanted.withColumn("date", F.explode(F.sequence(target, F.date_add(target, tolerance))))
+    return days.join(daily_prices(eod), ["symbol", "date"]).groupBy("symbol", "target_date").agg(
+        F.min("date").alias("price_date"), F.min_by("close", "date").alias("close"),
+        F.min_by("adj_close", "date").alias("adj_close"))
 
 
 def as_of_price(requests: DataFrame, eod: DataFrame, tolerance: int = fv.PRICE_TOLERANCE_DAYS) -> DataFrame:
-    """Adds ``price_row`` (date, close, adj_close), null when nothing was found.
+    """Adds price_date, close, adj_close and ``price_origin`` (dated / undated / none).
 
     ``requests`` needs symbol and target_date.
     """
-    target = F.col("target_date")
-    keyed = requests.withColumn("span", _span(target, tolerance + 1))
-    joined = keyed.join(price_spans(eod, tolerance), ["symbol", "span"], "left")
-    in_window = F.filter(
-        F.col("prices"), lambda p: (p["date"] >= target) & (p["date"] <= F.date_add(target, tolerance))
-    )
-    first = F.get(in_window, F.lit(0))
+    joined = requests.join(target_prices(requests, eod, tolerance), ["symbol", "target_date"], "left").join(
+        undated_prices(eod), "symbol", "left")
+    dated = F.col("price_date").isNotNull()
+    origin = F.when(dated, "dated").when(F.col("has_undated"), "undated").otherwise("none")
     return (
-        joined.join(undated_prices(eod), "symbol", "left")
-        .withColumn("price_row", F.coalesce(first, F.col("undated")))
-        .drop("span", "prices", "undated")
+        joined.withColumn("price_origin", origin)
+        .withColumn("close", F.when(dated, F.col("close")).otherwise(F.col("undated_close")))
+        .withColumn("adj_close", F.when(dated, F.col("adj_close")).otherwise(F.col("undated_adj_close")))
+        .drop("undated_close", "undated_adj_close", "has_undated")
     )
 
 
@@ -115,11 +103,11 @@ def evaluate(
         "metrics_error", F.lit(None).cast("string"))
     priced = as_of_price(base.withColumn("target_date", target_date(F.col("metrics_date"), offset_days)), eod,
                          tolerance)
-    price = pick_price(F.col("price_row.close"), F.col("price_row.adj_close"))
+    price = pick_price(F.col("close"), F.col("adj_close"))
     error = (
         F.when(F.col("metrics_error").isNotNull(), F.col("metrics_error"))
         .when(F.col("predicted_price").isNull(), "no_predicted_price")
-        .when(F.col("price_row").isNull(), "no_price_rows")
+        .when(F.col("price_origin") == "none", "no_price_rows")
         .when(price.isNull(), "no_close_price")
     )
     scored = priced.withColumn("error", error).withColumn("price", price)
@@ -129,7 +117,7 @@ def evaluate(
         "symbol",
         F.col("metrics_date").alias("date"),
         "target_date",
-        F.when(ok, F.col("price_row.date")).alias("price_date"),
+        F.when(ok, F.col("price_date")).alias("price_date"),
         F.when(ok, F.col("predicted_price")).alias("predicted_price"),
         F.when(ok, F.col("price")).alias("actual_price"),
         deviation.alias("deviation"),

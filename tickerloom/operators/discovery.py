@@ -9,8 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
-from tickerloom.functions.scalars import blank_to_null, first_truthy, normalize_cik, normalize_symbol, parse_iso_date
-from tickerloom.functions.scalars import clean_label
+from tickerloom.functions.collections import with_once
+from tickerloom.functions.scalars import (
+    blank_to_null,
+    clean_label,
+    first_truthy,
+    normalize_cik,
+    normalize_symbol,
+    padded_cik,
+    parse_iso_date,
+    strip,
+)
 from tickerloom.sources.artifacts import parse_report_keys
 from tickerloom.sources.scans import calendar_between, first_per_group, window_page
 
@@ -90,9 +99,10 @@ def match_regulatory(entries: DataFrame, rows: DataFrame, max_rows: int = fv.REG
     """
     names = [F.col(c) for c in ("symbol", "ticker", "companySymbol", "stock") if c in rows.columns]
     keyed = (
-        rows.withColumn("row_symbol", normalize_symbol(first_truthy(*names)))
-        .withColumn("row_cik", normalize_cik(F.col("cik")))
-        .drop("symbol", "ticker", "companySymbol", "stock", "cik")
+        with_once(rows, _name=F.upper(strip(first_truthy(*names))), _code=strip(F.col("cik")))
+        .withColumn("row_symbol", blank_to_null(F.col("_name")))
+        .withColumn("row_cik", padded_cik(F.col("_code")))
+        .drop("symbol", "ticker", "companySymbol", "stock", "cik", "_name", "_code")
     )
     left = entries.select("symbol", normalize_symbol(F.col("symbol")).alias("_sym"), F.col("resolved_cik").alias("_cik"))
 

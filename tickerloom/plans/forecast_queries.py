@@ -59,11 +59,9 @@ SELECT symbol, CAST(metrics_date AS STRING) AS metrics_date, CAST(price_date AS
 def e02(v):
     wanted = v.v_requests.select("symbol", "metrics_date", dev.target_date(F.col("metrics_date")).alias("target_date"))
     rows = dev.as_of_price(wanted, v.v_eod)
-    px = F.col("price_row")
     return rows.select(
-        "symbol", iso("metrics_date"), px["date"].cast("string").alias("price_date"),
-        dev.pick_price(px["close"], px["adj_close"]).alias("price"),
-        F.when(px["date"].isNotNull(), "dated").when(px.isNotNull(), "undated").otherwise("none").alias("origin"))
+        "symbol", iso("metrics_date"), iso("price_date"),
+        dev.pick_price(F.col("close"), F.col("adj_close")).alias("price"), F.col("price_origin").alias("origin"))
 
 
 @query("e03_price_pick", """

@@ -40,13 +40,23 @@ def _money(cents: str) -> str:
     return f"CAST({_div(cents, '100')} AS STRING) || '.' || lpad(CAST(({cents}) % 100 AS STRING), 2, '0')"
 
 
+# Single letters are combined as numbers, which stays in hash aggregation.
+def _min_letter(column: str, letters: str) -> str:
+    code = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(letters))
+    text = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(letters))
+    return f"CASE MIN(CASE {column} {code} END) {text} END"
+
+
+_FLAG = _min_letter("l_returnflag", "ANR")
+_STATUS = _min_letter("l_linestatus", "FO")
+
 VIEWS: dict[str, str] = {}
 
-VIEWS["v_order_lines"] = """
-SELECT l_orderkey AS ord, MIN(l_suppkey) AS suppkey, COUNT(*) AS n_lines, MIN(l_returnflag) AS flag,
+VIEWS["v_order_lines"] = f"""
+SELECT l_orderkey AS ord, MIN(l_suppkey) AS suppkey, COUNT(*) AS n_lines, {_FLAG} AS flag,
   CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
   CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(MIN(l_shipdate) AS DATE) AS first_ship
-FROM {lineitem} GROUP BY l_orderkey"""
+FROM {{lineitem}} GROUP BY l_orderkey"""
 
 VIEWS["v_calendar"] = """
 SELECT o_orderkey AS ord,
@@ -95,10 +105,10 @@ SELECT symbol, ord, qty,
 FROM (SELECT symbol, day, qty, CAST(year(day) * 10000 + month(day) * 100 + day(day) AS BIGINT) AS ord,
         {_div('cents', 'qty')} AS px FROM {{v_eod_base}}) b"""
 
-VIEWS["v_requests"] = """
+VIEWS["v_requests"] = f"""
 SELECT 'S' || CAST(suppkey AS STRING) AS symbol, CAST(o_orderdate AS DATE) AS metrics_date, MIN(ord) AS ord,
-  CAST(SUM(cents) AS BIGINT) AS cents, CAST(SUM(qty) AS BIGINT) AS qty, MIN(flag) AS flag
-FROM {orders} JOIN {v_order_lines} ON ord = o_orderkey GROUP BY suppkey, CAST(o_orderdate AS DATE)"""
+  CAST(SUM(cents) AS BIGINT) AS cents, CAST(SUM(qty) AS BIGINT) AS qty, {_min_letter("flag", "ANR")} AS flag
+FROM {{orders}} JOIN {{v_order_lines}} ON ord = o_orderkey GROUP BY suppkey, CAST(o_orderdate AS DATE)"""
 
 _PX = f"({_div('cents', 'qty')} * (85 + ord % 31))"
 VIEWS["v_metrics"] = f"""
@@ -136,7 +146,7 @@ SELECT ord, CASE WHEN length(symbol) % 2 = 0 THEN 'reports/' || CAST(date AS STR
   || '_report.md' ELSE 'metrics/' || CAST(date AS STRING) || '/' || symbol || '_metrics.json' END AS key
 FROM {v_calendar}"""
 
-VIEWS["v_regulatory"] = """
+VIEWS["v_regulatory"] = f"""
 SELECT list, ord, form,
   CASE WHEN ord % 4 = 0 THEN sym WHEN ord % 4 = 1 THEN '' ELSE NULL END AS symbol,
   CASE WHEN ord % 4 = 1 THEN lower(sym) ELSE NULL END AS ticker,
@@ -144,9 +154,9 @@ SELECT list, ord, form,
   CASE WHEN ord % 12 = 3 THEN sym ELSE NULL END AS stock,
   CASE ord % 3 WHEN 0 THEN CAST(suppkey AS STRING) WHEN 1 THEN '00' || CAST(suppkey + 1 AS STRING) ELSE NULL END AS cik
 FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'disclosures' ELSE 'prospectuses' END AS list,
-        l_orderkey * 10 + l_linenumber AS ord, MIN(l_returnflag) AS form, MIN(l_suppkey) AS suppkey,
+        l_orderkey * 10 + l_linenumber AS ord, {_FLAG} AS form, MIN(l_suppkey) AS suppkey,
         'S' || CAST(MIN(l_suppkey) AS STRING) AS sym
-      FROM {lineitem} GROUP BY l_orderkey, l_linenumber) r"""
+      FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) r"""
 
 VIEWS["v_financials"] = """
 SELECT 'S' || CAST(l_suppkey AS STRING) AS symbol,
@@ -161,10 +171,10 @@ FROM {lineitem}
 GROUP BY l_suppkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'quarter' ELSE 'annual' END,
   CAST(l_shipdate AS DATE)"""
 
-VIEWS["v_filings"] = """
+VIEWS["v_filings"] = f"""
 SELECT 'S' || CAST(l_suppkey AS STRING) AS symbol, CAST(o_orderdate AS DATE) AS date, l_orderkey AS ord,
-  MIN(l_returnflag) || '-' || MIN(l_linestatus) AS form, COUNT(*) AS n_lines
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+  {_FLAG} || '-' || {_STATUS} AS form, COUNT(*) AS n_lines
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
 GROUP BY l_suppkey, CAST(o_orderdate AS DATE), l_orderkey"""
 
 VIEWS["v_peers"] = f"""
