@@ -30,8 +30,12 @@ def local_session(cpus: int = 8, app: str = "tickerloom") -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below the cluster's shared checkpoint location.
 
-    The location is read from the session; only where none is set (tests on
-    one machine) a local temporary folder takes its place.
+    The location is read from the session.  Only a local session without one
+    gets a temporary folder; on a cluster that folder would not be shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
