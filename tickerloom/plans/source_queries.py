@@ -12,11 +12,11 @@ from tickerloom.sources import artifacts, landed, scans
 
 
 @query("s01_ipo_calendar", """
-SELECT ord, symbol, CAST(date AS STRING) AS date, exchange, shares FROM {v_calendar}
+SELECT ord, symbol, CAST(date AS STRING) AS date, exchange, coalesce(shares, -1) AS shares FROM {v_calendar}
 WHERE date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'""")
 def s01(v):
     rows = scans.calendar_between(v.v_calendar, "1997-01-01", "2000-12-31")
-    return rows.select("ord", "symbol", iso("date"), "exchange", F.col("shares"))
+    return rows.select("ord", "symbol", iso("date"), "exchange", F.coalesce("shares", F.lit(-1)).alias("shares"))
 
 
 @query("s02_symbol_dataset", """
