@@ -65,9 +65,9 @@ def test_strict_json(spark, given, valid):
     ("null", False, False), ("[]", False, False), ("{}", False, False), ('{"a":null}', True, True), ("0", True, False),
     ('""', True, False), ("[0]", True, True)])
 def test_populated_and_truthy(spark, given, populated, truthy):
-    v = F.try_parse_json(F.lit(given))
-    assert one(spark, co.variant_populated(v)) is populated
-    assert one(spark, co.variant_truthy(v)) is truthy
+    df = spark.range(1).select(F.try_parse_json(F.lit(given)).alias("v"))
+    tests = (co.variant_populated_sql("v"), co.variant_truthy_sql("v"))
+    assert df.selectExpr(*[f"{t} AS t{i}" for i, t in enumerate(tests)]).first() == (populated, truthy)
 
 
 @pytest.mark.parametrize("status, wanted", [(200, "ok"), (404, "fatal"), (401, "fatal"), (429, "retryable"), (503, "retryable"),

@@ -156,8 +156,8 @@ def record(spark, entry, landed=(), macro=None):
                                        "cik STRING, price_range STRING, shares LONG, market_cap LONG"),
         profile=profile,
         row_datasets=[en.field_rows(
-            spark.createDataFrame([("NOVA", DAY(2025, 1, 1) + dt.timedelta(i), i) for i in range(20)], "symbol STRING, date DATE, ord LONG"),
-            "income_statement_annual", en.newest_first(), F.col("ord"), ["date"])],
+            spark.createDataFrame([("NOVA", "income_statement_annual", DAY(2025, 1, 1) + dt.timedelta(i), i) for i in range(20)],
+                                  "symbol STRING, field STRING, date DATE, ord LONG"), en.newest_first(), ["date"])],
         eod=empty(spark, "symbol STRING, date DATE, close DOUBLE, adj_close DOUBLE, ord LONG"),
         series=empty(spark, "level STRING, name STRING, date DATE, ord LONG, value DOUBLE"),
         filings=empty(spark, "symbol STRING, date DATE, ord LONG, form STRING"),

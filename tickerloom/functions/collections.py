@@ -21,22 +21,24 @@ def tail(c: Column, n: int) -> Column:
     return F.slice(c, F.greatest(F.size(c) - F.lit(n), F.lit(0)) + 1, F.lit(n))
 
 
-def array_populated(c: Column) -> Column:
-    """Non-null and at least one element (arrays and maps)."""
-    return c.isNotNull() & (F.size(c) > 0)
+def variant_populated_sql(name: str) -> str:
+    """SQL test: not null, not JSON null, not an empty list and not an empty object."""
+    return f"coalesce({name} IS NOT NULL AND NOT is_variant_null({name}) AND to_json({name}) NOT IN ('[]', '{{}}'), false)"
 
 
-def variant_populated(c: Column) -> Column:
-    """Not null, not JSON null, not an empty list and not an empty object."""
-    empty = F.to_json(c).isin("[]", "{}")
-    return F.coalesce(c.isNotNull() & ~F.is_variant_null(c) & ~empty, F.lit(False))
+def variant_truthy_sql(name: str) -> str:
+    """SQL test: what a dynamic language calls truthy, so also false for 0, "" and false."""
+    empty = """'null', '[]', '{}', '""', 'false', '0', '0.0'"""
+    return f"coalesce({name} IS NOT NULL AND to_json({name}) NOT IN ({empty}), false)"
 
 
-def variant_truthy(c: Column) -> Column:
-    """What a dynamic language calls truthy: also false for 0, "" and false."""
-    return F.coalesce(
-        c.isNotNull() & ~F.to_json(c).isin("null", "[]", "{}", '""', "false", "0", "0.0"), F.lit(False)
-    )
+def array_populated_sql(name: str) -> str:
+    """SQL test: a non-null array or map with at least one element."""
+    return f"coalesce(size({name}) > 0, false)"
+
+
+def variant_populated(name: str) -> Column:
+    return F.expr(variant_populated_sql(name))
 
 
 def strict_json(c: Column) -> Column:

@@ -1,11 +1,10 @@
 """One nested research record per company.
 
-Row datasets are brought to a common (symbol, field, order, row) form, cut to
-their limits by one ranking window and folded to one array per field, so the
-whole assembly costs one window shuffle and one shuffle per symbol, however
-many datasets there are.  Nothing is collected before it was cut.  Landed
-payloads are reduced to the latest one per (symbol, dataset) first, which
-bounds a symbol's rows by the number of datasets.
+Every row dataset is ranked and cut to its limit on its own typed columns,
+then brought to a common (symbol, field, rank, row) form and folded to one
+array per field in one shuffle, however many datasets there are.  Nothing is
+collected before it was cut.  Landed payloads are reduced to the latest one per
+(symbol, dataset) first, which bounds a symbol's rows by the number of datasets.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
-from tickerloom.functions.collections import array_populated, head, tail, variant_truthy
+from tickerloom.functions.collections import array_populated_sql, head, tail, variant_truthy_sql
 from tickerloom.operators import discovery as d
 from tickerloom.sources import landed as landed_rules
 from tickerloom.sources.catalog import BY_NAME, names_with_shape
@@ -59,6 +58,7 @@ ROW_FIELDS = {
     "disclosure_filings_matched": fv.REGULATORY_MAX_ROWS,
     "prospectus_entries_matched": fv.REGULATORY_MAX_ROWS,
 }
+POINTS = "array<struct<ord: bigint, date: date, value: double>>"
 STATEMENTS = [f for f in ROW_FIELDS if f.endswith("_annual") or f.endswith("_quarter")]
 STATEMENTS.remove("analyst_estimates_annual")
 
@@ -92,6 +92,11 @@ def macro_inventory(macro: DataFrame) -> DataFrame:
     )
 
 
+def _limit_of(name: str, limits: dict[str, int]) -> Column:
+    whens = " ".join(f"WHEN '{key}' THEN {n}" for key, n in limits.items())
+    return F.expr(f"CASE {name} {whens} ELSE 0 END")
+
+
 def macro_trimmed(macro: DataFrame) -> DataFrame:
     """Each part cut to its end: heads keep the first rows, tails the last."""
     rows = macro_rows(macro)
@@ -99,7 +104,7 @@ def macro_trimmed(macro: DataFrame) -> DataFrame:
     for end in ("head", "tail"):
         limits = {p: n for p, (e, n) in fv.MACRO_TRIM.items() if e == end}
         order = F.col("ord") if end == "head" else F.col("ord").desc()
-        limit = reduce(lambda acc, kv: F.when(F.col("part") == kv[0], kv[1]).otherwise(acc), limits.items(), F.lit(0))
+        limit = _limit_of("part", limits)
         chosen = first_per_group(
             rows.where(F.col("part").isin(list(limits))), ["part", "name"], [order], max(limits.values()))
         pieces.append(chosen.where(F.col("rank") <= limit).drop("rank"))
@@ -109,26 +114,17 @@ def macro_trimmed(macro: DataFrame) -> DataFrame:
 
 def macro_bundle(macro: DataFrame, as_of: date | str) -> DataFrame:
     """The trimmed bundle as one row: an array per part, a map for the indicators."""
-    point = F.struct("ord", "date", "value")
-    series = macro_trimmed(macro).groupBy("part", "name").agg(F.sort_array(F.collect_list(point)).alias("points"))
-    part = lambda p: F.coalesce(
-        F.first(F.when(F.col("part") == p, F.col("points")), ignorenulls=True),
-        F.array().cast("array<struct<ord: bigint, date: date, value: double>>"))
-    indicators = F.map_from_entries(
-        F.sort_array(F.collect_list(F.when(F.col("part") == "economic_indicators", F.struct("name", "points")))))
+    series = macro_trimmed(macro).groupBy("part", "name").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "date", "value"))).alias("points"))
+    lists = [p for p in fv.MACRO_TRIM if p != "economic_indicators"] + ["etf_sector_weightings_spy", "major_index_batch_quotes"]
+    names = {"treasury_rates": "treasury_rates_tail"}
+    one = "first(points, true) FILTER (WHERE part = '{}')"
     return series.agg(
         F.lit(as_of).cast("date").alias("prefetch_as_of"),
-        part("treasury_rates").alias("treasury_rates_tail"),
-        F.first(F.when(F.col("part") == "market_risk_premium", F.col("points")), ignorenulls=True)
-        .alias("market_risk_premium"),
-        part("economic_calendar").alias("economic_calendar"),
-        indicators.alias("economic_indicators_trimmed"),
-        part("sector_performance_snapshot").alias("sector_performance_snapshot"),
-        part("industry_performance_snapshot").alias("industry_performance_snapshot"),
-        part("sector_pe_snapshot").alias("sector_pe_snapshot"),
-        part("industry_pe_snapshot").alias("industry_pe_snapshot"),
-        part("etf_sector_weightings_spy").alias("etf_sector_weightings_spy"),
-        part("major_index_batch_quotes").alias("major_index_batch_quotes"),
+        *[F.expr(f"coalesce({one.format(p)}, CAST(array() AS {POINTS})) AS {names.get(p, p)}") for p in lists],
+        F.expr(one.format("market_risk_premium")).alias("market_risk_premium"),
+        F.expr("map_from_entries(sort_array(collect_list(struct(name, points)) FILTER (WHERE part = 'economic_indicators')))")
+        .alias("economic_indicators_trimmed"),
     )
 
 
@@ -149,35 +145,37 @@ def compact_bundle(bundle: DataFrame) -> DataFrame:
 
 # --- row datasets ---------------------------------------------------------------
 
-def field_rows(df: DataFrame, field: str | Column, first: Column, second: Column, body: Sequence[str]) -> DataFrame:
-    """Bring a row dataset to the common form; ``first`` and ``second`` order it ascending."""
+def ranked_rows(ranked: DataFrame, field: str | Column, body: Sequence[str]) -> DataFrame:
+    """Bring ranked rows to the common form (symbol, field, rank, row)."""
     name = F.lit(field) if isinstance(field, str) else field
-    return df.select(
-        "symbol",
-        name.alias("field"),
-        first.cast("long").alias("o1"),
-        second.cast("long").alias("o2"),
-        F.to_variant_object(F.struct(*body)).alias("row"),
-    )
+    return ranked.select(
+        "symbol", name.alias("field"), "rank", F.to_variant_object(F.struct(*body)).alias("row"))
+
 
+def field_rows(df: DataFrame, order: Sequence[Column], body: Sequence[str], limits: dict[str, int] = ROW_FIELDS) -> DataFrame:
+    """Cut a row dataset (with its ``field`` column) to each field's limit, then convert what is left.
 
-def newest_first(day: str = "date") -> Column:
-    return -F.unix_date(F.col(day))
+    The ranking runs on the typed columns, so only surviving rows become
+    VARIANT values and surplus rows are dropped before the shuffle.
+    """
+    known = df.where(F.col("field").isin(list(limits)))
+    ranked = first_per_group(known, ["symbol", "field"], order, max(limits.values()))
+    return ranked_rows(ranked.where(F.col("rank") <= _limit_of("field", limits)), F.col("field"), body)
 
 
-def fold_fields(rows: DataFrame, limits: dict[str, int] = ROW_FIELDS) -> DataFrame:
-    """One row per symbol with one array per field, each cut to its own limit."""
-    limit = reduce(lambda acc, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(acc), limits.items(), F.lit(0))
-    ranked = first_per_group(rows, ["symbol", "field"], [F.col("o1"), F.col("o2")], max(limits.values()))
+def newest_first(day: str = "date") -> list[Column]:
+    return [F.col(day).desc(), F.col("ord")]
+
+
+def fold_fields(rows: DataFrame, fields: Sequence[str] = tuple(ROW_FIELDS)) -> DataFrame:
+    """One row per symbol with one array per field; every list was cut before."""
     lists = (
-        ranked.where(F.col("rank") <= limit)
-        .groupBy("symbol", "field")
+        rows.groupBy("symbol", "field")
         .agg(F.collect_list(F.struct("rank", "row")).alias("ranked"))
-        .withColumn("list", F.transform(
-            F.array_sort("ranked", lambda a, b: a["rank"] - b["rank"]), lambda x: x["row"]))
+        .withColumn("list", F.expr("transform(array_sort(ranked, (a, b) -> a.rank - b.rank), x -> x.row)"))
     )
     return lists.groupBy("symbol").agg(
-        *[F.first(F.when(F.col("field") == f, F.col("list")), ignorenulls=True).alias(f) for f in limits]
+        *[F.expr(f"first(list, true) FILTER (WHERE field = '{f}') AS {f}") for f in fields]
     )
 
 
@@ -216,13 +214,13 @@ def normalized_payloads(latest: DataFrame) -> DataFrame:
 def fold_payloads(normalized: DataFrame) -> DataFrame:
     """One row per symbol: a column per payload field, plus its errors by step name."""
     def pick(field: str, dataset: str) -> Column:
-        value = F.col("rows") if BY_NAME[dataset].shape == "rows" else F.col("body")
-        return F.first(F.when(F.col("dataset") == dataset, value), ignorenulls=True).alias(field)
+        value = "rows" if BY_NAME[dataset].shape == "rows" else "body"
+        return F.expr(f"first({value}, true) FILTER (WHERE dataset = '{dataset}') AS {field}")
 
     return normalized.groupBy("symbol").agg(
         *[pick(f, name) for f, name in PAYLOAD_FIELDS.items()],
-        F.sort_array(F.collect_list(F.when(
-            F.col("error").isNotNull(), F.struct(F.col("dataset").alias("step"), "error")))).alias("fetch_errors"),
+        F.expr("sort_array(collect_list(named_struct('step', dataset, 'error', error)) FILTER (WHERE error IS NOT NULL))")
+        .alias("fetch_errors"),
     )
 
 
@@ -238,41 +236,43 @@ def fetch_errors(landed: DataFrame) -> DataFrame:
 
 # --- assembly ---------------------------------------------------------------------
 
-def financials_covered(doc: str = "financials") -> Column:
+def _covered_sql() -> str:
+    lists = [array_populated_sql(f"financials.{s}") for s in STATEMENTS]
+    return " OR ".join(lists + [variant_truthy_sql(f"financials.{s}") for s in ("key_metrics_ttm", "ratios_ttm")])
+
+
+def financials_covered() -> Column:
     """True when any statement list or trailing-twelve-month payload holds something."""
-    lists = [array_populated(F.col(f"{doc}.{s}")) for s in STATEMENTS]
-    ttm = [variant_truthy(F.col(f"{doc}.{s}")) for s in ("key_metrics_ttm", "ratios_ttm")]
-    return F.coalesce(reduce(Column.__or__, lists + ttm), F.lit(False))
+    return F.expr(_covered_sql())
 
 
-def lineage(doc: DataFrame) -> Column:
+def lineage() -> Column:
     """Tags of the non-empty source groups, in their fixed order."""
-    some = lambda *fields: F.coalesce(reduce(Column.__or__, [array_populated(F.col(f)) for f in fields]), F.lit(False))
-    truthy = lambda *fields: reduce(Column.__or__, [variant_truthy(F.col(f)) for f in fields])
+    some = lambda section, *fields: " OR ".join(array_populated_sql(section + f) for f in fields)
+    truthy = lambda section, *fields: " OR ".join(variant_truthy_sql(section + f) for f in fields)
     own, sell, extra = "ownership_governance.", "sell_side.", "fundamental_extras."
     present = [
-        F.lit(True),
-        F.col("company_profile").isNotNull(),
-        some("company_notes"),
-        some("fundraising"),
-        some("sector_industry_context.historical_sector_performance",
-             "sector_industry_context.historical_industry_performance"),
-        financials_covered(),
-        some("market_context.company_eod_recent"),
-        truthy("market_context.quote"),
-        some("news_context.stock_news", "news_context.press_releases"),
-        some("comparables.stock_peers"),
-        some(own + "key_executives", own + "insider_trades_search")
-        | truthy(own + "shares_float", own + "insider_trading_statistics"),
-        some(sell + "analyst_estimates_annual")
-        | truthy(sell + "price_target_summary", sell + "price_target_consensus", sell + "ratings_snapshot"),
-        truthy(extra + "financial_scores")
-        | some(extra + "revenue_product_segmentation", extra + "revenue_geographic_segmentation"),
-        some("sec_filings_recent.filings"),
-        some("ipo_regulatory_context.disclosure_filings_matched", "ipo_regulatory_context.prospectus_entries_matched"),
-        F.col("global_market_context").isNotNull(),
+        "true",
+        "company_profile IS NOT NULL",
+        some("", "company_notes"),
+        some("", "fundraising"),
+        some("sector_industry_context.", "historical_sector_performance", "historical_industry_performance"),
+        _covered_sql(),
+        some("market_context.", "company_eod_recent"),
+        truthy("market_context.", "quote"),
+        some("news_context.", "stock_news", "press_releases"),
+        some("comparables.", "stock_peers"),
+        some(own, "key_executives", "insider_trades_search") + " OR " + truthy(own, "shares_float", "insider_trading_statistics"),
+        some(sell, "analyst_estimates_annual") + " OR "
+        + truthy(sell, "price_target_summary", "price_target_consensus", "ratings_snapshot"),
+        truthy(extra, "financial_scores") + " OR "
+        + some(extra, "revenue_product_segmentation", "revenue_geographic_segmentation"),
+        some("sec_filings_recent.", "filings"),
+        some("ipo_regulatory_context.", "disclosure_filings_matched", "prospectus_entries_matched"),
+        "global_market_context IS NOT NULL",
     ]
-    return F.array_compact(F.array(*[F.when(p, F.lit(t)) for p, t in zip(present, fv.SOURCE_TAGS, strict=True)]))
+    tags = ", ".join(f"CASE WHEN {p} THEN '{t}' END" for p, t in zip(present, fv.SOURCE_TAGS, strict=True))
+    return F.expr(f"array_compact(array({tags}))")
 
 
 def build_records(
@@ -294,17 +294,15 @@ def build_records(
     ``entries`` has one row per symbol; ``row_datasets`` are outputs of
     ``field_rows``; ``fundraising`` is (cik, rows).
     """
-    today = F.lit(run_date).cast("date")
     keyed = d.price_window(d.resolve_cik(entries, profile), run_date)
     wanted = keyed.select("symbol")
 
-    prices = field_rows(d.window_prices(keyed, eod, run_date), "company_eod_recent", F.col("rank"), F.lit(0),
-                        ["date", "close", "adj_close"])
-    recent = field_rows(d.recent_filings(filings, run_date), "filings", F.col("rank"), F.lit(0), ["date", "form"])
-    matched = field_rows(
+    prices = ranked_rows(d.window_prices(keyed, eod, run_date), "company_eod_recent", ["date", "close", "adj_close"])
+    recent = ranked_rows(d.recent_filings(filings, run_date), "filings", ["date", "form"])
+    matched = ranked_rows(
         d.match_regulatory(keyed, regulatory),
         F.when(F.col("list") == "disclosures", "disclosure_filings_matched").otherwise("prospectus_entries_matched"),
-        F.col("ord"), F.lit(0), ["form", "row_cik", "row_symbol"])
+        ["form", "row_cik", "row_symbol"])
     tables = reduce(DataFrame.unionByName, [*row_datasets, recent]).join(wanted, "symbol", "left_semi")
     lists = fold_fields(tables.unionByName(prices).unionByName(matched))
     payloads = fold_payloads(normalized_payloads(latest_payloads(landed)))
@@ -328,40 +326,34 @@ def build_records(
         bundle = macro_bundle(macro, run_date).select(F.struct("*").alias("global_market_context"))
         flat = flat.join(F.broadcast(bundle))
 
-    none = F.array().cast("array<variant>")
-    rows = lambda *names: [F.coalesce(F.col(n), none).alias(n) for n in names]
-    points = lambda n: F.coalesce(F.col(n), F.array().cast("array<struct<ord: bigint, date: date, value: double>>"))
-    doc = flat.select(
+    rows = lambda *names: ", ".join(f"coalesce({n}, CAST(array() AS array<variant>)) AS {n}" for n in names)
+    points = lambda n: f"coalesce({n}, CAST(array() AS {POINTS}))"
+    day = f"DATE '{run_date}'"
+    doc = flat.selectExpr(
         "symbol",
-        F.date_format(today, "yyyy-MM-dd").alias("timestamp"),
-        F.struct("date", "exchange", F.col("price_range").alias("priceRange"), "shares",
-                 F.col("market_cap").alias("marketCap"), "company", "cik", "expected_date").alias("ipo_data"),
+        f"date_format({day}, 'yyyy-MM-dd') AS timestamp",
+        "struct(date, exchange, price_range AS priceRange, shares, market_cap AS marketCap, company, cik, expected_date) AS ipo_data",
         "company_profile",
-        *rows("company_notes"),
+        rows("company_notes"),
         "resolved_cik",
-        F.coalesce(F.col("_raised"), none).alias("fundraising"),
-        F.struct(
-            F.struct("sector", "industry").alias("identifiers"),
-            points("sector_history").alias("historical_sector_performance"),
-            points("industry_history").alias("historical_industry_performance"),
-        ).alias("sector_industry_context"),
-        F.struct(*rows(*STATEMENTS), "key_metrics_ttm", "ratios_ttm").alias("financials"),
-        F.struct(
-            F.lit(fv.BENCHMARK_SYMBOL).alias("benchmark_symbol"), "window_from", "window_to",
-            *rows("company_eod_recent"), "benchmark_eod_recent", "quote",
-        ).alias("market_context"),
-        F.struct(*rows("stock_news", "press_releases")).alias("news_context"),
-        F.struct(*rows("stock_peers")).alias("comparables"),
-        F.struct(*rows("key_executives"), "shares_float", "insider_trading_statistics",
-                 *rows("insider_trades_search")).alias("ownership_governance"),
-        F.struct(*rows("analyst_estimates_annual"), "price_target_summary", "price_target_consensus",
-                 "ratings_snapshot").alias("sell_side"),
-        F.struct("financial_scores", *rows("revenue_product_segmentation", "revenue_geographic_segmentation"))
-        .alias("fundamental_extras"),
-        F.struct(F.date_sub(today, fv.FILINGS_DAYS).alias("window_from"), today.alias("window_to"), *rows("filings"))
-        .alias("sec_filings_recent"),
-        F.struct(*rows("disclosure_filings_matched", "prospectus_entries_matched")).alias("ipo_regulatory_context"),
+        "coalesce(_raised, CAST(array() AS array<variant>)) AS fundraising",
+        f"""struct(struct(sector, industry) AS identifiers, {points('sector_history')} AS historical_sector_performance,
+            {points('industry_history')} AS historical_industry_performance) AS sector_industry_context""",
+        f"struct({rows(*STATEMENTS)}, key_metrics_ttm, ratios_ttm) AS financials",
+        f"""struct('{fv.BENCHMARK_SYMBOL}' AS benchmark_symbol, window_from, window_to, {rows('company_eod_recent')},
+            benchmark_eod_recent, quote) AS market_context""",
+        f"struct({rows('stock_news', 'press_releases')}) AS news_context",
+        f"struct({rows('stock_peers')}) AS comparables",
+        f"""struct({rows('key_executives')}, shares_float, insider_trading_statistics, {rows('insider_trades_search')})
+            AS ownership_governance""",
+        f"""struct({rows('analyst_estimates_annual')}, price_target_summary, price_target_consensus, ratings_snapshot)
+            AS sell_side""",
+        f"""struct(financial_scores, {rows('revenue_product_segmentation', 'revenue_geographic_segmentation')})
+            AS fundamental_extras""",
+        f"""struct(date_sub({day}, {fv.FILINGS_DAYS}) AS window_from, {day} AS window_to, {rows('filings')})
+            AS sec_filings_recent""",
+        f"struct({rows('disclosure_filings_matched', 'prospectus_entries_matched')}) AS ipo_regulatory_context",
         "global_market_context",
-        F.coalesce("fetch_errors", F.array().cast("array<struct<step: string, error: string>>")).alias("fetch_errors"),
+        "coalesce(fetch_errors, CAST(array() AS array<struct<step: string, error: string>>)) AS fetch_errors",
     )
-    return doc.withColumn("data_sources", lineage(doc))
+    return doc.withColumn("data_sources", lineage())

@@ -5,15 +5,12 @@ All of it is computed inside the record's own row: no shuffle, no join.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom import fixed_values as fv
-from tickerloom.functions.collections import variant_populated
-from tickerloom.functions.scalars import shorten
+from tickerloom.functions.collections import array_populated_sql, variant_populated_sql
 
 JSON_OPTIONS = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"}
 
@@ -94,17 +91,16 @@ def field_type(schema: T.StructType, path: str) -> T.DataType | None:
     return current
 
 
-def is_populated(records: DataFrame, path: str) -> Column:
-    """Not null and not an empty list or object; sections with fields count as populated."""
+def populated_sql(records: DataFrame, path: str) -> str:
+    """SQL test: not null and not an empty list or object; sections with fields count as populated."""
     kind = field_type(records.schema, path)
-    c = F.col(path)
     if kind is None:
-        return F.lit(False)
+        return "false"
     if isinstance(kind, (T.ArrayType, T.MapType)):
-        return F.coalesce(c.isNotNull() & (F.size(c) > 0), F.lit(False))
+        return array_populated_sql(path)
     if isinstance(kind, T.VariantType):
-        return variant_populated(c)
-    return c.isNotNull()
+        return variant_populated_sql(path)
+    return f"{path} IS NOT NULL"
 
 
 def split_record(records: DataFrame) -> DataFrame:
@@ -121,55 +117,54 @@ def split_record(records: DataFrame) -> DataFrame:
     return records.select("symbol", F.inline(F.array(*parts)))
 
 
-def _status(records: DataFrame, keys: list[str]) -> Column:
-    filled = reduce(Column.__add__, [is_populated(records, k).cast("int") for k in keys])
-    return F.when(filled == 0, "empty").when(filled < len(keys), "partial").otherwise("full")
+def _status_sql(records: DataFrame, keys: list[str]) -> str:
+    filled = " + ".join(f"CAST({populated_sql(records, k)} AS INT)" for k in keys)
+    return f"CASE {filled} WHEN 0 THEN 'empty' WHEN {len(keys)} THEN 'full' ELSE 'partial' END"
+
+
+def _inline(parts: list[str]) -> Column:
+    """One output row per struct, built from SQL text (far fewer driver calls than columns)."""
+    return F.expr(f"inline(array({', '.join(parts)}))")
 
 
 def availability(records: DataFrame) -> DataFrame:
     """empty / partial / full per themed partition."""
     parts = [
-        F.struct(F.lit(i).alias("part_no"), F.lit(name).alias("partition"), _status(records, keys).alias("status"))
+        f"named_struct('part_no', {i}, 'partition', '{name}', 'status', {_status_sql(records, keys)})"
         for i, (name, _, _, keys) in enumerate(fv.PARTITION_PLAN, 1)
     ]
-    return records.select("symbol", F.inline(F.array(*parts)))
+    return records.select("symbol", _inline(parts))
 
 
-def _metric(records: DataFrame, path: str, kind: str) -> tuple[Column, Column, Column]:
-    """(value, status, detail) of one metric."""
-    filled = is_populated(records, path)
+def _metric_sql(records: DataFrame, path: str, kind: str) -> str:
+    """Struct of one metric: name, kind, value, status and a short detail text."""
+    filled = populated_sql(records, path)
     known = field_type(records.schema, path) is not None
-    state = F.when(filled, "populated").otherwise("missing")
-    none = F.lit(None).cast("string")
-    if kind == "rows":
-        count = F.coalesce(F.size(F.col(path)), F.lit(0)) if known else F.lit(0)
-        return F.greatest(count, F.lit(0)).cast("long"), state, none
-    detail = shorten(F.col(path).cast("string")) if kind == "text" and known else none
-    return filled.cast("long"), state, detail
+    value = f"CAST(greatest(coalesce(size({path}), 0), 0) AS BIGINT)" if kind == "rows" and known else f"CAST({filled} AS BIGINT)"
+    text = f"CAST({path} AS STRING)"
+    short = f"CASE WHEN length({text}) > 80 THEN concat(left({text}, 77), '...') ELSE {text} END"
+    detail = short if kind == "text" and known else "CAST(NULL AS STRING)"
+    return (f"named_struct('metric', '{path}', 'kind', '{kind}', 'value', {value}, "
+            f"'status', IF({filled}, 'populated', 'missing'), 'detail', {detail})")
 
 
-def _metric_array(records: DataFrame, name: str) -> Column:
-    entries = []
-    for path, kind in SUMMARY_PLAN[name]:
-        value, state, detail = _metric(records, path, kind)
-        entries.append(F.struct(F.lit(path).alias("metric"), F.lit(kind).alias("kind"), value.alias("value"),
-                                state.alias("status"), detail.alias("detail")))
-    return F.array(*entries)
+def _metrics_sql(records: DataFrame, name: str) -> str:
+    return f"array({', '.join(_metric_sql(records, path, kind) for path, kind in SUMMARY_PLAN[name])})"
 
 
 def payload_metrics(records: DataFrame) -> DataFrame:
     """Long table of row counts and populated / missing marks per partition."""
     parts = [
-        F.struct(F.lit(i).alias("part_no"), F.lit(name).alias("partition"), _metric_array(records, name).alias("m"))
+        f"named_struct('part_no', {i}, 'partition', '{name}', 'm', {_metrics_sql(records, name)})"
         for i, (name, _, _, _) in enumerate(fv.PARTITION_PLAN, 1)
     ]
-    flat = records.select("symbol", F.inline(F.array(*parts)))
-    return flat.select("symbol", "part_no", "partition", F.inline("m"))
+    return records.select("symbol", _inline(parts)).select("symbol", "part_no", "partition", F.inline("m"))
 
 
-def _bullet(m: Column) -> Column:
-    text = F.when(m["kind"] == "rows", m["value"].cast("string")).otherwise(F.coalesce(m["detail"], m["status"]))
-    return F.concat(F.lit("- "), m["metric"], F.lit(": "), F.when(m["status"] == "missing", "missing").otherwise(text))
+def _summary_sql(records: DataFrame, name: str) -> str:
+    """Bullet list of a partition's metrics."""
+    shown = "CASE WHEN m.status = 'missing' THEN 'missing' WHEN m.kind = 'rows' THEN CAST(m.value AS STRING) ELSE coalesce(m.detail, m.status) END"
+    return f"array_join(transform({_metrics_sql(records, name)}, m -> concat('- ', m.metric, ': ', {shown})), chr(10))"
 
 
 def error_samples(records: DataFrame, samples: int = 5, width: int = 80) -> DataFrame:
@@ -181,37 +176,25 @@ def error_samples(records: DataFrame, samples: int = 5, width: int = 80) -> Data
     return records.select("symbol", F.size("fetch_errors").alias("errors"), lines.alias("samples"))
 
 
-def build_catalog(records: DataFrame) -> DataFrame:
-    """Catalog rows in plan order: chapters served, availability and a summary text."""
-    parts = [
-        F.struct(
-            F.lit(i).alias("part_no"),
-            F.lit(name).alias("partition"),
-            F.lit(title).alias("title"),
-            F.lit(chapters).alias("chapters"),
-            _status(records, keys).alias("status"),
-            F.array_join(F.transform(_metric_array(records, name), _bullet), "\n").alias("summary"),
-        )
+def _catalog_sql(records: DataFrame) -> list[str]:
+    quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
+    return [
+        f"named_struct('part_no', {i}, 'partition', {quoted(name)}, 'title', {quoted(title)}, 'chapters', {quoted(chapters)}, "
+        f"'status', {_status_sql(records, keys)}, 'summary', {_summary_sql(records, name)})"
         for i, (name, title, chapters, keys) in enumerate(fv.PARTITION_PLAN, 1)
     ]
-    return records.select("symbol", "timestamp", F.array(*parts).alias("parts")).select(
-        "symbol", "timestamp", F.inline("parts"))
+
+
+def build_catalog(records: DataFrame) -> DataFrame:
+    """Catalog rows in plan order: chapters served, availability and a summary text."""
+    return records.select("symbol", "timestamp", _inline(_catalog_sql(records)))
 
 
 def render_catalog(records: DataFrame) -> DataFrame:
     """The catalog of each record as one Markdown text."""
-    rows, blocks = [], []
-    for name, title, chapters, keys in fv.PARTITION_PLAN:
-        rows.append(F.concat(F.lit(f"| `{name}` | {chapters} | "), _status(records, keys), F.lit(" |")))
-        summary = F.array_join(F.transform(_metric_array(records, name), _bullet), "\n")
-        blocks.append(F.concat(F.lit(f"### `{name}`: {title}\n\n"), summary, F.lit("\n")))
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("# Data catalog: "), F.col("symbol")),
-        F.concat(F.lit("Snapshot of "), F.col("timestamp"), F.lit("\n")),
-        F.lit("| Partition | Chapters | Status |\n|---|---|---|"),
-        *rows,
-        F.lit(""),
-        *blocks,
-    )
-    return records.select("symbol", text.alias("catalog"))
+    parts = F.expr(f"array({', '.join(_catalog_sql(records))})")
+    text = F.expr("""array_join(concat(
+        array(concat('# Data catalog: ', symbol), concat('Snapshot of ', timestamp, chr(10)), '| Partition | Chapters | Status |', '|---|---|---|'),
+        transform(parts, p -> concat('| `', p.partition, '` | ', p.chapters, ' | ', p.status, ' |')),
+        transform(parts, p -> concat(chr(10), '### `', p.partition, '`: ', p.title, chr(10), chr(10), p.summary))), chr(10))""")
+    return records.select("symbol", "timestamp", parts.alias("parts")).select("symbol", text.alias("catalog"))

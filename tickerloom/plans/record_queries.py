@@ -12,18 +12,17 @@ from tickerloom.plans import discovery_queries as dq
 from tickerloom.plans.registry import joined, query
 from tickerloom.plans.source_queries import C_PARSED
 from tickerloom.plans.views import RUN_DATE, Views
+from tickerloom.session import materialize
 from tickerloom.sources import landed as landed_rules
 
 
 def statement_rows(v: Views) -> DataFrame:
-    field = F.concat_ws("_", "statement", "period")
-    rows = v.v_financials.withColumn("f", field).where(F.col("f").isin(en.STATEMENTS))
-    return en.field_rows(rows, F.col("f"), en.newest_first(), F.col("ord"), ["date", "revenue"])
+    rows = v.v_financials.withColumn("field", F.concat_ws("_", "statement", "period"))
+    return en.field_rows(rows, en.newest_first(), ["date", "revenue"])
 
 
 def news_rows(v: Views) -> DataFrame:
-    rows = v.v_news.where(F.col("field").isin(list(en.ROW_FIELDS)))
-    return en.field_rows(rows, F.col("field"), en.newest_first(), F.col("ord"), ["date", "value"])
+    return en.field_rows(v.v_news, en.newest_first(), ["date", "value"])
 
 
 def fundraising_of(v: Views) -> DataFrame:
@@ -38,8 +37,9 @@ def macro_of(v: Views) -> DataFrame:
 
 
 def records_of(v: Views) -> DataFrame:
+    # Five branches of the assembly start from the entries.
     return en.build_records(
-        dq.entries_of(v),
+        materialize(dq.entries_of(v), "entries"),
         profile=v.v_profile,
         row_datasets=[statement_rows(v), news_rows(v)],
         eod=v.v_eod,
@@ -287,7 +287,7 @@ def n12(v):
     from tickerloom.functions.collections import variant_populated
 
     rows = landed_rules.parse_payloads(v.v_landed)
-    return rows.select("event_id", variant_populated(F.col("body")).alias("populated"))
+    return rows.select("event_id", variant_populated("body").alias("populated"))
 
 
 _KEYS = "\nUNION ALL\n".join(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.collections import once, strict_json, variant_truthy
+from tickerloom.functions.collections import once, strict_json
 
 
 def _parsed(c: Column) -> Column:
@@ -39,6 +39,14 @@ def _all_objects(items: Column) -> Column:
     return F.forall(items, _is_object)
 
 
+def _truthy_text(path: str) -> Column:
+    """Text of a field of an object body when the field is truthy, else null."""
+    field = F.try_variant_get(F.col("body"), path, "variant")
+    falsy = F.to_json(field).isin("null", "[]", "{}", '""', "false", "0", "0.0")
+    return F.when(_is_object(F.col("body")) & ~falsy, F.coalesce(
+        F.try_variant_get(F.col("body"), path, "string"), F.to_json(field)))
+
+
 def parse_payloads(landed: DataFrame) -> DataFrame:
     """Parse ``payload`` once: adds ``body``, ``kind`` and ``parse_error``.
 
@@ -46,13 +54,7 @@ def parse_payloads(landed: DataFrame) -> DataFrame:
     error field is truthy.
     """
     parsed = landed.withColumn("body", once(_parsed(F.col("payload"))))
-    is_object = _is_object(F.col("body"))
-    message = [
-        F.when(is_object & variant_truthy(F.try_variant_get(F.col("body"), path, "variant")),
-               F.try_variant_get(F.col("body"), path, "string"))
-        for path in ("$['Error Message']", "$.error")
-    ]
-    vendor_error = F.coalesce(*message)
+    vendor_error = F.coalesce(*[_truthy_text(path) for path in ("$['Error Message']", "$.error")])
     error = F.when(F.col("payload").isNotNull() & F.col("body").isNull(), F.lit("invalid_json")).when(
         vendor_error.isNotNull(), F.concat(F.lit("vendor_error: "), vendor_error)
     )
