@@ -32,7 +32,8 @@ def test_status_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert [(r[0], r[1]) for r in want] == [("A", 0), ("A", 3), ("A", 5), ("B", 2), ("B", 4), ("C", 7)]
     source = stream(spark, events(spark), str(tmp_path / "in"), 4)
     out = str(tmp_path / "out")
-    jobs.run_to_table(jobs.status_change_stream(source), out, str(tmp_path / "state"))
+    jobs.status_change_stream(source, out, str(tmp_path / "last"), str(tmp_path / "state")).awaitTermination()
+    assert len(list((tmp_path / "out").iterdir())) == 4
     assert rows(spark.read.parquet(out), "symbol", "event_id", "previous", "status") == want
 
 

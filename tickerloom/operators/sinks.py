@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KEYS = ("date", "symbol")
 
@@ -47,18 +49,18 @@ def upsert(rows: DataFrame, path: str, *, order: str | None = None) -> None:
     incoming = latest_per_key(rows, order) if order else rows
     if order:
         incoming = incoming.drop(order)
-    if not _exists(spark, path):
-        replace_dates(incoming, path)
-        return
-    # The table was written with these columns; naming them keeps date a date.
-    existing = spark.read.schema(incoming.schema).parquet(path)
-    replace_dates(merged(existing, incoming), path)
-
-
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    existing = read_if_present(spark, path, incoming.schema)
+    replace_dates(incoming if existing is None else merged(existing, incoming), path)
+
+
+def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table at ``path`` read with a given schema, or None before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def json_lines(rows: DataFrame, column: str = "json") -> DataFrame:

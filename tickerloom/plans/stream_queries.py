@@ -62,6 +62,6 @@ def t03(v):
 
 @query("t03_status_stream", _CHANGES)
 def t03_stream(v):
-    path, checkpoint = scratch_dir(v.spark, "changes"), scratch_dir(v.spark, "state")
-    jobs.run_to_table(jobs.status_change_stream(status_events(stream_of(v, "events"))), path, checkpoint)
-    return _changes(v.spark.read.schema(jobs.CHANGE_SCHEMA).parquet(path))
+    path, state, checkpoint = (scratch_dir(v.spark, n) for n in ("changes", "last", "state"))
+    jobs.status_change_stream(status_events(stream_of(v, "events")), path, state, checkpoint).awaitTermination()
+    return _changes(v.spark.read.schema(jobs.CHANGE_SCHEMA).option("recursiveFileLookup", "true").parquet(path))

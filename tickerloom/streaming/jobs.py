@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom.functions.ordered import previous_value
 from tickerloom.functions.scalars import blank_to_null
 from tickerloom.operators.discovery import unprocessed
 from tickerloom.operators.gate import check_documents
-from tickerloom.operators.sinks import upsert
+from tickerloom.operators.sinks import read_if_present, upsert
 
 
 def discovery_stream(calendar: DataFrame, keys: DataFrame, watermark: str = "7 days") -> DataFrame:
@@ -66,30 +64,38 @@ def status_changes(events: DataFrame) -> DataFrame:
     return seen.where(changed).select("symbol", "ts", "event_id", "previous", "status")
 
 
-def _emit_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"], kind="stable")
-    last = state.get[0] if state.exists else None
-    previous = rows["status"].shift(1)
-    previous.iloc[0] = last
-    rows = rows.assign(symbol=key[0], previous=previous.astype(object).where(previous.notna(), None))
-    state.update((str(rows["status"].iloc[-1]),))
-    yield rows.loc[rows["status"] != rows["previous"], ["symbol", "ts", "event_id", "previous", "status"]]
+def status_change_stream(events: DataFrame, path: str, state: str, checkpoint: str):
+    """Stream form: compares new rows with the last status kept per symbol.
 
-
-def status_change_stream(events: DataFrame) -> DataFrame:
-    """Stream form: the state is one status per symbol.
-
-    A micro-batch holds a symbol's new rows only; its size is set on the
-    source (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``).
+    The last statuses form a small table with one version per micro-batch; a
+    batch reads the version before it and writes its own, so a repeated batch
+    gives the same files.  Within a batch the skew-proof batch operator runs:
+    no symbol's rows are gathered in one task.
     """
+    def store(batch: DataFrame, epoch: int) -> None:
+        new = batch.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
+        spark = new.sparkSession
+        known = read_if_present(spark, f"{state}/v={epoch - 1}", new.schema) if epoch else None
+        rows = new.withColumn("fresh", F.lit(True))
+        if known is not None:
+            before = known.join(new.select("symbol").distinct(), "symbol", "left_semi").withColumn("fresh", F.lit(False))
+            rows = rows.unionByName(before)
+        # Stored rows come first whatever their time stamp, then the batch in time order.
+        bucket = F.when(F.col("fresh"), F.to_date("ts")).otherwise(F.lit("0001-01-01").cast("date"))
+        seen = previous_value(rows, ["symbol"], ["fresh", "ts", "event_id"], "status", bucket, "previous")
+        changed = F.col("fresh") & ~F.col("status").eqNullSafe(F.col("previous"))
+        seen.where(changed).select("symbol", "ts", "event_id", "previous", "status").write.mode("overwrite").parquet(
+            f"{path}/epoch={epoch}")
+        last = new.groupBy("symbol").agg(F.max(F.struct("ts", "event_id", "status")).alias("s")).select("symbol", "s.*")
+        if known is not None:
+            last = last.unionByName(known.join(new.select("symbol").distinct(), "symbol", "left_anti"))
+        last.write.mode("overwrite").parquet(f"{state}/v={epoch}")
+
     return (
-        events.select("symbol", F.col("ts").cast("timestamp"), "event_id", "status")
-        .groupBy("symbol")
-        .applyInPandasWithState(
-            _emit_changes, CHANGE_SCHEMA, "status STRING", "append", GroupStateTimeout.NoTimeout)
+        events.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
