@@ -114,11 +114,12 @@ def apply_corrections(versions: DataFrame, events: DataFrame) -> DataFrame:
     """New version rows: the current text of every prompt plus each event's block.
 
     Nothing is rewritten; the caller appends the result to the version table,
-    whose older rows are the archive.  ``events`` is one row per correction
-    run, so the pairing is one row per prompt.
+    whose older rows are the archive.  ``events`` holds one row at most (a
+    scalar subquery refuses more); without one there is nothing to add.
     """
-    event = events.select(F.struct("*").alias("event"))
-    return current_versions(versions).join(F.broadcast(event)).select(
+    event = events.select(F.struct("*").alias("event")).scalar()
+    corrected = current_versions(versions).withColumn("event", event).where("event is not null")
+    return corrected.select(
         "prompt",
         F.col("event.timestamp").cast("timestamp").alias("version_ts"),
         corrected_content(F.col("content")).alias("content"),

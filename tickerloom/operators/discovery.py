@@ -157,13 +157,14 @@ def window_benchmark(entries: DataFrame, eod: DataFrame, run_date: date | str, m
                      ) -> DataFrame:
     """Adds ``benchmark_eod_recent``: the shared benchmark cut to each entry's window.
 
-    The broadcast side is one row of at most ``2 * max_rows`` prices.
+    The benchmark is a scalar subquery: one value of at most ``2 * max_rows``
+    prices, computed once.
     """
     cut = F.slice(
         F.filter("benchmark", lambda p: p["date"].isNull() | (p["date"] >= F.col("window_from"))), 1, max_rows
     )
     return (
-        entries.join(F.broadcast(benchmark_rows(eod, run_date, max_rows=max_rows)))
+        entries.withColumn("benchmark", benchmark_rows(eod, run_date, max_rows=max_rows).scalar())
         .withColumn("benchmark_eod_recent", cut)
         .drop("benchmark")
     )

@@ -322,9 +322,9 @@ def build_records(
     if macro is None:
         flat = flat.withColumn("global_market_context", F.lit(None).cast("struct<prefetch_as_of: date>"))
     else:
-        # One row of a few hundred points at most, see MACRO_TRIM.
-        bundle = macro_bundle(macro, run_date).select(F.struct("*").alias("global_market_context"))
-        flat = flat.join(F.broadcast(bundle))
+        # One value of a few hundred points at most, see MACRO_TRIM.
+        bundle = macro_bundle(macro, run_date).select(F.struct("*").alias("bundle"))
+        flat = flat.withColumn("global_market_context", bundle.scalar())
 
     rows = lambda *names: ", ".join(f"coalesce({n}, CAST(array() AS array<variant>)) AS {n}" for n in names)
     points = lambda n: f"coalesce({n}, CAST(array() AS {POINTS}))"
