@@ -11,8 +11,8 @@ DAY = dt.date
 
 
 def calendar(spark):
-    data = [(0, "NOVA", DAY(2026, 5, 9)), (1, None, DAY(2026, 5, 9)), (2, "BETA", DAY(2026, 5, 1)), (3, "", DAY(2026, 5, 2)),
-            (4, "OLD", DAY(2026, 1, 1)), (5, "NOVA", DAY(2026, 5, 10))]
+    data = [(0, "QUIX", DAY(2026, 5, 9)), (1, None, DAY(2026, 5, 9)), (2, "BETA", DAY(2026, 5, 1)), (3, "", DAY(2026, 5, 2)),
+            (4, "OLD", DAY(2026, 1, 1)), (5, "QUIX", DAY(2026, 5, 10))]
     return spark.createDataFrame(data, "ord LONG, symbol STRING, date DATE").withColumn("cik", F.lit("320193"))
 
 
@@ -22,18 +22,18 @@ def test_discover_override_cap(spark):
     assert rows(d.override_entries(spark, ["aapl", "tsla"]), "symbol") == [("AAPL",), ("TSLA",)]
     assert rows(d.cap(found, 2), "ord") == [(0,), (2,)]
     assert d.cap(found, 0).count() == d.cap(found, None).count() == 3
-    assert rows(d.first_entries(found), "symbol", "ord") == [("BETA", 2), ("NOVA", 0)]
+    assert rows(d.first_entries(found), "symbol", "ord") == [("BETA", 2), ("QUIX", 0)]
     summary = d.discovery_summary(found, "2026-05-10").first()
     assert (summary["count"], summary["symbols"]) == (3, 2)
 
 
 def test_unprocessed_looks_at_any_date_and_only_at_canonical_keys(spark):
     keys = spark.createDataFrame([(k,) for k in (
-        "reports/2020-01-01/nova_report.md", "reports/2026-01-01/notes.tmp", "wrong/2026-01-01/BETA_report.md",
+        "reports/2020-01-01/quix_report.md", "reports/2026-01-01/notes.tmp", "wrong/2026-01-01/BETA_report.md",
         "metrics/2026-01-01/BETA_metrics.json")], "key STRING")
-    entries = spark.createDataFrame([("NOVA",), ("BETA",), ("nova",)], "symbol STRING")
+    entries = spark.createDataFrame([("QUIX",), ("BETA",), ("quix",)], "symbol STRING")
     # Only the stored side is upper-cased.
-    assert rows(d.unprocessed(entries, keys), "symbol") == [("BETA",), ("nova",)]
+    assert rows(d.unprocessed(entries, keys), "symbol") == [("BETA",), ("quix",)]
 
 
 def test_price_window(spark):

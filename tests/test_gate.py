@@ -10,13 +10,13 @@ from tickerloom.operators import gate as g
 HEADS = ["一、核心摘要 (Executive Summary)", "二、速览 (IPO Snapshot)", "三、基本面 (Fundamental Analysis)", "四、财务 (Financial Health)",
          "五、股权 (Ownership)", "六、正向 (The Bull Case)", "七、反向 (The Bear Case)", "八、综合 (Synthesis)"]
 GOOD_METRICS = {
-    "symbol": "NOVA", "analysis_date": "2026-01-15", "market": "US", "company_display_name": "Nova", "confidence": 0.65,
+    "symbol": "QUIX", "analysis_date": "2026-01-15", "market": "US", "company_display_name": "Quix", "confidence": 0.65,
     "predicted_price": 42.5, "signal": "bullish", "risk_score": 0.35, "sector": "Tech", "catalysts_count": 4, "risks_count": 5,
     "data_completeness": 0.7, "subscription_recommendation": "subscribe"}
 
 
 def report(chapters=8, urls=8, extra="", tiers=("积极关注", "积极关注")):
-    parts = ["# 《Nova》\n"]
+    parts = ["# 《Quix》\n"]
     for i, h in enumerate(HEADS[:chapters]):
         tier = tiers[0] if i == 0 else tiers[1] if i == 7 else ""
         parts.append(f"## {h}\n\n{tier} {'text ' * 100}[1]\n")

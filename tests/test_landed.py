@@ -3,7 +3,7 @@ from tickerloom.sources import artifacts, landed
 from tickerloom.sources.catalog import BY_NAME, DATASETS, names_with_shape
 
 PAYLOADS = [
-    (1, '[{"symbol":"NOVA","date":"2026-05-09"}]'), (2, "[]"), (3, '{"unexpected":"shape"}'),
+    (1, '[{"symbol":"QUIX","date":"2026-05-09"}]'), (2, "[]"), (3, '{"unexpected":"shape"}'),
     (4, '{"symbol":"AAPL","historical":[{"date":"2026-01-15","close":42.0},{"date":"2026-01-16"}]}'),
     (5, '{"error":"rate limited"}'), (6, None), (7, '[{"a":1},5]'), (8, "7"), (9, "{bad"), (10, "null"),
     (11, '{"Error Message":"no"}'), (12, '{"error":""}'), (13, '{"historical":5}'),

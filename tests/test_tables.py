@@ -148,7 +148,7 @@ def empty(spark, schema):
 
 def record(spark, entry, landed=(), macro=None):
     profile = spark.createDataFrame(
-        [("NOVA", "Nova", "320193", "Tech", None, "Chips", None, 10, None, "w", "d" * 100)],
+        [("QUIX", "Quix", "320193", "Tech", None, "Chips", None, 10, None, "w", "d" * 100)],
         "symbol STRING, company_name STRING, cik STRING, sector STRING, sector_formatted STRING, industry STRING, industry_formatted STRING, "
         "employees LONG, ceo STRING, website STRING, description STRING")
     return en.build_records(
@@ -156,7 +156,7 @@ def record(spark, entry, landed=(), macro=None):
                                        "cik STRING, price_range STRING, shares LONG, market_cap LONG"),
         profile=profile,
         row_datasets=[en.field_rows(
-            spark.createDataFrame([("NOVA", "income_statement_annual", DAY(2025, 1, 1) + dt.timedelta(i), i) for i in range(20)],
+            spark.createDataFrame([("QUIX", "income_statement_annual", DAY(2025, 1, 1) + dt.timedelta(i), i) for i in range(20)],
                                   "symbol STRING, field STRING, date DATE, ord LONG"), en.newest_first(), ["date"])],
         eod=empty(spark, "symbol STRING, date DATE, close DOUBLE, adj_close DOUBLE, ord LONG"),
         series=empty(spark, "level STRING, name STRING, date DATE, ord LONG, value DOUBLE"),
@@ -167,9 +167,9 @@ def record(spark, entry, landed=(), macro=None):
 
 
 def test_record_sections_catalog_and_payloads(spark):
-    landed = [(1, "NOVA", "quote", 200, '{"price": 1}'), (2, "NOVA", "quote", 200, '{"price": 2}'), (3, "NOVA", "stock-peers", 200, '[{"s":"X"}]'),
-              (4, "NOVA", "company-notes", 200, "[1]"), (5, "NOVA", "ratios-ttm", 503, None)]
-    docs = record(spark, (1, "NOVA", DAY(2026, 1, 10), None, "Nova", "NYSE", None, None, 5, 7), landed).cache()
+    landed = [(1, "QUIX", "quote", 200, '{"price": 1}'), (2, "QUIX", "quote", 200, '{"price": 2}'), (3, "QUIX", "stock-peers", 200, '[{"s":"X"}]'),
+              (4, "QUIX", "company-notes", 200, "[1]"), (5, "QUIX", "ratios-ttm", 503, None)]
+    docs = record(spark, (1, "QUIX", DAY(2026, 1, 10), None, "Quix", "NYSE", None, None, 5, 7), landed).cache()
     row = docs.first()
     assert row["resolved_cik"] == "0000320193" and len(row["financials"]["income_statement_annual"]) == 8
     newest = json.loads(row["financials"]["income_statement_annual"][0].toJson())

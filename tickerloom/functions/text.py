@@ -34,3 +34,12 @@ def language_tags(c: Column) -> Column:
 def matching_lines(c: Column, pattern: str) -> Column:
     """Count of lines holding at least one match (occurrences on a line count once)."""
     return F.size(F.filter(F.split(c, "\n"), lambda line: F.rlike(line, F.lit(pattern))))
+
+
+def missing_phrase_count(c: Column) -> Column:
+    """Occurrences of the phrases for missing information.
+
+    The look-ahead names their first letters, so the engine skips every other
+    position instead of trying each phrase there.
+    """
+    return hits(c, "(?iu)(?=[NU无暂数信未])(?:" + fv.MISSING_PHRASE + ")")

@@ -40,7 +40,7 @@ def measure(docs: DataFrame) -> DataFrame:
         docs.withColumn("report_chars", F.length(report))
         .withColumn("tags", tx.language_tags(report))
         .withColumn("report_url_count", tx.url_count(report))
-        .withColumn("unknown_phrase_count", tx.hits(report, fv.MISSING_PHRASE))
+        .withColumn("unknown_phrase_count", tx.missing_phrase_count(report))
         .withColumn("numbered_chapter_count", tx.hits(report, fv.NUMBERED_CHAPTER))
         .withColumn("total_h2_count", tx.hits(report, fv.ANY_H2))
         .withColumn("metrics_valid", F.when(metrics.isNotNull(), valid))
