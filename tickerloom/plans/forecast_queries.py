@@ -9,7 +9,7 @@ from tickerloom.operators import deviation as dev
 from tickerloom.plans.registry import iso, query
 from tickerloom.plans.source_queries import C_FORECASTS
 from tickerloom.plans.views import RUN_DATE, Views
-from tickerloom.session import scratch_dir
+from tickerloom.session import materialize, scratch_dir
 
 C_TARGET = "SELECT *, CAST(metrics_date + INTERVAL 30 DAY AS DATE) AS target FROM {c_f}"
 C_DATED = """
@@ -203,7 +203,8 @@ FROM (SELECT *, SUM(CASE WHEN within_threshold THEN 1 ELSE 0 END) OVER (PARTITIO
   FROM {c_history} WHERE within_threshold IS NOT NULL) t
 WHERE NOT within_threshold GROUP BY symbol, g HAVING COUNT(*) >= 3""", **CTES)
 def e13(v):
-    return b.miss_streaks(history_of(v)).select("symbol", iso("first_date"), iso("last_date"), "streak")
+    # The two-level running total reads its input twice; in production that is the stored history table.
+    return b.miss_streaks(materialize(history_of(v), "history")).select("symbol", iso("first_date"), iso("last_date"), "streak")
 
 
 @query("e14_meta_review", """
