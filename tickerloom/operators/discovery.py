@@ -21,7 +21,7 @@ from tickerloom.functions.scalars import (
     strip,
 )
 from tickerloom.sources.artifacts import parse_report_keys
-from tickerloom.sources.scans import calendar_between, first_per_group, window_page
+from tickerloom.sources.scans import first_per_group, window_page
 
 
 def _day(d: date | str) -> Column:

@@ -14,7 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.scalars import normalize_symbol, strip
+from tickerloom.functions.scalars import normalize_symbol
 
 PERIODS = ("annual", "quarter")
 
@@ -83,7 +83,3 @@ def stored_metrics(requests: DataFrame, metrics: DataFrame) -> DataFrame:
     """Attach the stored metrics text of each (symbol, date); absent ones stay null."""
     right = metrics.select("symbol", F.col("date").alias("metrics_date"), "metrics_json")
     return requests.join(right, ["symbol", "metrics_date"], "left")
-
-
-def valid_names(rows: DataFrame) -> DataFrame:
-    return rows.where(strip(F.col("name")) != "")
