@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import decontaminate, language_id, packing, quality, simhash, token_counts
+from tickerloom.llm import decontaminate, html_extract, language_id, licenses, order_minhash, packing, preferences, quality, simhash, token_counts
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op2_preference_formatting", preferences.SQL)
+def preference_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return preferences.format_pairs(preferences.paired(table(spark, folder, "conversations")))
+
+
+@query("op3_html_extraction")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 @query("op4_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -39,6 +49,11 @@ def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op6_order_minhash")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.fingerprint(table(spark, folder, "documents"))
+
+
 @query("op7_language_id")
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
@@ -52,3 +67,8 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_license_scans")
+def license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
