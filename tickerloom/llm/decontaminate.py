@@ -27,10 +27,12 @@ SKETCH = 64
 WINDOW = 12
 STEP = 4
 PASSAGE = 32
-#: Share of a window's words that must stand in the benchmark to be searched at all.
-KNOWN = 0.6
-#: Cosine that makes a candidate.
-COSINE = 0.6
+#: Share of a window's words that must stand in the benchmark to be searched: some window of a leak has the leak's share.
+KNOWN = 0.8
+#: Cosine that makes a candidate, and share of its words that must meet, shifted by at most ``SHIFT`` words, before the full check.
+COSINE = 0.75
+MEETING = 0.5
+SHIFT = 2
 #: Share of an item's words in the common subsequence, and of its answer words near it, that make a leak.
 SUBSEQUENCE = 0.8
 ANSWER = 0.6
@@ -173,64 +175,82 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-@dataclass
+class Windows:
+    """Windows of ``size`` words of some items, one word apart, so that a text's windows may stand ``step`` words apart."""
+
+    def __init__(self, bench: Benchmark, vectors: np.ndarray, items: list[int], size: int, step: int):
+        self.size, self.step = size, step
+        spots = [(k, a) for k in items for a in range(len(bench.items[k]) - size + 1)]
+        self.owner = np.array([k for k, _ in spots], np.int64)
+        self.offset = np.array([a for _, a in spots], np.int64)
+        self.words = np.stack([bench.items[k][a : a + size] for k, a in spots])
+        self.unit = _unit(sum(vectors[bench.places(self.words[:, t])] for t in range(size)))
+
+    def candidates(self, h: np.ndarray, place: np.ndarray, begin: np.ndarray, finish: np.ndarray, vectors: np.ndarray):
+        """Arrays (first word, item, where the item would start, cosine) of the windows that are near an item."""
+        known = np.append(0, np.cumsum(place >= 0))
+        at = np.flatnonzero(((np.arange(len(h)) - begin) % self.step == 0) & (np.arange(len(h)) + self.size <= finish))
+        at = at[known[at + self.size] - known[at] >= np.ceil(KNOWN * self.size)]
+        for lo in range(0, len(at), 2048):
+            a = at[lo : lo + 2048]
+            total = np.zeros((len(a), vectors.shape[1]), np.float32)
+            for t in range(self.size):
+                inside = place[a + t]
+                total += np.where((inside >= 0)[:, None], vectors[inside], 0)
+            near = _unit(total) @ self.unit.T
+            i, j = np.divmod(np.flatnonzero(near.ravel() >= COSINE), len(self.unit))
+            meeting = np.zeros(len(i), np.int64)
+            for shift in range(-SHIFT, SHIFT + 1):
+                same = np.zeros(len(i), np.int64)
+                for t in range(self.size):
+                    same += h[np.clip(a[i] + t + shift, 0, len(h) - 1)] == self.words[j, t]
+                meeting = np.maximum(meeting, same)
+            keep = meeting >= MEETING * self.size
+            i, j = i[keep], j[keep]
+            yield a[i], self.owner[j], a[i] - self.offset[j], near[i, j]
+
+
 class Finder:
-    bench: Benchmark
-    vectors: np.ndarray
-    windows: np.ndarray = field(init=False)
-    owner: np.ndarray = field(init=False)
-    offset: np.ndarray = field(init=False)
+    """Latent vectors of the benchmark's words and windows, and the confirmation of candidates."""
 
-    def __post_init__(self):
-        rows, owner, offset = [], [], []
-        for k, item in enumerate(self.bench.items):
-            place = self.bench.places(item)
-            # Two words apart at most from any window of a text, which stand STEP words apart.
-            for a in range(0, max(len(item) - WINDOW, 0) + 1, max(STEP // 2, 1)):
-                rows.append(self.vectors[place[a : a + WINDOW]].sum(axis=0))
-                owner.append(k)
-                offset.append(a)
-        self.windows = _unit(np.array(rows)) if rows else np.zeros((0, self.vectors.shape[1]), np.float32)
-        self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
+    def __init__(self, bench: Benchmark, vectors: np.ndarray):
+        self.bench, self.vectors = bench, vectors
+        # A window of WINDOW words at every STEP-th word lies inside any copy of so many words; shorter items are searched whole.
+        long = [k for k, item in enumerate(bench.items) if len(item) >= WINDOW + STEP - 1]
+        self.groups = [Windows(bench, vectors, long, WINDOW, STEP)] if long else []
+        for size in sorted({len(item) for item in bench.items if len(item) < WINDOW + STEP - 1}):
+            self.groups.append(Windows(bench, vectors, [k for k, item in enumerate(bench.items) if len(item) == size], size, 1))
 
     def search(self, h: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, float, float]]:
         """Confirmed leaks in a block: (text, item, common words, share of the item, cosine)."""
+        if not len(h):
+            return []
         place = self.bench.places(h)
-        known = np.append(0, np.cumsum(place >= 0))
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
-        begin = np.repeat(first, np.diff(np.append(first, len(h))))
-        finish = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h))))
-        at = np.flatnonzero((np.arange(len(h)) - begin) % STEP == 0)
-        end = np.minimum(at + WINDOW, finish[at])
-        at_least = np.maximum(KNOWN * (end - at), min(WINDOW, 3))
-        keep = (known[end] - known[at] >= at_least) | ((known[end] - known[at] >= KNOWN * (end - at)) & (at == begin[at]))
-        at, end = at[keep], end[keep]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        stop = np.append(first[1:], len(h))
+        begin, finish = np.repeat(first, stop - first), np.repeat(stop, stop - first)
         hits: dict[tuple[int, int], list] = {}
-        for lo in range(0, len(at), 4096):
-            a, e = at[lo : lo + 4096], end[lo : lo + 4096]
-            index = np.minimum(a[:, None] + np.arange(WINDOW), len(h) - 1)
-            inside = place[index]
-            vectors = self.vectors[np.maximum(inside, 0)]
-            vectors[(inside < 0) | (a[:, None] + np.arange(WINDOW) >= e[:, None])] = 0
-            near = _unit(vectors.sum(axis=1)) @ self.windows.T
-            for i, j in zip(*np.nonzero(near >= COSINE), strict=True):
-                cosine = float(near[i, j])
-                key = int(owner[a[i]]), int(self.owner[j])
-                hits.setdefault(key, []).append((int(a[i] - self.offset[j]), cosine))
+        for group in self.groups:
+            for found in group.candidates(h, place, begin, finish, self.vectors):
+                for a, item, start, cosine in zip(*(x.tolist() for x in found), strict=True):
+                    hits.setdefault((a, item, start), []).append(cosine)
+        places: dict[tuple[int, int], list] = {}
+        for (a, item, start), cosines in hits.items():
+            places.setdefault((int(owner[a]), item), []).append((start, max(cosines), a))
         out = []
-        for (text, item), found in hits.items():
-            best = None
-            words = self.bench.items[item]
-            looked = None
-            for start, cosine in sorted(found, key=lambda x: (x[0], -x[1])):
-                if looked is not None and start - looked < max(len(words) // 4, 2):
+        for (text, item), found in places.items():
+            words, best, looked = self.bench.items[item], None, None
+            margin = len(words) // 4 + 2
+            for start, cosine, a in sorted(found):
+                if looked is not None and start - looked < max(len(words) // 8, 1) and best is not None:
+                    best = (*best[:2], max(best[2], cosine))
                     continue
-                looked = start
-                k = np.searchsorted(owner, text)
-                a, e = max(start - len(words) // 4 - 2, int(k)), min(start + len(words) + len(words) // 4 + 2, int(np.searchsorted(owner, text, "right")))
-                length, share, answered = self.confirm(words, h[a:e])
-                if answered and (best is None or length > best[0]):
-                    best = length, share, cosine
+                region = h[max(start - margin, int(begin[a])) : min(start + len(words) + margin, int(finish[a]))]
+                length, share, leak = self.confirm(words, region)
+                if leak:
+                    looked = start
+                    if best is None or length > best[0]:
+                        best = length, share, cosine
             if best:
                 out.append((text, item, *best))
         return out
