@@ -45,16 +45,37 @@ def test_discovery_stream(spark, tmp_path):
     assert rows(spark.read.parquet(out), "symbol") == [("A",), ("C",)]
 
 
+def test_discovery_stream_loses_no_late_symbol(spark, tmp_path):
+    keys = spark.createDataFrame([("reports/2025-01-01/q_report.md",)], "key STRING")
+    days = [("A", 200), ("A", 210), ("B", 40), ("Z", 211), ("B", 212)]
+    path = str(tmp_path / "in")
+    for i, (symbol, day) in enumerate(days):
+        one = spark.createDataFrame([(symbol, dt.datetime(2026, 1, 1) + dt.timedelta(days=day), i, "x")], EVENTS)
+        one.coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    out = str(tmp_path / "out")
+    jobs.run_to_table(jobs.discovery_stream(source, keys).select("symbol"), out, str(tmp_path / "state"))
+    assert rows(spark.read.parquet(out), "symbol") == [("A",), ("B",), ("Z",)]
+
+
+def test_gate_stream_keeps_one_row_of_a_key_in_one_batch(spark, tmp_path):
+    both = docs(spark, a={"critique": None}, b={}).withColumn("symbol", F.lit("X")).withColumn("date", F.lit("2026-01-01").cast("date"))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    both.coalesce(1).write.parquet(path)
+    jobs.gate_stream(spark.readStream.schema(both.schema).parquet(path), out, str(tmp_path / "state"), "doc_key").awaitTermination()
+    assert rows(spark.read.parquet(out), "symbol", "passed") == [("X", True)]
+
+
 def test_gate_stream_replaces_by_key(spark, tmp_path):
     first = docs(spark, x={}, y={"critique": None}).withColumn("symbol", F.upper("doc_key")).withColumn("date", F.lit("2026-01-01").cast("date"))
     path = str(tmp_path / "in")
     first.coalesce(1).write.parquet(path)
     source = lambda: spark.readStream.schema(first.schema).parquet(path)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    jobs.gate_stream(source(), out, state).awaitTermination()
+    jobs.gate_stream(source(), out, state, "doc_key").awaitTermination()
     assert rows(spark.read.parquet(out), "symbol", "passed") == [("X", True), ("Y", False)]
     first.where("doc_key = 'y'").withColumn("critique", F.lit("done")).coalesce(1).write.mode("append").parquet(path)
-    jobs.gate_stream(source(), out, state).awaitTermination()
+    jobs.gate_stream(source(), out, state, "doc_key").awaitTermination()
     assert rows(spark.read.parquet(out), "symbol", "passed") == [("X", True), ("Y", True)]
 
 

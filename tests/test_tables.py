@@ -4,10 +4,11 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tests.helpers import rows
+from tests.helpers import plan_of, rows
 from tickerloom import fixed_values as fv
 from tickerloom.functions import ordered
 from tickerloom.operators import enrich as en
@@ -120,6 +121,28 @@ def test_upsert_replaces_by_key_and_keeps_other_dates(spark, tmp_path):
         assert rows(spark.read.parquet(path), "date", "symbol", "body") == sorted(want, key=repr)
 
 
+def test_upsert_refuses_repeated_keys_without_an_order(spark, tmp_path):
+    twice = spark.createDataFrame([(DAY(2026, 1, 1), "A", "x"), (DAY(2026, 1, 1), "A", "y")], "date DATE, symbol STRING, body STRING")
+    with pytest.raises(ValueError):
+        sinks.upsert(twice, str(tmp_path / "table"))
+
+
+def test_upsert_reads_touched_dates_only_and_finishes_what_was_broken_off(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "date DATE, symbol STRING, body STRING"
+    sinks.upsert(spark.createDataFrame([(DAY(2026, 1, d), "A", "old") for d in (1, 2, 3)], schema), path)
+    stored = spark.read.schema(schema).parquet(path)
+    plan = plan_of(sinks.touched_dates(stored, [DAY(2026, 1, 2)]))
+    assert "DataFilters: []" in plan and "PartitionFilters: [isnotnull(date" in plan or "Par...: [isnotnull(date" in plan
+    assert sinks.touched_dates(stored, [DAY(2026, 1, 2)]).inputFiles() and "Filter " not in plan.replace("DataFilters", "")
+    # A call that died after its rows were complete, before or while they replaced the table's.
+    spark.createDataFrame([(DAY(2026, 1, 2), "A", "kept"), (DAY(2026, 1, 2), "B", "new")], schema).write.parquet(f"{path}__pending")
+    sinks.upsert(spark.createDataFrame([(DAY(2026, 1, 2), "B", "newer")], schema), path)
+    assert rows(spark.read.parquet(path), "date", "symbol", "body") == [
+        (DAY(2026, 1, 1), "A", "old"), (DAY(2026, 1, 2), "A", "kept"), (DAY(2026, 1, 2), "B", "newer"), (DAY(2026, 1, 3), "A", "old")]
+    assert not (tmp_path / "table__pending").exists()
+
+
 def test_json_lines_keep_nulls_and_text(spark):
     df = spark.createDataFrame([(DAY(2026, 1, 1), None, "研报")], "day DATE, cik STRING, label STRING")
     assert sinks.json_lines(df).first()["json"] == '{"day":"2026-01-01","cik":null,"label":"研报"}'

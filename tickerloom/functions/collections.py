@@ -45,9 +45,19 @@ def strict_json(c: Column) -> Column:
     """True only if the whole text is exactly one JSON value.
 
     The JSON readers accept trailing garbage; wrapping the text as an array
-    and counting one element rejects it.
+    and counting one element rejects it.  A text that closes the array itself
+    (``{}] x``) counts one element whatever follows, so a second element behind
+    the text has to be seen, too.
     """
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False))
+    def elements(*parts: str) -> Column:
+        return F.json_array_length(F.concat(F.lit("["), c, F.lit("".join(parts))))
+
+    return F.coalesce((elements("]") == 1) & (elements(",0]") == 2), F.lit(False))
+
+
+def looks_like_object(c: Column) -> Column:
+    """The first character after JSON's blanks opens an object."""
+    return F.coalesce(c.rlike(r"^[ \t\n\r]*\{"), F.lit(False))
 
 
 def once(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
 from tickerloom.functions import text as tx
-from tickerloom.functions.collections import strict_json
+from tickerloom.functions.collections import looks_like_object, strict_json
 
 REFERENCE_ENTRY = r"(?md)^\[(\d+)\] [^\n]*(https?://[^\s]+)[^\n]*Accessed \d{4}-\d{2}-\d{2}"
 SCORE_ROW = r"(?md)^\| [^|\n]+ \| (\d)/5 \|"
@@ -118,7 +118,7 @@ def metric_rules(docs: DataFrame) -> DataFrame:
     """Domain rule violations of a metrics document (valid objects only)."""
     text = F.col("metrics_json")
     body = F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>"), F.lit(0))
-    valid = docs.where(strict_json(text) & F.ltrim(text).startswith("{")).withColumn("m", body)
+    valid = docs.where(strict_json(text) & looks_like_object(text)).withColumn("m", body)
     value = lambda k: F.col("m")[k]
     unit = lambda k: F.when(~F.coalesce(value(k).try_cast("double").between(0, 1), F.lit(False)), k + "_range")
     missing = F.array_except(F.array(*[F.lit(k) for k in fv.METRIC_SCHEMA_KEYS]), F.map_keys("m"))

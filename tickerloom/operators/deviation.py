@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
 from tickerloom.functions.collections import once, strict_json
+from tickerloom.session import last_key_wins
 from tickerloom.sources.scans import stored_metrics
 
 
@@ -76,6 +77,7 @@ def as_of_price(requests: DataFrame, eod: DataFrame, tolerance: int = fv.PRICE_T
 
 def read_forecasts(requests: DataFrame, metrics: DataFrame) -> DataFrame:
     """Requests with the fields of their stored metrics document and a status."""
+    last_key_wins(requests.sparkSession)
     text = F.col("metrics_json")
     found = stored_metrics(requests, metrics)
     body = F.when(strict_json(text), F.try_parse_json(text))

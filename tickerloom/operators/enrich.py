@@ -169,8 +169,9 @@ def newest_first(day: str = "date") -> list[Column]:
 
 def fold_fields(rows: DataFrame, fields: Sequence[str] = tuple(ROW_FIELDS)) -> DataFrame:
     """One row per symbol with one array per field; every list was cut before."""
+    # Dealt by symbol once, both aggregates then run where the rows are.
     lists = (
-        rows.groupBy("symbol", "field")
+        rows.repartition("symbol").groupBy("symbol", "field")
         .agg(F.collect_list(F.struct("rank", "row")).alias("ranked"))
         .withColumn("list", F.expr("transform(array_sort(ranked, (a, b) -> a.rank - b.rank), x -> x.row)"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
 from tickerloom.functions import text as tx
-from tickerloom.functions.collections import strict_json
+from tickerloom.functions.collections import looks_like_object, strict_json
 
 
 def thresholds(spark: SparkSession) -> DataFrame:
@@ -33,7 +33,7 @@ def measure(docs: DataFrame) -> DataFrame:
     valid = strict_json(metrics)
     values = F.from_json(F.concat(F.lit("["), metrics, F.lit("]")), "array<map<string,string>>")
     # A valid document that is not an object parses to no map and skips the field rules.
-    fields = F.when(valid & F.ltrim(metrics).startswith("{"), F.get(values, F.lit(0)))
+    fields = F.when(valid & looks_like_object(metrics), F.get(values, F.lit(0)))
     keys = F.map_keys("fields")
     empty = F.filter(F.map_values("fields"), lambda v: v.isNull() | v.isin(*fv.EMPTY_MARKERS))
     return (

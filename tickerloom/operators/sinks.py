@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tickerloom.session import materialize
+
 KEYS = ("date", "symbol")
 
 
@@ -19,9 +21,8 @@ def latest_per_key(rows: DataFrame, order: str, keys: Sequence[str] = KEYS) -> D
 
 
 def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Contents of the touched dates after the upsert."""
-    touched = existing.join(incoming.select("date").distinct(), "date", "left_semi")
-    kept = touched.join(incoming.select(*keys), list(keys), "left_anti")
+    """Contents of the touched dates after the upsert; ``existing`` holds these dates only."""
+    kept = existing.join(incoming.select(*keys), list(keys), "left_anti")
     return kept.select(*incoming.columns).unionByName(incoming)
 
 
@@ -39,18 +40,49 @@ def replace_dates(rows: DataFrame, path: str) -> None:
     )
 
 
-def upsert(rows: DataFrame, path: str, *, order: str | None = None) -> None:
+#: Dates that one upsert may touch: they are listed to prune the stored table.
+MOST_DATES = 20_000
+
+
+def upsert(rows: DataFrame, path: str, *, order: str | None = None, keys: Sequence[str] = KEYS) -> None:
     """Insert or replace by (date, symbol) in a date-partitioned Parquet table.
 
-    Untouched dates are neither read nor rewritten.  Repeating a call after a
-    failure gives the same table.
+    Untouched dates are neither read nor rewritten.  Without ``order`` a
+    repeated key is refused.  The touched dates are first written whole beside
+    the table; a call that finds such a folder complete finishes the replacement
+    that was broken off, so a failure at any point loses no kept row and
+    repeating the call gives the same table.
     """
     spark = rows.sparkSession
-    incoming = latest_per_key(rows, order) if order else rows
-    if order:
-        incoming = incoming.drop(order)
+    pending = f"{path.rstrip('/')}__pending"
+    finish_pending(spark, pending, path)
+    # Written once: the rows are read for their dates, their keys and the merge.
+    incoming = materialize(latest_per_key(rows, order, keys).drop(order) if order else rows, "upsert")
+    if not order and not incoming.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("rows repeat a key; give the column that orders them")
     existing = read_if_present(spark, path, incoming.schema)
-    replace_dates(incoming if existing is None else merged(existing, incoming), path)
+    if existing is not None:
+        dates = [r["date"] for r in incoming.select("date").distinct().limit(MOST_DATES + 1).collect()]
+        if len(dates) > MOST_DATES:
+            raise ValueError(f"more than {MOST_DATES} dates in one upsert; split it by date")
+        incoming = merged(touched_dates(existing, dates), incoming, keys)
+    incoming.write.mode("overwrite").parquet(pending)
+    finish_pending(spark, pending, path)
+
+
+def touched_dates(existing: DataFrame, dates: Sequence) -> DataFrame:
+    """The stored rows of the given dates; the filter prunes the table's folders."""
+    known = existing.where(F.col("date").isin([d for d in dates if d is not None]))
+    return known.unionByName(existing.where("date IS NULL")) if None in dates else known
+
+
+def finish_pending(spark: SparkSession, pending: str, path: str) -> None:
+    """Carry out a replacement whose rows were completely written, then remove them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(pending)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{pending}/_SUCCESS")):
+        replace_dates(spark.read.parquet(pending), path)
+        files.delete(folder, True)
 
 
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:

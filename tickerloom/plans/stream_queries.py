@@ -39,7 +39,7 @@ SELECT CAST(date AS STRING) AS date, symbol, stage, passed, severity, failures F
 def t02(v):
     path, checkpoint = scratch_dir(v.spark, "gate"), scratch_dir(v.spark, "state")
     reports = lambda batch: Views(batch.sparkSession, v.folder, documents=batch).v_reports
-    jobs.gate_stream(stream_of(v, "documents"), path, checkpoint, prepare=reports).awaitTermination()
+    jobs.gate_stream(stream_of(v, "documents"), path, checkpoint, "doc_key", prepare=reports).awaitTermination()
     rows = v.spark.read.parquet(path)
     return rows.select(iso("date"), "symbol", "stage", "passed", "severity", joined("failures", "; "))
 

@@ -114,7 +114,7 @@ _PX = f"({_div('cents', 'qty')} * (85 + ord % 31))"
 VIEWS["v_metrics"] = f"""
 SELECT symbol, metrics_date AS date, ord,
   CASE ord % 41 WHEN 0 THEN NULL WHEN 1 THEN '{{{{bad' WHEN 2 THEN '{{{{"symbol": "' || symbol || '"}}}} trailing'
-    WHEN 3 THEN '[]'
+    WHEN 3 THEN '[]' WHEN 5 THEN '{{{{"symbol": "' || symbol || '"}}}}] trailing' WHEN 6 THEN chr(10) || '{{{{"symbol": "x"}}}}' || chr(10)
     ELSE '{{{{"symbol": "' || symbol || '", "analysis_date": "' || CAST(metrics_date AS STRING) || '", "market": "'
       || CASE ord % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'HK' ELSE 'OTHER' END
       || '", "company_display_name": "Company ' || symbol || '", "confidence": 0.' || CAST(10 + ord % 90 AS STRING)
@@ -231,7 +231,7 @@ SELECT event_id, 'S' || CAST(user_id AS STRING) AS symbol,
     ELSE 'ipos-calendar' END AS dataset,
   CASE WHEN event_id % 13 < 9 THEN 200 WHEN event_id % 13 = 9 THEN 429 WHEN event_id % 13 = 10 THEN 503
     WHEN event_id % 13 = 11 THEN 401 ELSE NULL END AS http_status,
-  CASE event_id % 12 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN props WHEN 3 THEN '[' || props || ', ' || props || ']'
+  CASE event_id % 12 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN CASE WHEN event_id % 24 = 2 THEN props ELSE props || '] tail' END WHEN 3 THEN '[' || props || ', ' || props || ']'
     WHEN 4 THEN '{{{{"symbol": "S' || CAST(user_id AS STRING) || '", "historical": [{{{{"date": "'
       || CAST(CAST(ts AS DATE) AS STRING) || '", "close": ' || {_K} || '.5}}}}]}}}}'
     WHEN 5 THEN '{{{{"Error Message": "limit reached"}}}}' WHEN 6 THEN '{{{{"error": "rate limited"}}}}'
@@ -331,7 +331,7 @@ def _doc_metrics() -> str:
     return f"""CASE doc_id % 21 WHEN 0 THEN NULL WHEN 1 THEN '{{{{bad' WHEN 2 THEN '[]' WHEN 3 THEN '{{{{}}}}'
       WHEN 4 THEN '{{{{"symbol": "D", "analysis_date": "2026-01-01", "subscription_recommendation": "moon_shot", "signal": ""}}}}'
       WHEN 5 THEN '{{{{"symbol": "D", "analysis_date": null, "market": "", "sector": "Unknown", "confidence": null, "signal": null, "risk_score": null, "subscription_recommendation": null}}}}'
-      WHEN 6 THEN '{{{{"symbol": "D"}}}} tail' ELSE {good} END""".replace("{{{{", "{{").replace("}}}}", "}}")
+      WHEN 6 THEN '{{{{"symbol": "D"}}}} tail' WHEN 7 THEN '{{{{"symbol": "D"}}}}] tail' WHEN 8 THEN chr(10) || '{{{{}}}}' ELSE {good} END""".replace("{{{{", "{{").replace("}}}}", "}}")
 
 
 VIEWS["v_critique"] = """

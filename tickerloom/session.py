@@ -42,6 +42,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Let a JSON object with a repeated key parse with its last value, like the vendor's own readers do."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a shared intermediate once to the scratch location and read it back.
 

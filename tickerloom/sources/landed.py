@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.collections import once, strict_json
+from tickerloom.session import last_key_wins
 
 
 def _parsed(c: Column) -> Column:
@@ -53,6 +54,7 @@ def parse_payloads(landed: DataFrame) -> DataFrame:
     A payload is refused when it is not JSON or when it is an object whose
     error field is truthy.
     """
+    last_key_wins(landed.sparkSession)
     parsed = landed.withColumn("body", once(_parsed(F.col("payload"))))
     vendor_error = F.coalesce(*[_truthy_text(path) for path in ("$['Error Message']", "$.error")])
     error = F.when(F.col("payload").isNotNull() & F.col("body").isNull(), F.lit("invalid_json")).when(

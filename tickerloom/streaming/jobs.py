@@ -14,33 +14,34 @@ from tickerloom.operators.gate import check_documents
 from tickerloom.operators.sinks import read_if_present, upsert
 
 
-def discovery_stream(calendar: DataFrame, keys: DataFrame, watermark: str = "7 days") -> DataFrame:
+def discovery_stream(calendar: DataFrame, keys: DataFrame) -> DataFrame:
     """New symbols of a calendar stream that have no report yet.
 
     ``calendar`` is a stream with symbol and ts, ``keys`` the static listing of
-    stored artifacts.  Repeats within the watermark are dropped with bounded
-    state; later repeats meet the stored report.
+    stored artifacts.  The dates are data dates and may come in any order, so
+    there is no watermark: the state keeps every symbol seen, one small entry
+    each, and the result is the batch's whatever the order of arrival.
     """
-    named = calendar.where(blank_to_null(F.col("symbol")).isNotNull()).select("symbol", F.col("ts").cast("timestamp"))
-    fresh = named.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["symbol"])
-    return unprocessed(fresh, keys)
+    named = calendar.where(blank_to_null(F.col("symbol")).isNotNull()).select("symbol", F.col("ts").cast("timestamp").alias("ts"))
+    return unprocessed(named.dropDuplicates(["symbol"]), keys)
 
 
-def gate_results(docs: DataFrame) -> DataFrame:
-    """Gate columns that are stored per document."""
+def gate_results(docs: DataFrame, order: str) -> DataFrame:
+    """Gate columns that are stored per document, with the column that orders arrivals."""
     return check_documents(docs, require_critique=F.col("stage") == "final").select(
-        "date", "symbol", "stage", "passed", "severity", "failures", "warnings", "metrics")
+        "date", "symbol", "stage", "passed", "severity", "failures", "warnings", "metrics", F.col(order).alias("arrival"))
 
 
-def gate_stream(docs: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
+def gate_stream(docs: DataFrame, path: str, checkpoint: str, order: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
     """Check documents as they land and keep one result per (date, symbol).
 
     ``prepare`` may complete the landed rows (joins with other tables) before
-    the check.  The sink replaces by key, so a micro-batch that runs twice
-    after a failure leaves the same table.
+    the check.  Of a key that lands more than once in a micro-batch the row
+    with the largest ``order`` stays.  The sink replaces by key, so a
+    micro-batch that runs twice after a failure leaves the same table.
     """
     def store(batch: DataFrame, _epoch: int) -> None:
-        upsert(gate_results(prepare(batch) if prepare else batch), path)
+        upsert(gate_results(prepare(batch) if prepare else batch, order), path, order="arrival")
 
     return (
         docs.writeStream.foreachBatch(store)
