@@ -50,6 +50,30 @@ def test_odd_rows(spark):
     assert only.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and only.near_next == 1.0
 
 
+def test_pool_equals_brute_force(spark):
+    """The POOL smallest occurrence-numbered k-mers, from hashes that Spark gives for single values."""
+    from pyspark.sql import functions as F
+
+    for text in ("abcdefgh" * 3, "ab " * 200, "one text without any repeat", "x" * 100, "abc"):
+        kmers = [text[i : i + order_minhash.K] for i in range(max(len(text) - order_minhash.K + 1, 1))]
+        seen, numbered = {}, []
+        for i, k in enumerate(kmers):
+            numbered.append((i, k, seen.get(k, 0)))
+            seen[k] = seen.get(k, 0) + 1
+        mark = F.shiftright(F.xxhash64("k"), order_minhash.POSITION_BITS)
+        own = F.when(F.col("o") == 0, mark).otherwise(F.shiftright(F.xxhash64(mark, "o"), order_minhash.POSITION_BITS))
+        frame = spark.createDataFrame(numbered, "i int, k string, o int").withColumn("h", own).orderBy("h", "i").limit(order_minhash.POOL)
+        want = []
+        for j in range(order_minhash.HASHES):
+            two = frame.withColumn("g", F.shiftright(F.xxhash64("h", F.lit(j)), order_minhash.POSITION_BITS)).orderBy("g", "i").limit(2).orderBy("i")
+            want.append(two.agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("x")).select(
+                F.xxhash64(F.transform("x", lambda t: t["g"])).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).first()[0])
+            if j == 2:
+                break
+        got = order_minhash.with_signature(spark.createDataFrame([(text,)], "text string"), "text", "s").first()["s"]
+        assert got[:3] == want
+
+
 def test_no_python_in_the_plan(spark):
     plan = plan_of(order_minhash.fingerprint(documents(spark, ODD)))
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickerloom.functions.collections import with_once
+from tickerloom.session import materialize
 
 K = 8
 POOL = 64
@@ -40,28 +41,32 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the array of tuple hashes (32-bit, as longs) of a non-null text column.
 
     A text shorter than ``K`` code points is one k-mer; an empty one has none, and all its tuples are the hash of nothing.
+    (A k-mer is also taken at the second half of a code point beyond the 16-bit range: one more per such character, equal for
+    equal texts.)
     """
-    chars, kmers, pool = f"_{name}_chars", f"_{name}_kmers", f"_{name}_pool"
-    empty = F.array().cast("array<bigint>")
-    df = with_once(df, **{chars: F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))})
-    c = F.col(chars)
-    starts = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.greatest(F.size(c) - K, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: _packed(F.xxhash64(*[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(K)]), i))
-    df = with_once(df, **{kmers: F.sort_array(hashed)}).drop(chars)
+    kmers, repeats, pool = f"_{name}_kmers", f"_{name}_repeats", f"_{name}_pool"
+    whole = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(F.col(text)))
+    runs = F.when(F.length(text) < K, whole).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{K}}}))"), F.lit(1)))
+    df = with_once(df, **{kmers: F.sort_array(F.transform(runs, lambda x, i: _packed(F.xxhash64(x), i)))})
     s = F.col(kmers)
 
     def same(a: Column, b: Column) -> Column:
         return F.coalesce(_mark(F.get(s, a)) == _mark(F.get(s, b)), F.lit(False))
 
-    # Sorted by (hash, position): the first of each run of equals has number 0 and keeps its hash, so these stay in order.
-    places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-    firsts = F.filter(s, lambda x, j: ~same(j, j - 1))
-    begins = F.filter(places, lambda j: ~same(j, j - 1) & same(j, j + 1))
-    ends = F.filter(places, lambda j: same(j, j - 1) & ~same(j, j + 1))
-    runs = F.arrays_zip(begins.alias("b"), ends.alias("e"))
-    later = F.flatten(F.transform(runs, lambda r: F.transform(
-        F.slice(s, r["b"] + 2, r["e"] - r["b"]), lambda x, o: _packed(F.xxhash64(_mark(x), o + 1), x))))
-    df = with_once(df, **{pool: F.slice(F.sort_array(F.concat(F.slice(firsts, 1, POOL), F.coalesce(later, empty))), 1, POOL)}).drop(kmers)
+    # Sorted by (hash, position), equal k-mers stand together in text order; a repeat has its like before it.
+    places = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    df = with_once(df, **{repeats: F.filter(places, lambda j: same(j, j - 1))})
+    again = F.col(repeats)
+    # The first of equals has number 0 and keeps its hash; the smallest POOL of them stand before this place.
+    ahead = F.slice(s, 1, F.size(again) + POOL)
+    firsts = F.filter(ahead, lambda x, j: ~same(j, j - 1))
+    begins = F.filter(again, lambda j: ~same(j - 1, j - 2))
+    ends = F.filter(again, lambda j: ~same(j, j + 1))
+    spans = F.arrays_zip(begins.alias("b"), ends.alias("e"))
+    later = F.flatten(F.transform(spans, lambda r: F.transform(
+        F.slice(s, r["b"] + 1, r["e"] - r["b"] + 1), lambda x, o: _packed(F.xxhash64(_mark(x), o + 1), x))))
+    smallest = F.slice(F.sort_array(F.concat(F.slice(firsts, 1, POOL), later)), 1, POOL)
+    df = with_once(df, **{pool: smallest}).drop(kmers, repeats)
 
     def component(j: int) -> Column:
         drawn = F.slice(F.sort_array(F.transform(F.col(pool), lambda x: _packed(F.xxhash64(_mark(x), F.lit(j)), x))), 1, 2)
@@ -95,21 +100,24 @@ def _buckets_before(rows: DataFrame) -> DataFrame:
     return inner.join(tops.select("group", "carried"), "group").select("bucket", F.coalesce("before", "carried").alias("before"))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """Add ``next_text`` and ``next_signature``: those of the row with the next doc_id, after the last those of the first.
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what orders the rows: ``bucket`` of ids and ``tie``, a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    spread = _long(1 << 55) + F.pmod("tie", F.lit(4096))
+    return rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET).cast("long"), spread))
 
-    Rows without an id come last; equal ids and missing ids are ordered by the text.  One shuffle by id bucket; a bucket's last
-    row gets its next from the following bucket's first row.
+
+def with_next(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the column's value of the row with the next doc_id; after the last row comes the first.
+
+    Rows without an id come last; equal ids and missing ids are ordered by ``tie``.  One shuffle by id bucket; a bucket's last row
+    gets its next from the following bucket's first row.
     """
-    spread = _long(1 << 55) + F.pmod(F.xxhash64("text"), F.lit(4096))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET).cast("long"), spread))
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    first = rows.withColumn("n", F.row_number().over(order)).where("n = 1").join(_buckets_before(rows), "bucket")
-    first = first.select(F.col("before").alias("bucket"), F.col("text").alias("first_text"), F.col("signature").alias("first_signature"))
-    inner = rows.select("*", F.lead("text").over(order).alias("lead_text"), F.lead("signature").over(order).alias("lead_signature"))
-    return inner.join(first, "bucket", "left").select(
-        "doc_id", "text", "signature", F.coalesce("lead_text", "first_text").alias("next_text"), F.coalesce("lead_signature", "first_signature").alias("next_signature")
-    )
+    order = Window.partitionBy("bucket").orderBy("doc_id", "tie")
+    first = rows.select("bucket", "doc_id", "tie", column).withColumn("n", F.row_number().over(order)).where("n = 1")
+    first = first.join(_buckets_before(rows), "bucket").select(F.col("before").alias("bucket"), F.col(column).alias("_first"))
+    inner = rows.select("*", F.lead(column).over(order).alias("_lead"))
+    return inner.join(first, "bucket", "left").withColumn(name, F.coalesce("_lead", "_first")).drop("_lead", "_first")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -119,15 +127,14 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     counts as empty; equal texts have equal fingerprints; repeated rows get a row each; an empty table gives none; other columns
     are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_signature(rows, "text", "signature"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    rows = with_once(rows, edited=edited).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "signature", "next_signature", "edited"
-    )
-    rows = with_signature(rows, "edited", "edited_signature")
+    rows = with_once(with_next(placed(docs), "text", "next_text"), edited=edited).drop("next_text")
+    rows = with_signature(with_signature(rows, "text", "signature"), "edited", "edited_signature")
+    rows = rows.select("bucket", "doc_id", "tie", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "signature", "edited_signature")
+    # Small rows without texts: every signature is computed once, whoever reads it.
+    rows = with_next(materialize(rows, "order-minhash"), "signature", "next_signature")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
