@@ -10,6 +10,7 @@ from tickerloom import fixed_values as fv
 from tickerloom.functions import text as tx
 from tickerloom.functions.collections import looks_like_object, strict_json
 from tickerloom.operators import contracts, deviation, gate
+from tickerloom.operators import enrich as en
 from tickerloom.sources import landed
 
 
@@ -35,6 +36,19 @@ def test_last_repeated_key_wins(spark):
     assert rows(deviation.read_forecasts(requests, metrics), "metrics_error", "predicted_price") == [(None, 7.5)]
 
 
+def test_calendar_and_profile_shapes(spark):
+    texts = ['[{"a":1},{"a":2}]', "[]", '{"a":3}', "42", "null", None, "[5]"]
+    frame = spark.createDataFrame(
+        [(f"S{i}", d, 200, t) for i, t in enumerate(texts) for d in ("ipos-calendar", "profile")], "symbol STRING, dataset STRING, http_status INT, payload STRING")
+    found = {(r["dataset"], r["symbol"]): (r["error"], r["n"]) for r in en.normalized_payloads(frame).selectExpr("*", "size(rows) AS n").collect()}
+    bad = ("unexpected_type", 0)
+    assert [found["ipos-calendar", f"S{i}"] for i in range(7)] == [(None, 2), (None, 0), bad, bad, bad, bad, (None, 1)]
+    assert [found["profile", f"S{i}"] for i in range(7)] == [(None, 1), ("no_rows", 0), (None, 1), bad, bad, bad, (None, 1)]
+    for rule, dataset in ((landed.strict_rows, "ipos-calendar"), (landed.singleton_row, "profile")):
+        single = {r["symbol"]: (r["row_error"], r["n"]) for r in rule(frame.where(f"dataset = '{dataset}'")).selectExpr("*", "size(rows) AS n").collect()}
+        assert all(single[s] == v for (d, s), v in found.items() if d == dataset)
+
+
 def test_leading_blanks_do_not_hide_a_document(spark):
     both = docs(spark, a={"metrics_json": "\n{}"}, b={"metrics_json": "{}"})
     found = {r["doc_key"]: r["missing_keys"] for r in gate.measure(both).collect()}

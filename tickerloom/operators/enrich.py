@@ -193,18 +193,28 @@ def latest_payloads(landed: DataFrame) -> DataFrame:
 
 def normalized_payloads(latest: DataFrame) -> DataFrame:
     """Apply each dataset's shape rule; failures carry ``error`` and no value."""
-    strict = names_with_shape("rows", "strict_rows")
-    lenient = names_with_shape("lenient_rows")
+    rows_shape, lenient = names_with_shape("rows"), names_with_shape("lenient_rows")
+    strict, single = names_with_shape("strict_rows"), names_with_shape("singleton")
     parsed = landed_rules.list_rows(latest)
-    by_rows = F.col("dataset").isin(strict)
-    error = F.when(by_rows, F.col("row_error")).otherwise(F.col("parse_error"))
+    by_rows, is_list = F.col("dataset").isin(rows_shape), F.col("kind") == "list"
+    no_list = F.col("dataset").isin(strict) & ~is_list
+    elements = F.when(is_list, F.try_variant_get("body", "$", "array<variant>"))
+    error = F.coalesce(
+        F.col("parse_error"),
+        F.when(by_rows, F.col("row_error")),
+        F.when(no_list | (F.col("dataset").isin(single) & ~F.col("kind").isin("list", "object")), F.lit("unexpected_type")),
+        F.when(F.col("dataset").isin(single) & (F.size(elements) == 0), F.lit("no_rows")),
+    )
     fetch_failed = landed_rules.fetch_class(F.col("http_status")) != "ok"
     problem = F.when(fetch_failed, F.concat(F.lit("http_status: "), F.coalesce(
         F.col("http_status").cast("string"), F.lit("none")))).otherwise(error)
     good = problem.isNull()
     none = F.array().cast("array<variant>")
-    lenient_list = F.when(F.col("kind") == "list", F.try_variant_get("body", "$", "array<variant>"))
-    rows = F.when(F.col("dataset").isin(lenient), F.coalesce(lenient_list, F.col("rows"))).otherwise(F.col("rows"))
+    rows = (
+        F.when(F.col("dataset").isin([*lenient, *strict]), F.coalesce(elements, F.col("rows")))
+        .when(F.col("dataset").isin(single), F.coalesce(F.slice(elements, 1, 1), F.col("rows")))
+        .otherwise(F.col("rows"))
+    )
     return parsed.select(
         "symbol", "dataset", problem.alias("error"),
         F.when(good, rows).otherwise(none).alias("rows"),

@@ -136,9 +136,10 @@ C_LATEST = """
 SELECT *, CASE WHEN http_status IS NULL OR http_status >= 400
       THEN 'http_status: ' || coalesce(CAST(http_status AS STRING), 'none')
     WHEN dataset IN ('company-notes', 'stock-peers', 'key-executives', 'revenue-product-segmentation',
-      'revenue-geographic-segmentation', 'ipos-calendar') AND parse_error IS NULL AND n_bad > 0 THEN 'non_object_entries'
+      'revenue-geographic-segmentation') AND parse_error IS NULL AND n_bad > 0 THEN 'non_object_entries'
+    WHEN dataset = 'ipos-calendar' AND parse_error IS NULL AND coalesce(kind, '') <> 'ARRAY' THEN 'unexpected_type'
     WHEN dataset IN ('company-notes', 'stock-peers', 'key-executives', 'revenue-product-segmentation',
-      'revenue-geographic-segmentation', 'ipos-calendar') AND parse_error IS NULL
+      'revenue-geographic-segmentation') AND parse_error IS NULL
       AND kind NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN 'unexpected_type'
     ELSE parse_error END AS error
 FROM {c_p} QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol, dataset ORDER BY event_id DESC) = 1"""

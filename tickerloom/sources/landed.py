@@ -109,6 +109,25 @@ def lenient_rows(landed: DataFrame) -> DataFrame:
     return _with_rows(parsed, F.col("parse_error"), rows)
 
 
+def strict_rows(landed: DataFrame) -> DataFrame:
+    """Calendar rule: a list as it is; everything else, no payload included, is an error."""
+    parsed = parse_payloads(landed)
+    error = F.coalesce("parse_error", F.when(F.col("kind") != "list", F.lit("unexpected_type")))
+    return _with_rows(parsed, error, F.when(F.col("kind") == "list", _elements(F.col("body"))))
+
+
+def singleton_row(landed: DataFrame) -> DataFrame:
+    """Profile rule: an object, or the first element of a list; an empty list and everything else is an error."""
+    parsed = parse_payloads(landed)
+    items = F.when(F.col("kind") == "list", F.slice(_elements(F.col("body")), 1, 1))
+    error = F.coalesce(
+        F.col("parse_error"),
+        F.when(F.size(items) == 0, F.lit("no_rows")),
+        F.when(~F.col("kind").isin("list", "object"), F.lit("unexpected_type")),
+    )
+    return _with_rows(parsed, error, F.coalesce(items, F.when(F.col("kind") == "object", F.array(F.col("body")))))
+
+
 def _with_rows(parsed: DataFrame, error: Column, rows: Column) -> DataFrame:
     none = F.array().cast("array<variant>")
     keep = F.when(F.col("row_error").isNull(), F.coalesce(rows, none)).otherwise(none)
