@@ -57,10 +57,15 @@ def cap(entries: DataFrame, max_symbols: int | None) -> DataFrame:
     return entries.orderBy("ord").limit(max_symbols)
 
 
-def first_entries(entries: DataFrame) -> DataFrame:
-    """One entry per symbol, the first in source order (combined map-side)."""
+def stored_entries(entries: DataFrame) -> DataFrame:
+    """The entry of each symbol whose record stays stored: the last in source order (combined map-side).
+
+    Every discovered entry is processed, but records are kept under (run date,
+    symbol), so a later entry's record replaces an earlier one's.  Only what
+    is built to be stored may start from here.
+    """
     body = [c for c in entries.columns if c != "symbol"]
-    return entries.groupBy("symbol").agg(F.min_by(F.struct(*body), "ord").alias("e")).select("symbol", "e.*")
+    return entries.groupBy("symbol").agg(F.max_by(F.struct(*body), "ord").alias("e")).select("symbol", "e.*")
 
 
 def resolve_cik(entries: DataFrame, profile: DataFrame) -> DataFrame:
@@ -88,14 +93,14 @@ def price_window(entries: DataFrame, run_date: date | str) -> DataFrame:
 
 
 def match_regulatory(entries: DataFrame, rows: DataFrame, max_rows: int = fv.REGULATORY_MAX_ROWS) -> DataFrame:
-    """Regulatory rows of each entry by symbol or by CIK, first ``max_rows`` per list.
+    """Regulatory rows of each (symbol, resolved_cik) by symbol or by CIK, first ``max_rows`` per list.
 
     The either-or condition runs as two equi joins.  Both sides are cut to
     ``max_rows`` per key before joining, which is exact: a row among the first
     of the union is among the first of its own branch.  Rows found by symbol
     are left out of the CIK branch, so the union needs no de-duplication.
-    ``entries`` has one row per symbol; ``rows`` has list, ord, cik and any of
-    symbol / ticker / companySymbol / stock.
+    Entries with the same symbol and CIK share their rows and are matched once;
+    ``rows`` has list, ord, cik and any of symbol / ticker / companySymbol / stock.
     """
     names = [F.col(c) for c in ("symbol", "ticker", "companySymbol", "stock") if c in rows.columns]
     keyed = (
@@ -104,7 +109,8 @@ def match_regulatory(entries: DataFrame, rows: DataFrame, max_rows: int = fv.REG
         .withColumn("row_cik", padded_cik(F.col("_code")))
         .drop("symbol", "ticker", "companySymbol", "stock", "cik", "_name", "_code")
     )
-    left = entries.select("symbol", normalize_symbol(F.col("symbol")).alias("_sym"), F.col("resolved_cik").alias("_cik"))
+    left = entries.select("symbol", "resolved_cik").distinct().select(
+        "symbol", "resolved_cik", normalize_symbol(F.col("symbol")).alias("_sym"), F.col("resolved_cik").alias("_cik"))
 
     def branch(key: str, name: str) -> DataFrame:
         trimmed = first_per_group(keyed.where(F.col(key).isNotNull()), ["list", key], [F.col("ord")], max_rows, "_rank")
@@ -113,7 +119,7 @@ def match_regulatory(entries: DataFrame, rows: DataFrame, max_rows: int = fv.REG
     by_symbol = branch("row_symbol", "_sym")
     by_cik = branch("row_cik", "_cik").where(~F.col("_sym").eqNullSafe(F.col("row_symbol")))
     matched = by_symbol.unionByName(by_cik).drop("_sym", "_cik")
-    return first_per_group(matched, ["symbol", "list"], [F.col("ord")], max_rows)
+    return first_per_group(matched, ["symbol", "resolved_cik", "list"], [F.col("ord")], max_rows)
 
 
 def trim_prices(eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
@@ -129,28 +135,47 @@ def trim_prices(eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX
     )
 
 
+def price_list() -> Column:
+    """Aggregate of trimmed price rows: newest first, undated last, at most ``2 * max_rows`` of them."""
+    newest_first = lambda a, b: (
+        F.when(a["date"].eqNullSafe(b["date"]), F.when(a["ord"] < b["ord"], -1).otherwise(1))
+        .when(a["date"].isNull(), 1).when(b["date"].isNull(), -1)
+        .when(a["date"] > b["date"], -1).otherwise(1)
+    )
+    return F.array_sort(F.collect_list(F.struct("date", "close", "adj_close", "ord")), newest_first)
+
+
+def _inside_window(prices: str, max_rows: int) -> Column:
+    return F.slice(F.filter(prices, lambda p: p["date"].isNull() | (p["date"] >= F.col("window_from"))), 1, max_rows)
+
+
+def window_price_lists(entries: DataFrame, eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
+    """Entries with ``prices``: the newest ``max_rows`` rows inside each one's window, undated rows last.
+
+    A symbol's newest rows are listed once, however many entries it has; each
+    entry cuts its window from the list in its own row.  Entries without a
+    price row are left out.
+    """
+    listed = trim_prices(eod, run_date, max_rows)
+    listed = listed.groupBy("symbol").agg(price_list().alias("_listed"))
+    cut = entries.join(listed, "symbol").withColumn("prices", _inside_window("_listed", max_rows)).drop("_listed")
+    return cut.where(F.size("prices") > 0)
+
+
 def window_prices(entries: DataFrame, eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS
                   ) -> DataFrame:
-    """Newest ``max_rows`` price rows inside each entry's window (undated rows last)."""
-    windows = entries.select("symbol", "window_from")
-    inside = trim_prices(eod, run_date, max_rows).join(windows, "symbol").where(
-        F.col("undated") | (F.col("date") >= F.col("window_from"))
-    )
-    order = [F.col("date").desc_nulls_last(), F.col("ord")]
-    return first_per_group(inside, ["symbol"], order, max_rows).drop("undated")
+    """The rows of ``window_price_lists`` with their rank: symbol (and entry, where there is one), ord, prices."""
+    keys = [c for c in ("symbol", "entry") if c in entries.columns]
+    lists = window_price_lists(entries.select(*keys, "window_from"), eod, run_date, max_rows)
+    return lists.select(*keys, F.posexplode("prices").alias("pos", "p")).select(
+        *keys, "p.ord", "p.date", "p.close", "p.adj_close", (F.col("pos") + 1).alias("rank"))
 
 
 def benchmark_rows(eod: DataFrame, run_date: date | str, symbol: str = fv.BENCHMARK_SYMBOL,
                    max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
     """One row holding the benchmark's newest rows (at most ``2 * max_rows``), newest first."""
     rows = trim_prices(eod.where(F.col("symbol") == symbol), run_date, max_rows)
-    newest_first = lambda a, b: (
-        F.when(a["date"].eqNullSafe(b["date"]), F.when(a["ord"] < b["ord"], -1).otherwise(1))
-        .when(a["date"].isNull(), 1).when(b["date"].isNull(), -1)
-        .when(a["date"] > b["date"], -1).otherwise(1)
-    )
-    listed = F.collect_list(F.struct("date", "close", "adj_close", "ord"))
-    return rows.agg(F.array_sort(listed, newest_first).alias("benchmark"))
+    return rows.agg(price_list().alias("benchmark"))
 
 
 def window_benchmark(entries: DataFrame, eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS
@@ -160,9 +185,7 @@ def window_benchmark(entries: DataFrame, eod: DataFrame, run_date: date | str, m
     The benchmark is a scalar subquery: one value of at most ``2 * max_rows``
     prices, computed once.
     """
-    cut = F.slice(
-        F.filter("benchmark", lambda p: p["date"].isNull() | (p["date"] >= F.col("window_from"))), 1, max_rows
-    )
+    cut = _inside_window("benchmark", max_rows)
     return (
         entries.withColumn("benchmark", benchmark_rows(eod, run_date, max_rows=max_rows).scalar())
         .withColumn("benchmark_eod_recent", cut)

@@ -15,14 +15,20 @@ LOOKBACK = 2500
 
 
 def entries_of(v: Views) -> DataFrame:
-    """First calendar entry of every symbol up to the run date."""
-    return d.first_entries(d.discover(v.v_calendar, RUN_DATE, LOOKBACK))
+    """Every discovered calendar entry up to the run date, numbered by ``entry``."""
+    return d.discover(v.v_calendar, RUN_DATE, LOOKBACK).withColumn("entry", F.col("ord"))
+
+
+def stored_of(v: Views) -> DataFrame:
+    """The entries whose records stay stored under (run date, symbol)."""
+    return d.stored_entries(d.discover(v.v_calendar, RUN_DATE, LOOKBACK))
 
 
 C_FOUND = f"""
 SELECT * FROM {{v_calendar}} WHERE date BETWEEN CAST(DATE '{RUN_DATE}' - INTERVAL {LOOKBACK} DAY AS DATE)
   AND DATE '{RUN_DATE}' AND symbol <> ''"""
-C_ENTRIES = "SELECT * FROM {c_found} QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ord) = 1"
+C_ENTRIES = "SELECT * FROM {c_found}"
+C_STORED = "SELECT * FROM {c_found} QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ord DESC) = 1"
 C_RESOLVED = f"""
 SELECT e.*, coalesce({_CIK.format(c='e.cik')}, {_CIK.format(c='p.cik')}) AS resolved_cik
 FROM {{c_entries}} e LEFT JOIN {{v_profile}} p ON e.symbol = p.symbol"""
@@ -34,6 +40,7 @@ SELECT *, CASE WHEN start >= DATE '{RUN_DATE}' THEN CAST(DATE '{RUN_DATE}' - INT
   FROM {{c_resolved}} r JOIN {{c_expected}} x ON r.ord = x.ord) t"""
 ENTRY_CTES = {"c_found": C_FOUND, "c_entries": C_ENTRIES, "c_resolved": C_RESOLVED, "c_expected": C_EXPECTED,
               "c_window": C_WINDOW}
+STORED_CTES = {**ENTRY_CTES, "c_entries": C_STORED}
 
 
 @query("j01_discover", "SELECT ord, symbol, CAST(date AS STRING) AS date FROM {c_found}", c_found=C_FOUND)
@@ -65,17 +72,28 @@ def j04(v):
 
 
 C_MATCHED = """
-SELECT symbol, list, ord, form FROM (
-  SELECT e.symbol, r.list, r.ord, r.form, ROW_NUMBER() OVER (PARTITION BY e.symbol, r.list ORDER BY r.ord) AS rank
-  FROM {c_resolved} e JOIN (SELECT list, ord, form, upper(trim(coalesce(nullif(symbol, ''), nullif(ticker, ''),
+SELECT symbol, resolved_cik, list, ord, form FROM (
+  SELECT e.symbol, e.resolved_cik, r.list, r.ord, r.form,
+    ROW_NUMBER() OVER (PARTITION BY e.symbol, e.resolved_cik, r.list ORDER BY r.ord) AS rank
+  FROM (SELECT DISTINCT symbol, resolved_cik FROM {c_resolved}) e JOIN (SELECT list, ord, form, upper(trim(coalesce(nullif(symbol, ''), nullif(ticker, ''),
       nullif(companySymbol, ''), nullif(stock, '')))) AS row_symbol, """ + _CIK.format(c="cik") + """ AS row_cik
     FROM {v_regulatory}) r ON e.symbol = r.row_symbol OR e.resolved_cik = r.row_cik) t WHERE rank <= 60"""
 
 
-@query("j05_regulatory_match", "SELECT symbol, list, ord, form FROM {c_matched}", **ENTRY_CTES, c_matched=C_MATCHED)
+@query("j05_regulatory_match", """
+SELECT e.ord AS entry, e.symbol, m.list, m.n, m.matched FROM {c_resolved} e JOIN (
+  SELECT symbol, resolved_cik, list, COUNT(*) AS n, md5(string_agg(CAST(ord AS STRING) || ':' || coalesce(form, ''), ',' ORDER BY ord)) AS matched
+  FROM {c_matched} GROUP BY symbol, resolved_cik, list) m ON m.symbol = e.symbol AND m.resolved_cik IS NOT DISTINCT FROM e.resolved_cik""",
+       **ENTRY_CTES, c_matched=C_MATCHED)
 def j05(v):
-    entries = d.resolve_cik(entries_of(v), v.v_profile)
-    return d.match_regulatory(entries, v.v_regulatory).select("symbol", "list", "ord", "form")
+    """Every entry's matched rows in order, as a count and a digest per list."""
+    entries = d.resolve_cik(entries_of(v), v.v_profile).select("entry", "symbol", "resolved_cik")
+    matched = d.match_regulatory(entries, v.v_regulatory)
+    ordered = F.transform(
+        F.sort_array(F.collect_list(F.struct("ord", "form"))), lambda r: F.concat(r["ord"].cast("string"), F.lit(":"), F.coalesce(r["form"], F.lit(""))))
+    lists = matched.groupBy(F.col("symbol").alias("_symbol"), F.col("resolved_cik").alias("_cik"), "list").agg(
+        F.count("*").alias("n"), F.md5(F.array_join(ordered, ",")).alias("matched"))
+    return entries.join(lists, F.expr("symbol = _symbol AND resolved_cik <=> _cik")).select("entry", "symbol", "list", "n", "matched")
 
 
 @query("j06_resolve_cik", "SELECT ord, symbol, resolved_cik FROM {c_resolved}", c_entries=C_FOUND, c_resolved=C_RESOLVED)
@@ -92,30 +110,39 @@ def j07(v):
 
 
 C_PRICES = f"""
-SELECT * FROM (SELECT e.symbol, p.ord, p.date, p.close, p.adj_close,
-    ROW_NUMBER() OVER (PARTITION BY e.symbol ORDER BY p.date DESC NULLS LAST, p.ord) AS rank
+SELECT * FROM (SELECT e.ord AS entry, e.symbol, p.ord, p.date, p.close, p.adj_close,
+    ROW_NUMBER() OVER (PARTITION BY e.ord ORDER BY p.date DESC NULLS LAST, p.ord) AS rank
   FROM {{c_window}} e JOIN {{v_eod}} p ON p.symbol = e.symbol
    AND (p.date IS NULL OR p.date BETWEEN e.window_from AND DATE '{RUN_DATE}')) t WHERE rank <= 72"""
 C_BENCH = f"""
-SELECT * FROM (SELECT e.symbol, p.ord, p.date, p.close,
-    ROW_NUMBER() OVER (PARTITION BY e.symbol ORDER BY p.date DESC NULLS LAST, p.ord) AS rank
+SELECT * FROM (SELECT e.ord AS entry, e.symbol, p.ord, p.date, p.close,
+    ROW_NUMBER() OVER (PARTITION BY e.ord ORDER BY p.date DESC NULLS LAST, p.ord) AS rank
   FROM {{c_window}} e JOIN {{v_eod}} p ON p.symbol = 'SPY'
    AND (p.date IS NULL OR p.date BETWEEN e.window_from AND DATE '{RUN_DATE}')) t WHERE rank <= 72"""
 
 
-@query("j08_window_prices", """
-SELECT 'company' AS side, symbol, ord, CAST(date AS STRING) AS date, close, rank FROM {c_prices} UNION ALL
-SELECT 'benchmark' AS side, symbol, ord, CAST(date AS STRING) AS date, close, rank FROM {c_bench}""",
+_PRICE_DIGEST = """SELECT '{side}' AS side, entry, symbol, COUNT(*) AS n, CAST(MAX(date) AS STRING) AS newest,
+  CAST(SUM(CAST(round(close * 100) AS BIGINT)) AS BIGINT) AS cents, md5(string_agg(CAST(ord AS STRING), ',' ORDER BY rank)) AS listed
+FROM {{{rows}}} GROUP BY entry, symbol"""
+
+
+def _price_digest(lists: DataFrame, side: str, prices: str) -> DataFrame:
+    own = F.col(prices)
+    return lists.where(F.size(own) > 0).select(
+        F.lit(side).alias("side"), "entry", "symbol", F.size(own).cast("long").alias("n"),
+        F.array_max(F.transform(own, lambda p: p["date"])).cast("string").alias("newest"),
+        F.aggregate(own, F.lit(None).cast("long"), lambda a, p: F.coalesce(a + F.round(p["close"] * 100).cast("long"), a, F.round(p["close"] * 100).cast("long"))).alias("cents"),
+        F.md5(F.array_join(F.transform(own, lambda p: p["ord"].cast("string")), ",")).alias("listed"))
+
+
+@query("j08_window_prices", " UNION ALL ".join(
+    _PRICE_DIGEST.format(side=side, rows=rows) for side, rows in (("company", "c_prices"), ("benchmark", "c_bench"))),
        **ENTRY_CTES, c_prices=C_PRICES, c_bench=C_BENCH)
 def j08(v):
-    entries = d.price_window(entries_of(v), RUN_DATE)
-    company = d.window_prices(entries, v.v_eod, RUN_DATE).select(
-        F.lit("company").alias("side"), "symbol", "ord", iso("date"), "close", F.col("rank").cast("long").alias("rank"))
-    bench = d.window_benchmark(entries, v.v_eod, RUN_DATE).select(
-        "symbol", F.posexplode("benchmark_eod_recent").alias("pos", "p")).select(
-        F.lit("benchmark").alias("side"), "symbol", "p.ord", F.col("p.date").cast("string").alias("date"), "p.close",
-        (F.col("pos") + 1).cast("long").alias("rank"))
-    return company.unionByName(bench)
+    """Every entry's price lists in order: size, newest day, sum and a digest of the rows."""
+    entries = d.price_window(entries_of(v), RUN_DATE).select("entry", "symbol", "window_from")
+    company = _price_digest(d.window_price_lists(entries, v.v_eod, RUN_DATE), "company", "prices")
+    return company.unionByName(_price_digest(d.window_benchmark(entries, v.v_eod, RUN_DATE), "benchmark", "benchmark_eod_recent"))
 
 
 C_NAMES = """SELECT symbol, nullif(trim(coalesce(nullif(sector, ''), sector_formatted)), '') AS sector,
@@ -127,7 +154,7 @@ WHERE rn <= 40 GROUP BY level, name"""
 
 
 @query("j09_sector_history", """
-SELECT e.symbol, n.sector, n.industry, coalesce(CAST(s.n AS BIGINT), 0) AS sector_points, coalesce(s.lo, -1) AS sector_from,
+SELECT e.ord AS entry, e.symbol, n.sector, n.industry, coalesce(CAST(s.n AS BIGINT), 0) AS sector_points, coalesce(s.lo, -1) AS sector_from,
   coalesce(s.total, 0) AS sector_total, coalesce(CAST(i.n AS BIGINT), 0) AS industry_points,
   coalesce(i.hi, -1) AS industry_to
 FROM {c_entries} e LEFT JOIN {c_names} n ON e.symbol = n.symbol
@@ -138,7 +165,7 @@ def j09(v):
     rows = d.sector_history(entries_of(v), v.v_profile, v.v_series)
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     return rows.select(
-        "symbol", "sector", "industry",
+        "entry", "symbol", "sector", "industry",
         size("sector_history").alias("sector_points"),
         F.coalesce(F.get("sector_history", F.lit(0))["ord"], F.lit(-1)).alias("sector_from"),
         F.coalesce(F.aggregate("sector_history", F.lit(0.0), lambda a, p: a + p["value"]), F.lit(0.0)).alias("sector_total"),

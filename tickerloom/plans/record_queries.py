@@ -39,7 +39,7 @@ def macro_of(v: Views) -> DataFrame:
 def records_of(v: Views) -> DataFrame:
     # Five branches of the assembly start from the entries.
     return en.build_records(
-        materialize(dq.entries_of(v), "entries"),
+        materialize(dq.stored_of(v), "entries"),
         profile=v.v_profile,
         row_datasets=[statement_rows(v), news_rows(v)],
         eod=v.v_eod,
@@ -175,7 +175,7 @@ _TAGS = [
 ]
 _SOURCES = "concat_ws(',', " + ", ".join(
     f"CASE WHEN {cond} THEN '{tag}' END" for cond, tag in zip(_TAGS, fv.SOURCE_TAGS, strict=True)) + ")"
-RECORD = {**dq.ENTRY_CTES, "c_matched": dq.C_MATCHED, "c_prices": dq.C_PRICES, "c_bench": dq.C_BENCH, "c_recent": dq.C_RECENT,
+RECORD = {**dq.STORED_CTES, "c_matched": dq.C_MATCHED, "c_prices": dq.C_PRICES, "c_bench": dq.C_BENCH, "c_recent": dq.C_RECENT,
           "c_names": dq.C_NAMES, "c_tails": dq.C_TAILS, "c_fields": C_FIELDS, "c_p": C_PARSED, "c_latest": C_LATEST,
           "c_payloads": C_PAYLOADS, "c_record": C_RECORD}
 
