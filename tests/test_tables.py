@@ -148,6 +148,13 @@ def test_json_lines_keep_nulls_and_text(spark):
     assert sinks.json_lines(df).first()["json"] == '{"day":"2026-01-01","cik":null,"label":"研报"}'
 
 
+def test_unknown_names_are_counted(spark):
+    macro = spark.createDataFrame([("treasury_rates", None), ("economic_indicators", "GDP"), ("economic_indicators", "x"), ("other", None), (None, None)], "part STRING, name STRING")
+    assert rows(en.unknown_macro(macro), "part", "name", "rows") == [("economic_indicators", "x", 1), ("other", None, 1), (None, None, 1)]
+    fields = spark.createDataFrame([("stock_news",), ("typo",), ("typo",), (None,)], "field STRING")
+    assert rows(en.unknown_fields(fields), "field", "rows") == [("typo", 2), (None, 1)]
+
+
 def test_macro_limits(spark):
     macro = [("treasury_rates", None, i) for i in range(40)] + [("economic_calendar", None, i) for i in range(60)]
     macro += [("economic_indicators", n, i) for n in ("GDP", "other") for i in range(20)]

@@ -85,6 +85,18 @@ def macro_rows(macro: DataFrame) -> DataFrame:
     return known.where((F.col("part") != "economic_indicators") | F.col("name").isin(fv.INDICATORS))
 
 
+def unknown_macro(macro: DataFrame) -> DataFrame:
+    """Rows per part and series that no rule knows: what ``macro_rows`` leaves out, counted."""
+    parts = list(fv.MACRO_TRIM) + ["etf_sector_weightings_spy", "major_index_batch_quotes", "market_risk_premium"]
+    known = F.col("part").isin(parts) & ((F.col("part") != "economic_indicators") | F.col("name").isin(fv.INDICATORS))
+    return macro.where(~F.coalesce(known, F.lit(False))).groupBy("part", "name").agg(F.count("*").alias("rows"))
+
+
+def unknown_fields(df: DataFrame, limits: dict[str, int] = ROW_FIELDS) -> DataFrame:
+    """Rows per field name that has no limit: what ``field_rows`` leaves out, counted."""
+    return df.where(~F.coalesce(F.col("field").isin(list(limits)), F.lit(False))).groupBy("field").agg(F.count("*").alias("rows"))
+
+
 def macro_inventory(macro: DataFrame) -> DataFrame:
     """Rows per part and series; a part that failed to load simply has none."""
     return macro_rows(macro).groupBy("part", "name").agg(

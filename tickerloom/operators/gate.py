@@ -6,7 +6,7 @@ that severity, feedback text and statistics all derive from one array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
@@ -138,11 +138,14 @@ def verify_urls(
     """Reachability verdict per document from a seeded sample of its distinct URLs.
 
     ``url_status`` is (url, status) with one row per URL, status null for no
-    response.  URLs are cited from many reports, so the join runs on the
-    sampled pairs only, and AQE splits a URL everyone cites.
+    response.  The sample is drawn inside the report's row.  URLs are cited from
+    many reports, so the join runs on the sampled pairs only, and AQE splits a
+    URL everyone cites.  The listed bad URLs are at most those of one row.
     """
-    order = Window.partitionBy("doc_key").orderBy(F.xxhash64("url", F.lit(seed)), "pos")
-    sampled = report_urls(docs).withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= sample_size)
+    found = F.array_distinct(tx.urls(F.col("report")))
+    drawn = F.array_sort(F.transform(found, lambda u, i: F.struct(F.xxhash64(u, F.lit(seed)).alias("h"), i.alias("pos"), u.alias("url"))))
+    sampled = docs.select("doc_key", F.posexplode(F.slice(drawn, 1, sample_size)).alias("at", "u")).select(
+        "doc_key", F.col("u.url").alias("url"), (F.col("at") + 1).alias("draw"))
     seen = sampled.join(url_status, "url", "left")
     ok = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False))
     bad = F.sort_array(F.collect_list(F.when(~ok, F.struct("draw", "url"))))

@@ -35,12 +35,12 @@ def front_matter(ranked: DataFrame) -> DataFrame:
 
 
 def paginate(ranked: DataFrame, page_size: int = fv.PAGE_SIZE) -> DataFrame:
-    """Page number, page count and rows on the page for a ranked (limited) list."""
-    whole = Window.partitionBy()
+    """Page number, page count and rows on the page for a ranked list; the total is a scalar, not a window over all rows."""
+    total = ranked.agg(F.count("*").alias("n")).scalar()
     page = (F.floor(F.col("weight") / page_size) + 1).cast("int")
     return (
         ranked.withColumn("page", page)
-        .withColumn("page_count", F.ceil(F.count("*").over(whole) / page_size).cast("int"))
+        .withColumn("page_count", F.ceil(total / page_size).cast("int"))
         .withColumn("rows_on_page", F.count("*").over(Window.partitionBy("page")))
     )
 

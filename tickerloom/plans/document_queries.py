@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.functions import text as tx
 from tickerloom.operators import contracts as ct
 from tickerloom.operators import gate as g
 from tickerloom.operators import outcomes as oc
@@ -156,12 +155,10 @@ def g15(v):
 
 
 @query("g16_cited_urls", f"""
-SELECT doc_key, url, MIN(pos) AS first_pos FROM (SELECT doc_key, unnest(u) AS url, generate_subscripts(u, 1) AS pos FROM (
+SELECT doc_key, url, row_number() OVER (PARTITION BY doc_key ORDER BY MIN(pos)) - 1 AS pos FROM (SELECT doc_key, unnest(u) AS url, generate_subscripts(u, 1) AS pos FROM (
   SELECT doc_key, regexp_extract_all(report, '{_URL}') AS u FROM {{v_reports}}) a) b GROUP BY doc_key, url""")
 def g16_urls(v):
-    urls = tx.urls(F.col("report"))
-    listed = g.report_urls(v.v_reports).join(v.v_reports.select("doc_key", urls.alias("u")), "doc_key")
-    return listed.select("doc_key", "url", F.array_position("u", F.col("url")).alias("first_pos"))
+    return g.report_urls(v.v_reports).select("doc_key", "url", F.col("pos").cast("long").alias("pos"))
 
 
 @query("g16_verify_urls", f"""

@@ -76,6 +76,13 @@ def a01(v):
     return rows.withColumn("name", F.coalesce("name", F.lit("")))
 
 
+@query("a01_unknown_macro", """
+SELECT part, coalesce(name, '') AS name, COUNT(*) AS rows FROM {v_macro}
+WHERE part = 'economic_indicators' AND coalesce(name, '') NOT IN ('GDP', 'realGDP', 'inflationRate', 'unemploymentRate') GROUP BY part, name""")
+def a01_unknown(v):
+    return en.unknown_macro(v.v_macro).withColumn("name", F.coalesce("name", F.lit("")))
+
+
 @query("a02_macro_trimmed", "SELECT part, coalesce(name, '') AS name, ord, value FROM {c_trimmed}",
        c_macro=C_MACRO, c_trimmed=C_TRIMMED)
 def a02(v):
