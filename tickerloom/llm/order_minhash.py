@@ -49,22 +49,23 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     runs = F.when(F.length(text) < K, whole).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{K}}}))"), F.lit(1)))
     df = with_once(df, **{kmers: F.sort_array(F.transform(runs, lambda x, i: _packed(F.xxhash64(x), i)))})
     s = F.col(kmers)
-
-    def same(a: Column, b: Column) -> Column:
-        return F.coalesce(_mark(F.get(s, a)) == _mark(F.get(s, b)), F.lit(False))
-
     # Sorted by (hash, position), equal k-mers stand together in text order; a repeat has its like before it.
-    places = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-    df = with_once(df, **{repeats: F.filter(places, lambda j: same(j, j - 1))})
+    df = with_once(df, **{repeats: F.filter(s, lambda x, j: _mark(x) == _mark(F.get(s, j - 1)))})
     again = F.col(repeats)
+
+    def other(j: Column, k: Column) -> Column:
+        return F.coalesce(_mark(F.get(again, j)) != _mark(F.get(again, k)), F.lit(True))
+
     # The first of equals has number 0 and keeps its hash; the smallest POOL of them stand before this place.
     ahead = F.slice(s, 1, F.size(again) + POOL)
-    firsts = F.filter(ahead, lambda x, j: ~same(j, j - 1))
-    begins = F.filter(again, lambda j: ~same(j - 1, j - 2))
-    ends = F.filter(again, lambda j: ~same(j, j + 1))
+    firsts = F.filter(ahead, lambda x, j: F.coalesce(_mark(x) != _mark(F.get(s, j - 1)), F.lit(True)))
+    # The others, still in order, are numbered from 1 within their run.
+    places = F.when(F.size(again) > 0, F.sequence(F.lit(0), F.size(again) - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda j: other(j, j - 1))
+    ends = F.filter(places, lambda j: other(j, j + 1))
     spans = F.arrays_zip(begins.alias("b"), ends.alias("e"))
     later = F.flatten(F.transform(spans, lambda r: F.transform(
-        F.slice(s, r["b"] + 1, r["e"] - r["b"] + 1), lambda x, o: _packed(F.xxhash64(_mark(x), o + 1), x))))
+        F.slice(again, r["b"] + 1, r["e"] - r["b"] + 1), lambda x, o: _packed(F.xxhash64(_mark(x), o + 1), x))))
     smallest = F.slice(F.sort_array(F.concat(F.slice(firsts, 1, POOL), later)), 1, POOL)
     df = with_once(df, **{pool: smallest}).drop(kmers, repeats)
 
