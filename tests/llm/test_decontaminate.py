@@ -94,3 +94,47 @@ def test_sketch_equals_the_matrix_product(spark):
     c = np.array(counts)
     assert n == len(docs) and (frequency == df).all()
     assert np.allclose(moment, c.T @ (c @ decontaminate.random_matrix(len(place), decontaminate.SKETCH)), atol=1e-2)
+
+
+def brute_force(words, item):
+    """Whether some region of the text is a leak, by the leak rule over every region."""
+    answer, n = set(item[-decontaminate.ANSWER_WORDS:]), len(item)
+    for s in range(len(words)):
+        region = words[s : s + n + 2 * (n // 4 + 2)]
+        places = [k for k, w in enumerate(region) if w in set(item)]
+        if len(places) >= 0.8 * n and lcs(item, region) / n >= 0.8 and len(answer & set(region[places[0] : places[-1] + 1])) >= 0.6 * len(answer):
+            return True
+    return False
+
+
+def test_scattered_insertions_and_omissions_are_found_as_by_brute_force(spark):
+    rng = random.Random(8)
+    rare, common = [f"r{i}" for i in range(600)], ["the", "of", "and", "to", "in"]
+    items = [(k, rng.sample(rare, size) if k % 2 else rng.choices(rare + common * 40, k=size)) for k, size in enumerate([12, 16, 20, 25, 31, 40, 59])]
+    other = [w for _, item in items for w in item]
+    docs, sure = [], set()
+    for k, item in items:
+        n = len(item)
+        for m, filler in ((2, None), (3, None), (3, other), (4, None), (4, other), (5, None), (5, other)):
+            # One word after every m-th: a common subsequence of the whole item.
+            text = [x for j, w in enumerate(item) for x in ([w, rng.choice(filler) if filler else "zz"] if j % m == m - 1 else [w])]
+            docs.append(text)
+            sure.add((len(docs) - 1, k))
+        for m in (5, 6, 7):
+            # Every m-th word of the item is left out, its last words stay.
+            text = [w for j, w in enumerate(item) if j % m != m - 2 or j >= n - 2]
+            docs.append(text)
+            if len(text) >= 0.8 * n:
+                sure.add((len(docs) - 1, k))
+        for _ in range(6):
+            # Around the bar: words left out, put in and replaced at random.
+            docs.append([x for w in item for x in rng.choice([[w]] * 8 + [[], ["zz"], [w, rng.choice(other)]])])
+        docs.append(rng.sample(item, n))
+    docs = [rng.choices(rare + common * 60, k=rng.randint(0, 40)) + t + rng.choices(rare + common * 60, k=rng.randint(0, 40)) for t in docs]
+    want = {(i, k) for i, t in enumerate(docs) for k, item in items if brute_force(t, item)}
+    assert sure <= want
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    found = decontaminate.leaks(documents(spark, [(i, " ".join(t)) for i, t in enumerate(docs)]), bench).collect()
+    found = {(r.doc_id, r.item_id) for r in found}
+    # Long items may also be found in part.
+    assert want <= found and {p for p in found - want if p[1] < 6} == set()

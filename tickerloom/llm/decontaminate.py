@@ -3,8 +3,11 @@
 Passages of the documents are TF-IDF vectors over the words of the benchmark; all other words have no part in any
 product with a benchmark passage.  One pass over the corpus counts document frequencies and sketches the passages' second
 moments (a randomised SVD in its Nystroem form: one product with a random matrix, summed by partition).  A second pass
-projects every passage with enough benchmark words, finds the benchmark windows that are near by cosine, and confirms them
-with the longest common subsequence of words and the item's answer words.
+projects the windows of every stretch that holds enough of an item's words to be a leak, finds the benchmark windows that are
+near by cosine, and confirms them with the longest common subsequence of words and the item's answer words.
+
+Which stretches these are follows from the leak rule and loses nothing: a leak may lack ``n - need`` of an item's ``n`` words, so
+of its ``n - need + m`` rarest words at least ``m`` stand in the leak's region, in whatever order and with whatever between them.
 """
 
 from __future__ import annotations
@@ -23,16 +26,13 @@ from tickerloom.llm.common import LOWER, WORD_BYTE, text_blocks, word_hashes
 #: Latent dimensions kept, and random vectors of the sketch.
 RANK = 48
 SKETCH = 64
-#: Words of a search window and the step between two; words of a sketched passage.
+#: Words of a search window, and of a sketched passage.
 WINDOW = 12
-STEP = 4
 PASSAGE = 32
-#: Share of a window's words that must stand in the benchmark to be searched: some window of a leak has the leak's share.
-KNOWN = 0.8
-#: Cosine that makes a candidate, and share of its words that must meet, shifted by at most ``SHIFT`` words, before the full check.
-COSINE = 0.75
-MEETING = 0.5
-SHIFT = 2
+#: Cosine of two windows that makes a candidate.
+COSINE = 0.6
+#: Share of an item's words that is asked for in advance, beyond those that a leak may lack; the rarest words are taken.
+RARE = 0.3
 #: Share of an item's words in the common subsequence, and of its answer words near it, that make a leak.
 SUBSEQUENCE = 0.8
 ANSWER = 0.6
@@ -175,51 +175,69 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-class Windows:
-    """Windows of ``size`` words of some items, one word apart, so that a text's windows may stand ``step`` words apart."""
-
-    def __init__(self, bench: Benchmark, vectors: np.ndarray, items: list[int], size: int, step: int):
-        self.size, self.step = size, step
-        spots = [(k, a) for k in items for a in range(len(bench.items[k]) - size + 1)]
-        self.owner = np.array([k for k, _ in spots], np.int64)
-        self.offset = np.array([a for _, a in spots], np.int64)
-        self.words = np.stack([bench.items[k][a : a + size] for k, a in spots])
-        self.unit = _unit(sum(vectors[bench.places(self.words[:, t])] for t in range(size)))
-
-    def candidates(self, h: np.ndarray, place: np.ndarray, begin: np.ndarray, finish: np.ndarray, vectors: np.ndarray):
-        """Arrays (first word, item, where the item would start, cosine) of the windows that are near an item."""
-        known = np.append(0, np.cumsum(place >= 0))
-        at = np.flatnonzero(((np.arange(len(h)) - begin) % self.step == 0) & (np.arange(len(h)) + self.size <= finish))
-        at = at[known[at + self.size] - known[at] >= np.ceil(KNOWN * self.size)]
-        for lo in range(0, len(at), 2048):
-            a = at[lo : lo + 2048]
-            total = np.zeros((len(a), vectors.shape[1]), np.float32)
-            for t in range(self.size):
-                inside = place[a + t]
-                total += np.where((inside >= 0)[:, None], vectors[inside], 0)
-            near = _unit(total) @ self.unit.T
-            i, j = np.divmod(np.flatnonzero(near.ravel() >= COSINE), len(self.unit))
-            meeting = np.zeros(len(i), np.int64)
-            for shift in range(-SHIFT, SHIFT + 1):
-                same = np.zeros(len(i), np.int64)
-                for t in range(self.size):
-                    same += h[np.clip(a[i] + t + shift, 0, len(h) - 1)] == self.words[j, t]
-                meeting = np.maximum(meeting, same)
-            keep = meeting >= MEETING * self.size
-            i, j = i[keep], j[keep]
-            yield a[i], self.owner[j], a[i] - self.offset[j], near[i, j]
+def needed(n: int) -> int:
+    """Common words without which an item of ``n`` words is no leak."""
+    return min(int(np.ceil(SUBSEQUENCE * n - 1e-9)), PARTIAL_WORDS)
+
+
+def reach(n: int) -> int:
+    """Words of a text in which an item of ``n`` words is looked for: half of it may be inserted."""
+    return n + 2 * (n // 4 + 2)
 
 
 class Finder:
     """Latent vectors of the benchmark's words and windows, and the confirmation of candidates."""
 
-    def __init__(self, bench: Benchmark, vectors: np.ndarray):
-        self.bench, self.vectors = bench, vectors
-        # A window of WINDOW words at every STEP-th word lies inside any copy of so many words; shorter items are searched whole.
-        long = [k for k, item in enumerate(bench.items) if len(item) >= WINDOW + STEP - 1]
-        self.groups = [Windows(bench, vectors, long, WINDOW, STEP)] if long else []
-        for size in sorted({len(item) for item in bench.items if len(item) < WINDOW + STEP - 1}):
-            self.groups.append(Windows(bench, vectors, [k for k, item in enumerate(bench.items) if len(item) == size], size, 1))
+    def __init__(self, bench: Benchmark, vectors: np.ndarray, frequency: np.ndarray):
+        self.bench, self.vectors, self.units = bench, vectors, {}
+        words, items, self.least = [], [], np.ones(len(bench.items), np.int64)
+        for k, item in enumerate(bench.items):
+            n, place = len(item), bench.places(item)
+            self.least[k] = max(1, min(needed(n), int(RARE * n)))
+            rare = np.unique(place[np.argsort(frequency[place], kind="stable")[: n - needed(n) + self.least[k]]])
+            words.append(rare)
+            items.append(np.full(len(rare), k, np.int64))
+        word, item = np.concatenate(words), np.concatenate(items)
+        self.posted = item[np.argsort(word, kind="stable")]
+        self.postings = np.append(0, np.cumsum(np.bincount(word, minlength=len(bench.vocabulary))))
+        self.reach = np.array([reach(len(x)) for x in bench.items], np.int64)
+
+    def stretches(self, place: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last): the places where the region of a leak can begin; every leak's region begins in one of them."""
+        at = np.flatnonzero(place >= 0)
+        counts = self.postings[place[at] + 1] - self.postings[place[at]]
+        at, counts = at[counts > 0], counts[counts > 0]
+        if not len(at):
+            return
+        ends = np.cumsum(counts)
+        inner = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+        item, pos = self.posted[np.repeat(self.postings[place[at]], counts) + inner], np.repeat(at, counts)
+        # Ordered by item; places stay in order.
+        order = np.argsort(item.astype(np.int16 if len(self.reach) < 1 << 15 else np.int64), kind="stable")
+        item, pos = item[order], pos[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        k = np.flatnonzero(last < len(item))
+        k = k[(item[last[k]] == item[k]) & (pos[last[k]] - pos[k] < self.reach[item[k]])]
+        k = k[owner[pos[last[k]]] == owner[pos[k]]]
+        if not len(k):
+            return
+        item, first, final = item[k], np.maximum(pos[last[k]] - self.reach[item[k]] + 1, begin[pos[k]]), pos[k]
+        new = np.append(True, (item[1:] != item[:-1]) | (first[1:] > final[:-1]))
+        heads = np.flatnonzero(new)
+        yield from zip(item[heads].tolist(), first[heads].tolist(), final[np.append(heads[1:], len(item)) - 1].tolist(), strict=True)
+
+    def cosine(self, item: int, place: np.ndarray) -> float:
+        """Largest cosine of a window of these words and one of the item."""
+        size = min(WINDOW, len(self.bench.items[item]), len(place))
+
+        def windows(place: np.ndarray) -> np.ndarray:
+            rows = np.where((place >= 0)[:, None], self.vectors[place], 0)
+            sums = np.vstack([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=float)])
+            return _unit(sums[size:] - sums[:-size])
+
+        if (item, size) not in self.units:
+            self.units[item, size] = windows(self.bench.places(self.bench.items[item]))
+        return float((windows(place) @ self.units[item, size].T).max())
 
     def search(self, h: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, float, float]]:
         """Confirmed leaks in a block: (text, item, common words, share of the item, cosine)."""
@@ -229,31 +247,28 @@ class Finder:
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         stop = np.append(first[1:], len(h))
         begin, finish = np.repeat(first, stop - first), np.repeat(stop, stop - first)
-        hits: dict[tuple[int, int], list] = {}
-        for group in self.groups:
-            for found in group.candidates(h, place, begin, finish, self.vectors):
-                for a, item, start, cosine in zip(*(x.tolist() for x in found), strict=True):
-                    hits.setdefault((a, item, start), []).append(cosine)
-        places: dict[tuple[int, int], list] = {}
-        for (a, item, start), cosines in hits.items():
-            places.setdefault((int(owner[a]), item), []).append((start, max(cosines), a))
-        out = []
-        for (text, item), found in places.items():
-            words, best, looked = self.bench.items[item], None, None
-            margin = len(words) // 4 + 2
-            for start, cosine, a in sorted(found):
-                if looked is not None and start - looked < max(len(words) // 8, 1) and best is not None:
-                    best = (*best[:2], max(best[2], cosine))
+        best: dict[tuple[int, int], tuple[int, float, float]] = {}
+        for item, lo, hi in self.stretches(place, owner, begin):
+            words, size = self.bench.items[item], int(self.reach[item])
+            end = min(hi + size, int(finish[hi]))
+            common = lo + np.flatnonzero(np.isin(h[lo:end], words))
+            starts = common[common <= hi]
+            # So many words at most are common to the item and the region that begins here.
+            bound = np.searchsorted(common, starts + size) - np.searchsorted(common, starts)
+            starts, bound = starts[bound >= needed(len(words))], bound[bound >= needed(len(words))]
+            if not len(starts):
+                continue
+            near = self.cosine(item, place[starts[0] : min(starts[-1] + size, end)])
+            if near < COSINE:
+                continue
+            key = int(owner[hi]), item
+            for s, n in zip(starts.tolist(), np.minimum(bound, len(words)).tolist(), strict=True):
+                if key in best and n <= best[key][0]:
                     continue
-                region = h[max(start - margin, int(begin[a])) : min(start + len(words) + margin, int(finish[a]))]
-                length, share, leak = self.confirm(words, region)
-                if leak:
-                    looked = start
-                    if best is None or length > best[0]:
-                        best = length, share, cosine
-            if best:
-                out.append((text, item, *best))
-        return out
+                length, share, leak = self.confirm(words, h[s : min(s + size, end)])
+                if leak and (key not in best or length > best[key][0]):
+                    best[key] = length, share, max(near, best[key][2] if key in best else near)
+        return [(*key, *found) for key, found in sorted(best.items())]
 
     def confirm(self, item: np.ndarray, region: np.ndarray) -> tuple[int, float, bool]:
         """Common words, their share of the item, and whether this is a leak.
@@ -291,7 +306,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_O
         if not frequency.any():
             continue
         idf, projection = latent_space(n, frequency, moment)
-        finder = Finder(bench, (projection * idf[:, None]).astype(np.float32))
+        finder = Finder(bench, (projection * idf[:, None]).astype(np.float32), frequency)
 
         def search(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
             for batch in batches:
