@@ -77,3 +77,22 @@ def test_pool_equals_brute_force(spark):
 def test_no_python_in_the_plan(spark):
     plan = plan_of(order_minhash.fingerprint(documents(spark, ODD)))
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_likeness_of_texts_of_unequal_length_is_that_of_all_kmers(spark):
+    """A text and the same with more text behind it: every k-mer of either counts, however much longer one of them is."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(60):
+        base = "".join(rng.choices(letters, k=600))
+        rows += [(i, 1.5, base, base + "".join(rng.choices(letters, k=300))), (i, 2.0, base, base + "".join(rng.choices(letters, k=600)))]
+    frame = spark.createDataFrame(rows, "i int, times double, a string, b string").repartition(8)
+    frame = order_minhash.with_signature(order_minhash.with_signature(frame, "a", "sa"), "b", "sb")
+    got = {r.times: r.x for r in frame.groupBy("times").agg(F.avg(order_minhash.likeness(F.col("sa"), F.col("sb"))).alias("x")).collect()}
+    # Both minima of the longer text stand in the shorter one with the square of the share of its k-mers.
+    for times, x in got.items():
+        share = (600 - order_minhash.K + 1) / (600 * times - order_minhash.K + 1)
+        assert abs(x - share**2) < 0.04

@@ -1,9 +1,8 @@
 """Order MinHash fingerprints, DataFrame operations only.
 
-Every run of ``K`` code points is numbered among its equals in the text.  The ``POOL`` numbered k-mers of smallest hash are taken;
-for each of ``HASHES`` further hash functions the ``2`` smallest of them are put in text order and hashed as a tuple.  Unlike
-plain MinHash the tuples change when the same k-mers stand in another order or number.  All steps work inside the document's own
-row, in time n log n.
+Every run of ``K`` code points is numbered among its equals in the text.  For each of ``HASHES`` hash functions the ``2`` smallest
+of all numbered k-mers are put in text order and hashed as a tuple.  Unlike plain MinHash the tuples change when the same k-mers
+stand in another order or number.  All steps work inside the document's own row, in time n log n.
 """
 
 from __future__ import annotations
@@ -16,10 +15,11 @@ from tickerloom.functions.collections import with_once
 from tickerloom.session import materialize
 
 K = 8
-POOL = 64
 HASHES = 32
 #: Low bits of a packed long hold the position, the others the k-mer's hash.
 POSITION_BITS = 26
+#: Numbered k-mers that each hash function draws from: all, as many as positions tell apart.
+POOL = 1 << POSITION_BITS
 _POSITION = (1 << POSITION_BITS) - 1
 #: Document ids in one window; the texts of a bucket meet in one task.
 BUCKET = 1024
@@ -44,7 +44,7 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     (A k-mer is also taken at the second half of a code point beyond the 16-bit range: one more per such character, equal for
     equal texts.)
     """
-    kmers, repeats, pool = f"_{name}_kmers", f"_{name}_repeats", f"_{name}_pool"
+    kmers, repeats, pool, drawn = f"_{name}_kmers", f"_{name}_repeats", f"_{name}_pool", f"_{name}_drawn"
     whole = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(F.col(text)))
     runs = F.when(F.length(text) < K, whole).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{K}}}))"), F.lit(1)))
     df = with_once(df, **{kmers: F.sort_array(F.transform(runs, lambda x, i: _packed(F.xxhash64(x), i)))})
@@ -56,9 +56,6 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     def other(j: Column, k: Column) -> Column:
         return F.coalesce(_mark(F.get(again, j)) != _mark(F.get(again, k)), F.lit(True))
 
-    # The first of equals has number 0 and keeps its hash; the smallest POOL of them stand before this place.
-    ahead = F.slice(s, 1, F.size(again) + POOL)
-    firsts = F.filter(ahead, lambda x, j: F.coalesce(_mark(x) != _mark(F.get(s, j - 1)), F.lit(True)))
     # The others, still in order, are numbered from 1 within their run.
     places = F.when(F.size(again) > 0, F.sequence(F.lit(0), F.size(again) - 1)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(places, lambda j: other(j, j - 1))
@@ -66,15 +63,19 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     spans = F.arrays_zip(begins.alias("b"), ends.alias("e"))
     later = F.flatten(F.transform(spans, lambda r: F.transform(
         F.slice(again, r["b"] + 1, r["e"] - r["b"] + 1), lambda x, o: _packed(F.xxhash64(_mark(x), o + 1), x))))
-    smallest = F.slice(F.sort_array(F.concat(F.slice(firsts, 1, POOL), later)), 1, POOL)
-    df = with_once(df, **{pool: smallest}).drop(kmers, repeats)
+    # The first of equals has number 0 and keeps its hash.
+    df = with_once(df, **{pool: F.concat(F.array_except(s, again), later)}).drop(kmers, repeats)
 
     def component(j: int) -> Column:
-        drawn = F.slice(F.sort_array(F.transform(F.col(pool), lambda x: _packed(F.xxhash64(_mark(x), F.lit(j)), x))), 1, 2)
+        return F.slice(F.sort_array(F.transform(F.col(pool), lambda x: _packed(F.xxhash64(_mark(x), F.lit(j)), x))), 1, 2)
+
+    def tuple_hash(drawn: Column) -> Column:
         ordered = F.transform(F.sort_array(F.transform(drawn, lambda x: F.struct(x.bitwiseAND(_long(_POSITION)).alias("p"), _mark(x).alias("h")))), lambda t: t["h"])
         return F.xxhash64(ordered).bitwiseAND(_long(0xFFFFFFFF))
 
-    return with_once(df, **{name: F.array(*[component(j) for j in range(HASHES)])}).drop(pool)
+    # A projection, as only there longs are sorted without a comparison of objects.
+    df = df.select("*", F.array(*[component(j) for j in range(HASHES)]).alias(drawn)).drop(pool)
+    return with_once(df, **{name: F.transform(F.col(drawn), tuple_hash)}).drop(drawn)
 
 
 def as_text(signature: Column) -> Column:
