@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import decontaminate, html_extract, language_id, licenses, order_minhash, packing, preferences, quality, simhash, token_counts
+from tickerloom.llm import decontaminate, html_extract, language_id, licenses, order_minhash, packing, preferences, quality, simhash, token_counts, whitening
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scans")
 def license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op13_embedding_whitening")
+def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
