@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import decontaminate, html_extract, language_id, licenses, order_minhash, packing, preferences, prefix_trie, quality, simhash, token_counts, whitening
+from tickerloom.llm import decontaminate, html_extract, language_id, licenses, order_minhash, packing, personal_data, preferences, prefix_trie, quality, simhash, token_counts, whitening
 from tickerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def conversation_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
 
 
+@query("op12_personal_data")
+def personal_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find(table(spark, folder, "documents"))
+
+
 @query("op13_embedding_whitening")
 def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
