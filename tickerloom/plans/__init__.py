@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["source_queries", "discovery_queries", "record_queries", "forecast_queries", "publish_queries", "document_queries", "stream_queries"]
+MODULES = ["source_queries", "discovery_queries", "record_queries", "forecast_queries", "publish_queries", "document_queries", "stream_queries", "landed_queries"]
 
 
 def load_all() -> None:

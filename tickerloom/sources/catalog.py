@@ -64,3 +64,57 @@ BY_NAME = {d.name: d for d in DATASETS}
 
 def names_with_shape(*shapes: str) -> list[str]:
     return [d.name for d in DATASETS if d.shape in shapes]
+
+
+class Field(NamedTuple):
+    column: str
+    vendor: str  # name in the payload
+    kind: str
+
+
+def _fields(*specs: str) -> tuple[Field, ...]:
+    """Fields from "column kind" or "column=vendor kind"."""
+    out = []
+    for spec in specs:
+        names, kind = spec.split(" ", 1)
+        column, _, vendor = names.partition("=")
+        out.append(Field(column, vendor or column, kind))
+    return tuple(out)
+
+
+_POINT = _fields("ord=id bigint", "date date", "value double")
+_STATEMENT = _fields("ord=id bigint", "date date", "period string", "revenue bigint")
+# --- fixed values: the payload fields that later steps read, and their types; everything else stays in ``leftover`` ----
+FIELDS: dict[str, tuple[Field, ...]] = {
+    "ipos-calendar": _fields(
+        "ord=id bigint", "symbol string", "date date", "expected_date=expectedDate string", "company string", "exchange string", "cik string",
+        "price_range=priceRange string", "shares bigint", "market_cap=marketCap bigint"),
+    "fundraising": _fields("ord=id bigint", "cik string", "date date", "amount=totalOfferingAmount double"),
+    "profile": _fields(
+        "company_name=companyName string", "cik string", "sector string", "industry string", "employees=fullTimeEmployees bigint", "ceo string",
+        "website string", "description string"),
+    "company-notes": _fields("ord=id bigint", "cik string", "title string", "exchange string"),
+    "income-statement": _STATEMENT, "balance-sheet-statement": _STATEMENT, "cash-flow-statement": _STATEMENT,
+    "key-metrics": _STATEMENT, "ratios": _STATEMENT, "enterprise-values": _STATEMENT,
+    "key-metrics-ttm": _POINT, "ratios-ttm": _POINT, "news/stock": _POINT, "news/press-releases": _POINT, "analyst-estimates": _POINT,
+    "insider-trading/search": _POINT, "insider-trading/statistics": _POINT,
+    "ipos-disclosure": _fields("ord=id bigint", "form string", "symbol string", "ticker string", "companySymbol string", "stock string", "cik string"),
+    "ipos-prospectus": _fields("ord=id bigint", "form string", "symbol string", "ticker string", "companySymbol string", "stock string", "cik string"),
+    "stock-peers": _fields("peer=symbol string", "brand=companyName string"),
+    "key-executives": _fields("name string", "title string", "pay double"),
+    "shares-float": _fields("date date", "free_float=freeFloat double", "float_shares=floatShares bigint", "outstanding=outstandingShares bigint"),
+    "quote": _fields("price double", "change double", "volume bigint", "market_cap=marketCap bigint"),
+    "financial-scores": _fields("altman_z=altmanZScore double", "piotroski=piotroskiScore int"),
+    "price-target-summary": _fields("targets=lastMonthCount bigint", "average=lastMonthAvgPriceTarget double"),
+    "price-target-consensus": _fields("high=targetHigh double", "low=targetLow double", "consensus=targetConsensus double"),
+    "ratings-snapshot": _fields("rating string", "score=overallScore int"),
+    "sec-filings-search/symbol": _fields("ord=id bigint", "date=filingDate date", "form=formType string"),
+    "revenue-product-segmentation": _POINT, "revenue-geographic-segmentation": _POINT,
+    "treasury-rates": _POINT, "market-risk-premium": _POINT, "economic-calendar": _POINT, "economic-indicators": (Field("name", "name", "string"), *_POINT),
+    "sector-performance-snapshot": _POINT, "industry-performance-snapshot": _POINT, "sector-pe-snapshot": _POINT, "industry-pe-snapshot": _POINT,
+    "historical-sector-performance": (Field("name", "sector", "string"), *_POINT),
+    "historical-industry-performance": (Field("name", "industry", "string"), *_POINT),
+    "etf/sector-weightings": _POINT, "batch-quote": (Field("name", "symbol", "string"), *_POINT),
+    "historical-price-eod/full": _fields(
+        "ord=id bigint", "date date", "close double", "adj_close=adjClose double", "volume bigint", "change_percent=changePercent double"),
+}
