@@ -145,20 +145,52 @@ def price_list() -> Column:
     return F.array_sort(F.collect_list(F.struct("date", "close", "adj_close", "ord")), newest_first)
 
 
-def _inside_window(prices: str, max_rows: int) -> Column:
-    return F.slice(F.filter(prices, lambda p: p["date"].isNull() | (p["date"] >= F.col("window_from"))), 1, max_rows)
+def listed_prices(eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
+    """symbol, listed (newest dated rows first, then undated ones, at most ``max_rows`` of each), days, n_dated and oldest of the dated."""
+    rows = trim_prices(eod, run_date, max_rows).groupBy("symbol").agg(
+        price_list().alias("listed"), F.count("date").cast("int").alias("n_dated"), F.min("date").alias("oldest"))
+    return rows.withColumn("days", F.transform(F.slice("listed", 1, F.col("n_dated")), lambda p: p["date"]))
+
+
+def inside_count() -> Column:
+    """How many of the listed dated rows a window from ``window_from`` to the run date holds.
+
+    A window that reaches back to the oldest listed row holds all of them, which is the common case and needs no look at the days.
+    """
+    some = F.size(F.filter("days", lambda day: day >= F.col("window_from")))
+    return F.when(F.col("oldest").isNull() | F.col("window_from").isNull(), 0).when(F.col("window_from") <= F.col("oldest"), F.col("n_dated")).otherwise(some)
+
+
+def list_of_count(max_rows: int = fv.EOD_MAX_ROWS) -> Column:
+    """The price list of a window that holds ``inside`` dated rows: these, and undated ones up to ``max_rows``."""
+    return F.concat(F.slice("listed", F.lit(1), F.col("inside")), F.slice("listed", F.col("n_dated") + 1, F.lit(max_rows) - F.col("inside")))
+
+
+def window_counts(entries: DataFrame, listed: DataFrame) -> DataFrame:
+    """Entries with ``inside``; all windows end on the run date, so (symbol, inside) names an entry's price list.
+
+    A symbol has at most ``max_rows + 1`` different lists, however many entries share them.  Entries without a price row are left out.
+    """
+    known = listed.select("symbol", "days", "n_dated", "oldest")
+    return entries.join(known, "symbol").withColumn("inside", inside_count()).drop("days", "n_dated", "oldest")
+
+
+def counted_lists(counts: DataFrame, listed: DataFrame, max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
+    """symbol, inside, prices for each distinct (symbol, inside) of ``counts``; empty lists are left out."""
+    wanted = counts.select("symbol", "inside").distinct().join(listed, "symbol")
+    return wanted.select("symbol", "inside", list_of_count(max_rows).alias("prices")).where(F.size("prices") > 0)
 
 
 def window_price_lists(entries: DataFrame, eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
     """Entries with ``prices``: the newest ``max_rows`` rows inside each one's window, undated rows last.
 
     A symbol's newest rows are listed once, however many entries it has; each
-    entry cuts its window from the list in its own row.  Entries without a
-    price row are left out.
+    entry counts how many of them its window holds.  Entries without a price
+    row are left out.
     """
-    listed = trim_prices(eod, run_date, max_rows)
-    listed = listed.groupBy("symbol").agg(price_list().alias("_listed"))
-    cut = entries.join(listed, "symbol").withColumn("prices", _inside_window("_listed", max_rows)).drop("_listed")
+    listed = listed_prices(eod, run_date, max_rows)
+    counted = entries.join(listed, "symbol").withColumn("inside", inside_count())
+    cut = counted.withColumn("prices", list_of_count(max_rows)).drop("listed", "days", "n_dated", "oldest", "inside")
     return cut.where(F.size("prices") > 0)
 
 
@@ -171,26 +203,25 @@ def window_prices(entries: DataFrame, eod: DataFrame, run_date: date | str, max_
         *keys, "p.ord", "p.date", "p.close", "p.adj_close", (F.col("pos") + 1).alias("rank"))
 
 
-def benchmark_rows(eod: DataFrame, run_date: date | str, symbol: str = fv.BENCHMARK_SYMBOL,
-                   max_rows: int = fv.EOD_MAX_ROWS) -> DataFrame:
-    """One row holding the benchmark's newest rows (at most ``2 * max_rows``), newest first."""
-    rows = trim_prices(eod.where(F.col("symbol") == symbol), run_date, max_rows)
-    return rows.agg(price_list().alias("benchmark"))
+def with_benchmark_count(entries: DataFrame, listed: DataFrame, symbol: str = fv.BENCHMARK_SYMBOL) -> DataFrame:
+    """Adds the benchmark's ``listed`` rows, ``n_dated``, and ``inside``: how many of its dated rows each entry's window holds.
+
+    The benchmark is a scalar subquery: one value of at most twice the row
+    limit, computed once.  Without a benchmark row all are null.
+    """
+    one = listed.where(F.col("symbol") == symbol).select(F.struct("listed", "days", "n_dated", "oldest").alias("b")).scalar()
+    known = entries.withColumn("_b", one).select("*", "_b.listed", "_b.days", "_b.n_dated", "_b.oldest").drop("_b")
+    return known.withColumn("inside", F.when(F.col("listed").isNotNull(), inside_count())).drop("days", "oldest")
 
 
 def window_benchmark(entries: DataFrame, eod: DataFrame, run_date: date | str, max_rows: int = fv.EOD_MAX_ROWS
                      ) -> DataFrame:
-    """Adds ``benchmark_eod_recent``: the shared benchmark cut to each entry's window.
-
-    The benchmark is a scalar subquery: one value of at most ``2 * max_rows``
-    prices, computed once.
-    """
-    cut = _inside_window("benchmark", max_rows)
-    return (
-        entries.withColumn("benchmark", benchmark_rows(eod, run_date, max_rows=max_rows).scalar())
-        .withColumn("benchmark_eod_recent", cut)
-        .drop("benchmark")
-    )
+    """Adds ``benchmark_eod_recent``: the shared benchmark cut to each entry's window; empty without a benchmark row."""
+    # The filter stands before the listing, so that only the benchmark's rows are listed.
+    listed = listed_prices(eod.where(F.col("symbol") == fv.BENCHMARK_SYMBOL), run_date, max_rows)
+    counted = with_benchmark_count(entries, listed)
+    none = F.array().cast("array<struct<date:date,close:double,adj_close:double,ord:bigint>>")
+    return counted.withColumn("benchmark_eod_recent", F.coalesce(list_of_count(max_rows), none)).drop("listed", "n_dated", "inside")
 
 
 def series_tails(series: DataFrame, level: str, max_rows: int = fv.SERIES_TAIL) -> DataFrame:

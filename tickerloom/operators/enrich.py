@@ -9,7 +9,7 @@ collected before it was cut.  Landed payloads are reduced to the latest one per
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
 
@@ -311,15 +311,41 @@ def build_records(
     fundraising: DataFrame,
     macro: DataFrame | None,
     run_date: date | str,
+    store: Callable[[dict[str, Callable[[], DataFrame]]], dict[str, DataFrame]] = lambda tables: {n: t() for n, t in tables.items()},
 ) -> DataFrame:
     """Nested research record per entry; every section is optional, no entry is lost.
 
     ``entries`` has one row per symbol; ``row_datasets`` are outputs of
-    ``field_rows``; ``fundraising`` is (cik, rows).
+    ``field_rows``; ``fundraising`` is (cik, rows).  ``store`` may write the
+    sections, one row per symbol each, for instance as tables with the same
+    buckets (``silver.bucketed_together``), so that joining them moves no row.
     """
     keyed = d.price_window(d.resolve_cik(entries, profile), run_date)
     wanted = keyed.select("symbol")
 
+    def lists() -> DataFrame:
+        return fold_fields(_section_rows(keyed, wanted, row_datasets, eod, filings, regulatory, run_date))
+
+    who = profile.select("symbol", F.struct(
+        F.col("company_name").alias("companyName"), "industry", "sector",
+        F.col("employees").alias("fullTimeEmployees"), "ceo", "website", "description", "cik",
+    ).alias("company_profile"))
+    raised = fundraising.select(F.col("cik").alias("resolved_cik"), F.col("rows").alias("_raised"))
+    sections = store({
+        "lists": lists,
+        "payloads": lambda: fold_payloads(normalized_payloads(latest_payloads(landed))),
+        "company": lambda: (
+            d.window_benchmark(d.sector_history(keyed, profile, series), eod, run_date).join(who, "symbol", "left").join(raised, "resolved_cik", "left")
+        ),
+    })
+    flat = sections["company"].join(sections["lists"], "symbol", "left").join(sections["payloads"], "symbol", "left")
+    return _record_of(flat, macro, run_date)
+
+
+def _section_rows(
+    keyed: DataFrame, wanted: DataFrame, row_datasets: Sequence[DataFrame], eod: DataFrame, filings: DataFrame, regulatory: DataFrame, run_date: date | str
+) -> DataFrame:
+    """The cut rows of all row datasets of the wanted symbols: symbol, field, rank, row."""
     prices = ranked_rows(d.window_prices(keyed, eod, run_date), "company_eod_recent", ["date", "close", "adj_close"])
     recent = ranked_rows(d.recent_filings(filings, run_date), "filings", ["date", "form"])
     matched = ranked_rows(
@@ -327,21 +353,11 @@ def build_records(
         F.when(F.col("list") == "disclosures", "disclosure_filings_matched").otherwise("prospectus_entries_matched"),
         ["form", "row_cik", "row_symbol"])
     tables = reduce(DataFrame.unionByName, [*row_datasets, recent]).join(wanted, "symbol", "left_semi")
-    lists = fold_fields(tables.unionByName(prices).unionByName(matched))
-    payloads = fold_payloads(normalized_payloads(latest_payloads(landed)))
+    return tables.unionByName(prices).unionByName(matched)
 
-    who = profile.select("symbol", F.struct(
-        F.col("company_name").alias("companyName"), "industry", "sector",
-        F.col("employees").alias("fullTimeEmployees"), "ceo", "website", "description", "cik",
-    ).alias("company_profile"))
-    flat = (
-        d.window_benchmark(d.sector_history(keyed, profile, series), eod, run_date)
-        .join(who, "symbol", "left")
-        .join(lists, "symbol", "left")
-        .join(payloads, "symbol", "left")
-        .join(fundraising.select(F.col("cik").alias("resolved_cik"), F.col("rows").alias("_raised")),
-              "resolved_cik", "left")
-    )
+
+def _record_of(flat: DataFrame, macro: DataFrame | None, run_date: date | str) -> DataFrame:
+    """The nested document of joined sections."""
     if macro is None:
         flat = flat.withColumn("global_market_context", F.lit(None).cast("struct<prefetch_as_of: date>"))
     else:

@@ -10,6 +10,7 @@ from tickerloom.operators import discovery as d
 from tickerloom.plans.registry import iso, query
 from tickerloom.plans.source_queries import _CIK, C_EXPECTED
 from tickerloom.plans.views import RUN_DATE, Views
+from tickerloom.session import materialize
 
 LOOKBACK = 2500
 
@@ -126,12 +127,13 @@ _PRICE_DIGEST = """SELECT '{side}' AS side, entry, symbol, COUNT(*) AS n, CAST(M
 FROM {{{rows}}} GROUP BY entry, symbol"""
 
 
-def _price_digest(lists: DataFrame, side: str, prices: str) -> DataFrame:
-    own = F.col(prices)
-    return lists.where(F.size(own) > 0).select(
-        F.lit(side).alias("side"), "entry", "symbol", F.size(own).cast("long").alias("n"),
-        F.array_max(F.transform(own, lambda p: p["date"])).cast("string").alias("newest"),
-        F.aggregate(own, F.lit(None).cast("long"), lambda a, p: F.coalesce(a + F.round(p["close"] * 100).cast("long"), a, F.round(p["close"] * 100).cast("long"))).alias("cents"),
+def _price_digest(lists: DataFrame, *keys: str) -> DataFrame:
+    """Size, newest day, sum and digest of price lists."""
+    own, zero = F.col("prices"), F.lit(None).cast("long")
+    cents = F.filter(F.transform(own, lambda p: F.round(p["close"] * 100).cast("long")), lambda c: c.isNotNull())
+    return lists.select(
+        *keys, F.size(own).cast("long").alias("n"), F.array_max(F.transform(own, lambda p: p["date"])).cast("string").alias("newest"),
+        F.when(F.size(cents) > 0, F.aggregate(cents, F.lit(0).cast("long"), lambda a, c: a + c)).otherwise(zero).alias("cents"),
         F.md5(F.array_join(F.transform(own, lambda p: p["ord"].cast("string")), ",")).alias("listed"))
 
 
@@ -139,10 +141,22 @@ def _price_digest(lists: DataFrame, side: str, prices: str) -> DataFrame:
     _PRICE_DIGEST.format(side=side, rows=rows) for side, rows in (("company", "c_prices"), ("benchmark", "c_bench"))),
        **ENTRY_CTES, c_prices=C_PRICES, c_bench=C_BENCH)
 def j08(v):
-    """Every entry's price lists in order: size, newest day, sum and a digest of the rows."""
+    """Every entry's price lists in order: size, newest day, sum and a digest of the rows.
+
+    Entries carry how many rows their windows hold; a list is cut and digested once for each (symbol, count).
+    """
     entries = d.price_window(entries_of(v), RUN_DATE).select("entry", "symbol", "window_from")
-    company = _price_digest(d.window_price_lists(entries, v.v_eod, RUN_DATE), "company", "prices")
-    return company.unionByName(_price_digest(d.window_benchmark(entries, v.v_eod, RUN_DATE), "benchmark", "benchmark_eod_recent"))
+    listed = materialize(d.listed_prices(v.v_eod, RUN_DATE), "listed-prices")
+    bench = d.with_benchmark_count(entries, listed)
+    counts = materialize(bench.select("entry", "symbol", "window_from", F.col("inside").alias("bench_inside")), "window-counts")
+    own = d.window_counts(counts, listed)
+    company = own.join(_price_digest(d.counted_lists(own, listed), "symbol", "inside"), ["symbol", "inside"])
+    shared = counts.where("bench_inside IS NOT NULL")
+    lists = shared.select(F.lit(fv.BENCHMARK_SYMBOL).alias("symbol"), F.col("bench_inside").alias("inside"))
+    digests = _price_digest(d.counted_lists(lists, listed), "inside").withColumnRenamed("inside", "bench_inside")
+    columns = ["entry", "symbol", "n", "newest", "cents", "listed"]
+    return company.select(F.lit("company").alias("side"), *columns).unionByName(
+        shared.join(digests, "bench_inside").select(F.lit("benchmark").alias("side"), *columns))
 
 
 C_NAMES = """SELECT symbol, nullif(trim(coalesce(nullif(sector, ''), sector_formatted)), '') AS sector,

@@ -10,10 +10,12 @@ from tickerloom.operators import enrich as en
 from tickerloom.operators import partitions as pt
 from tickerloom.plans import discovery_queries as dq
 from tickerloom.plans.registry import joined, query
+from tickerloom.plans.silver import SilverViews
 from tickerloom.plans.source_queries import C_PARSED
 from tickerloom.plans.views import RUN_DATE, Views
 from tickerloom.session import materialize
 from tickerloom.sources import landed as landed_rules
+from tickerloom.sources.silver import bucketed_together
 
 
 def statement_rows(v: Views) -> DataFrame:
@@ -36,7 +38,7 @@ def macro_of(v: Views) -> DataFrame:
     return en.macro_as_of(v.v_macro, RUN_DATE)
 
 
-def records_of(v: Views) -> DataFrame:
+def assembled(v: Views, **store) -> DataFrame:
     # Five branches of the assembly start from the entries.
     return en.build_records(
         materialize(dq.stored_of(v), "entries"),
@@ -50,9 +52,18 @@ def records_of(v: Views) -> DataFrame:
         fundraising=fundraising_of(v),
         macro=macro_of(v),
         run_date=RUN_DATE,
+        **store,
     )
 
 
+def records_of(v: Views) -> DataFrame:
+    """The stored record table; without one it is assembled from silver tables and written, once for a folder and session."""
+    if type(v) is not Views:
+        return assembled(v)
+    silver = SilverViews(v)
+    return silver.stored("records", lambda: materialize(assembled(silver.prepare(), store=bucketed_together), "records"))
+
+
 # --- macro bundle ----------------------------------------------------------------
 
 C_MACRO = f"""

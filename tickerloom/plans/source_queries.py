@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tickerloom.functions import scalars as sc
 from tickerloom.operators.deviation import read_forecasts
 from tickerloom.plans.registry import iso, query
-from tickerloom.plans.views import RUN_DATE
+from tickerloom.plans.silver import SilverViews
+from tickerloom.plans.views import RUN_DATE, Views
 from tickerloom.sources import artifacts, landed, scans
 
 
@@ -15,7 +16,7 @@ from tickerloom.sources import artifacts, landed, scans
 SELECT ord, symbol, CAST(date AS STRING) AS date, exchange, coalesce(shares, -1) AS shares FROM {v_calendar}
 WHERE date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'""")
 def s01(v):
-    rows = scans.calendar_between(v.v_calendar, "1997-01-01", "2000-12-31")
+    rows = scans.calendar_between(SilverViews(v).lookup("v_calendar"), "1997-01-01", "2000-12-31")
     return rows.select("ord", "symbol", iso("date"), "exchange", F.coalesce("shares", F.lit(-1)).alias("shares"))
 
 
@@ -43,7 +44,8 @@ SELECT symbol, ord, CAST(date AS STRING) AS date, form, rank FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY date DESC, ord) AS rank FROM {v_filings}
   WHERE date BETWEEN DATE '1999-02-01' AND DATE '2001-01-31') t WHERE rank > 40 AND rank <= 80""")
 def s04(v):
-    rows = scans.window_page(v.v_filings, "1999-02-01", RUN_DATE, page=1, limit=40)
+    filings = SilverViews(v).lookup("v_filings") if type(v) is Views else v.v_filings
+    rows = scans.window_page(filings, "1999-02-01", RUN_DATE, page=1, limit=40)
     return rows.select("symbol", "ord", iso("date"), "form", F.col("rank").cast("long").alias("rank"))
 
 
@@ -56,7 +58,7 @@ def s05(v):
 @query("s06_batch_lookup", """
 SELECT symbol, ord, CAST(date AS STRING) AS date, close FROM {v_eod} WHERE symbol IN ('SPY', 'S1', 'S42')""")
 def s06(v):
-    rows = scans.batch_lookup(v.v_eod, ["spy", " s1 ", "S42", "", "  "])
+    rows = scans.batch_lookup(SilverViews(v).lookup("v_eod"), ["spy", " s1 ", "S42", "", "  "])
     return rows.select("symbol", "ord", iso("date"), "close")
 
 

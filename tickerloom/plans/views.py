@@ -47,16 +47,22 @@ def _min_letter(column: str, letters: str) -> str:
     return f"CASE MIN(CASE {column} {code} END) {text} END"
 
 
-_FLAG = _min_letter("l_returnflag", "ANR")
-_STATUS = _min_letter("l_linestatus", "FO")
+_FLAG = _min_letter("returnflag", "ANR")
+_STATUS = _min_letter("linestatus", "FO")
 
 VIEWS: dict[str, str] = {}
 
+# The rows all price, filing and statement views start from, typed once.
+VIEWS["v_lines"] = """
+SELECT l_orderkey AS orderkey, l_linenumber AS line, l_suppkey AS suppkey, CAST(l_shipdate AS DATE) AS day,
+  CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qty, l_returnflag AS returnflag,
+  l_linestatus AS linestatus
+FROM {lineitem}"""
+
 VIEWS["v_order_lines"] = f"""
-SELECT l_orderkey AS ord, MIN(l_suppkey) AS suppkey, COUNT(*) AS n_lines, {_FLAG} AS flag,
-  CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
-  CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(MIN(l_shipdate) AS DATE) AS first_ship
-FROM {{lineitem}} GROUP BY l_orderkey"""
+SELECT orderkey AS ord, MIN(suppkey) AS suppkey, COUNT(*) AS n_lines, {_FLAG} AS flag,
+  CAST(SUM(cents) AS BIGINT) AS cents, CAST(SUM(qty) AS BIGINT) AS qty, MIN(day) AS first_ship
+FROM {{v_lines}} GROUP BY orderkey"""
 
 VIEWS["v_calendar"] = """
 SELECT o_orderkey AS ord,
@@ -86,16 +92,14 @@ SELECT 'S' || CAST(s_suppkey AS STRING) AS symbol, s_name AS company_name,
   repeat(s_name || ' in ' || n_name || '. ', CAST(1 + s_suppkey % 5 AS INT)) AS description
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
 
-_EOD_BASE = """
-SELECT {sym} AS symbol, CAST(l_shipdate AS DATE) AS day,
-  CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
-  CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty
-FROM {{lineitem}} GROUP BY {grp}"""
-VIEWS["v_eod_base"] = (
-    _EOD_BASE.format(sym="'S' || CAST(l_suppkey AS STRING)", grp="l_suppkey, CAST(l_shipdate AS DATE)")
-    + "\nUNION ALL"
-    + _EOD_BASE.format(sym="'SPY'", grp="CAST(l_shipdate AS DATE)")
-)
+VIEWS["v_daily"] = """
+SELECT suppkey, 'S' || CAST(suppkey AS STRING) AS symbol, day, CAST(SUM(cents) AS BIGINT) AS cents, CAST(SUM(qty) AS BIGINT) AS qty
+FROM {v_lines} GROUP BY suppkey, day"""
+
+VIEWS["v_eod_base"] = """
+SELECT symbol, day, cents, qty FROM {v_daily}
+UNION ALL
+SELECT 'SPY' AS symbol, day, CAST(SUM(cents) AS BIGINT) AS cents, CAST(SUM(qty) AS BIGINT) AS qty FROM {v_daily} GROUP BY day"""
 VIEWS["v_eod"] = f"""
 SELECT symbol, ord, qty,
   CASE WHEN ord % 97 = 11 AND symbol LIKE '%7' THEN NULL ELSE day END AS date,
@@ -153,29 +157,24 @@ SELECT list, ord, form,
   CASE WHEN ord % 4 = 2 THEN ' ' || sym ELSE NULL END AS companySymbol,
   CASE WHEN ord % 12 = 3 THEN sym ELSE NULL END AS stock,
   CASE ord % 3 WHEN 0 THEN CAST(suppkey AS STRING) WHEN 1 THEN '00' || CAST(suppkey + 1 AS STRING) ELSE NULL END AS cik
-FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'disclosures' ELSE 'prospectuses' END AS list,
-        l_orderkey * 10 + l_linenumber AS ord, {_FLAG} AS form, MIN(l_suppkey) AS suppkey,
-        'S' || CAST(MIN(l_suppkey) AS STRING) AS sym
-      FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) r"""
+FROM (SELECT CASE WHEN line % 2 = 0 THEN 'disclosures' ELSE 'prospectuses' END AS list,
+        orderkey * 10 + line AS ord, {_FLAG} AS form, MIN(suppkey) AS suppkey,
+        'S' || CAST(MIN(suppkey) AS STRING) AS sym
+      FROM {{v_lines}} GROUP BY orderkey, line) r"""
 
 VIEWS["v_financials"] = """
-SELECT 'S' || CAST(l_suppkey AS STRING) AS symbol,
-  CASE l_linenumber WHEN 1 THEN 'income_statement' WHEN 2 THEN 'balance_sheet' WHEN 3 THEN 'cash_flow'
+SELECT 'S' || CAST(suppkey AS STRING) AS symbol,
+  CASE line WHEN 1 THEN 'income_statement' WHEN 2 THEN 'balance_sheet' WHEN 3 THEN 'cash_flow'
     WHEN 4 THEN 'key_metrics' WHEN 5 THEN 'ratios' WHEN 6 THEN 'enterprise_values' ELSE 'other' END AS statement,
-  CASE WHEN l_returnflag = 'N' THEN 'quarter' ELSE 'annual' END AS period,
-  CAST(l_shipdate AS DATE) AS date,
-  CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue,
-  CAST(year(CAST(l_shipdate AS DATE)) * 10000 + month(CAST(l_shipdate AS DATE)) * 100
-    + day(CAST(l_shipdate AS DATE)) AS BIGINT) AS ord
-FROM {lineitem}
-GROUP BY l_suppkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'quarter' ELSE 'annual' END,
-  CAST(l_shipdate AS DATE)"""
+  CASE WHEN returnflag = 'N' THEN 'quarter' ELSE 'annual' END AS period, day AS date, CAST(SUM(cents) AS BIGINT) AS revenue,
+  CAST(year(day) * 10000 + month(day) * 100 + day(day) AS BIGINT) AS ord
+FROM {v_lines} GROUP BY suppkey, line, CASE WHEN returnflag = 'N' THEN 'quarter' ELSE 'annual' END, day"""
 
 VIEWS["v_filings"] = f"""
-SELECT 'S' || CAST(l_suppkey AS STRING) AS symbol, CAST(o_orderdate AS DATE) AS date, l_orderkey AS ord,
+SELECT 'S' || CAST(suppkey AS STRING) AS symbol, CAST(o_orderdate AS DATE) AS date, orderkey AS ord,
   {_FLAG} || '-' || {_STATUS} AS form, COUNT(*) AS n_lines
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
-GROUP BY l_suppkey, CAST(o_orderdate AS DATE), l_orderkey"""
+FROM {{v_lines}} JOIN {{orders}} ON orderkey = o_orderkey
+GROUP BY suppkey, CAST(o_orderdate AS DATE), orderkey"""
 
 VIEWS["v_peers"] = f"""
 SELECT 'S' || CAST({_div('p_partkey', '20')} AS STRING) AS symbol, 'P' || CAST(p_partkey AS STRING) AS peer,
@@ -184,19 +183,15 @@ FROM {{part}}"""
 
 VIEWS["v_series"] = """
 SELECT level, name, date, item, ord, CAST(cents AS DOUBLE) AS value FROM (
-  SELECT 'sector' AS level, r_name AS name, CAST(l_shipdate AS DATE) AS date, r_regionkey AS item,
-    CAST(year(CAST(l_shipdate AS DATE)) * 10000 + month(CAST(l_shipdate AS DATE)) * 100
-      + day(CAST(l_shipdate AS DATE)) AS BIGINT) AS ord,
-    CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
-  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
-    JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey, CAST(l_shipdate AS DATE)
+  SELECT 'sector' AS level, r_name AS name, day AS date, r_regionkey AS item,
+    CAST(year(day) * 10000 + month(day) * 100 + day(day) AS BIGINT) AS ord, CAST(SUM(cents) AS BIGINT) AS cents
+  FROM {v_daily} JOIN {supplier} ON suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
+    JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey, day
   UNION ALL
-  SELECT 'industry' AS level, n_name AS name, CAST(l_shipdate AS DATE) AS date, n_nationkey AS item,
-    CAST(year(CAST(l_shipdate AS DATE)) * 10000 + month(CAST(l_shipdate AS DATE)) * 100
-      + day(CAST(l_shipdate AS DATE)) AS BIGINT) AS ord,
-    CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
-  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
-  GROUP BY n_name, n_nationkey, CAST(l_shipdate AS DATE)) s"""
+  SELECT 'industry' AS level, n_name AS name, day AS date, n_nationkey AS item,
+    CAST(year(day) * 10000 + month(day) * 100 + day(day) AS BIGINT) AS ord, CAST(SUM(cents) AS BIGINT) AS cents
+  FROM {v_daily} JOIN {supplier} ON suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
+  GROUP BY n_name, n_nationkey, day) s"""
 
 _DAY_CODE = "CAST(year(day) * 10000 + month(day) * 100 + day(day) AS BIGINT)"
 VIEWS["v_macro"] = f"""

@@ -26,9 +26,17 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
 
 
+def _between(rows: DataFrame, lo: Column, hi: Column) -> Column:
+    """Rows of an inclusive date range; tables partitioned by ``month`` read the range's months only."""
+    inside = F.col("date").between(lo, hi)
+    if "month" not in rows.columns:
+        return inside
+    return inside & F.col("month").between(*(F.year(d) * 100 + F.month(d) for d in (lo, hi)))
+
+
 def calendar_between(calendar: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """Calendar rows of an inclusive date range."""
-    return calendar.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return calendar.where(_between(calendar, F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def for_symbols(rows: DataFrame, requested: DataFrame, *, order: Sequence[Column] = (), limit: int | None = None
@@ -55,7 +63,7 @@ def period_table(rows: DataFrame, period: str, limit: int, keys: Sequence[str] =
 def window_page(rows: DataFrame, start: date | str | Column, end: date | str, *, page: int = 0, limit: int = 40) -> DataFrame:
     """One page of each symbol's rows in an inclusive date range, newest first."""
     lo = start if isinstance(start, Column) else F.lit(start)
-    inside = rows.where(F.col("date").between(lo.cast("date"), F.lit(end).cast("date")))
+    inside = rows.where(_between(rows, lo.cast("date"), F.lit(end).cast("date")))
     upto = first_per_group(inside, ["symbol"], [F.col("date").desc(), F.col("ord")], (page + 1) * limit)
     return upto.where(F.col("rank") > page * limit)
 
