@@ -83,44 +83,44 @@ MIN_REFERENCE_ENTRIES = 6
 
 # --- fixed values: themed partitions (name, title, chapters, source keys) ---
 PARTITION_PLAN = [
-    ("ipo.json", "IPO calendar + regulatory matches",
+    ("ipo.json", "Listing terms and matched regulatory filings",
      "二、IPO Snapshot · 八、Synthesis",
      ["ipo_data", "ipo_regulatory_context", "resolved_cik"]),
-    ("profile.json", "Company profile + notes",
+    ("profile.json", "Who the company is",
      "三、Fundamentals · 五、Ownership & Management",
      ["company_profile", "company_notes"]),
-    ("financials.json", "Financial statements + key metrics + ratios",
+    ("financials.json", "Statements, metrics and ratios",
      "四、Financial Health · 八、Synthesis",
      ["financials", "fundamental_extras"]),
-    ("ownership.json", "Executives, float, insider trading",
+    ("ownership.json", "Managers, free float and insiders' trades",
      "五、Ownership & Management",
      ["ownership_governance"]),
-    ("sell_side.json", "Analyst estimates, price targets, ratings",
+    ("sell_side.json", "What analysts expect",
      "三、Fundamentals · 六、Bull Case · 八、Synthesis",
      ["sell_side"]),
-    ("peers.json", "Comparable companies",
-     "三、Fundamentals · 八、Synthesis (valuation)",
+    ("peers.json", "Peers",
+     "三、Fundamentals · 八、Synthesis · value",
      ["comparables"]),
-    ("news.json", "Stock news + press releases",
+    ("news.json", "News and the company's own releases",
      "六、Bull Case · 七、Bear Case",
      ["news_context"]),
-    ("filings.json", "Recent SEC filings",
-     "二、IPO Snapshot · 七、Bear Case (governance)",
+    ("filings.json", "Filings of the last two years",
+     "二、IPO Snapshot · 七、Bear Case · control",
      ["sec_filings_recent"]),
-    ("market.json", "Recent EOD price action vs benchmark",
-     "八、Synthesis (first-day scenarios)",
+    ("market.json", "Daily prices beside the benchmark",
+     "八、Synthesis · first day",
      ["market_context"]),
-    ("sector.json", "Sector + industry historical performance",
+    ("sector.json", "How sector and industry did",
      "三、Fundamentals · 八、Synthesis",
      ["sector_industry_context"]),
-    ("macro.json", "Global macro + market cross-section snapshot",
-     "三、Fundamentals (industry beta) · 八、Synthesis",
+    ("macro.json", "Economy and markets on the day",
+     "三、Fundamentals · cycle · 八、Synthesis",
      ["global_market_context"]),
-    ("fundraising.json", "Pre-IPO fundraising history",
-     "四、Financial Health (burn / runway)",
+    ("fundraising.json", "Money raised before the listing",
+     "四、Financial Health · cash",
      ["fundraising"]),
-    ("fetch_errors.json", "Upstream FMP errors (which prefetch failed)",
-     "Use to know where Web research MUST fill the gap",
+    ("fetch_errors.json", "Requests that gave no data",
+     "Gaps to close from other sources",
      ["fetch_errors"]),
 ]
 
@@ -203,6 +203,7 @@ SHARED_BUNDLE_PREFIX = "raw_data/_shared/"
 SHARED_BUNDLE_NAME = "fmp_prefetch_bundle.json"
 DEVIATION_HISTORY_KEY = "state/evolution/deviation_history.json"
 PROMPT_VERSIONS_PREFIX = "state/evolution/prompt_versions/"
+PROMPT_VERSION_SUFFIX = ".md"
 
 # --- fixed values: publishing -------------------------------------------------
 PUBLISH_LIMIT = 50

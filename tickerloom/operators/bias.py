@@ -136,11 +136,14 @@ def miss_streaks(history: DataFrame, min_length: int = fv.STREAK_LENGTH) -> Data
     """Runs of at least ``min_length`` consecutive misses per symbol.
 
     Misses between the same two hits share the running number of hits, so the
-    run is a plain group-by once that number is known.
+    run is a plain group-by once that number is known.  Rows of one day stand
+    in the order in which they were appended (evaluation date, where the history
+    has it); what still ties stands misses first, then by deviation.
     """
-    samples = history.where("within_threshold is not null").select("symbol", "date", "within_threshold", "deviation")
+    appended = [c for c in ("evaluation_date",) if c in history.columns]
+    samples = history.where("within_threshold is not null").select("symbol", "date", *appended, "within_threshold", "deviation")
     numbered = running_total(
-        samples, ["symbol"], ["date"], F.col("within_threshold").cast("long"), F.trunc("date", "quarter"), "hits_before"
+        samples, ["symbol"], ["date", *appended, "within_threshold", "deviation"], F.col("within_threshold").cast("long"), F.trunc("date", "quarter"), "hits_before"
     )
     return (
         numbered.where("not within_threshold")

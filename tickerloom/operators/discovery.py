@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickerloom import fixed_values as fv
 from tickerloom.functions.collections import with_once
@@ -21,7 +22,7 @@ from tickerloom.functions.scalars import (
     strip,
 )
 from tickerloom.sources.artifacts import parse_report_keys
-from tickerloom.sources.scans import first_per_group, window_page
+from tickerloom.sources.scans import first_per_group, latest_rows, window_page
 
 
 def _day(d: date | str) -> Column:
@@ -64,8 +65,7 @@ def stored_entries(entries: DataFrame) -> DataFrame:
     symbol), so a later entry's record replaces an earlier one's.  Only what
     is built to be stored may start from here.
     """
-    body = [c for c in entries.columns if c != "symbol"]
-    return entries.groupBy("symbol").agg(F.max_by(F.struct(*body), "ord").alias("e")).select("symbol", "e.*")
+    return latest_rows(entries, ["symbol"], "ord").select("symbol", *[c for c in entries.columns if c != "symbol"])
 
 
 def resolve_cik(entries: DataFrame, profile: DataFrame) -> DataFrame:
@@ -270,13 +270,37 @@ def discovery_summary(entries: DataFrame, run_date: date | str) -> DataFrame:
     ).withColumn("discovery_date", _day(run_date))
 
 
+#: Entries in a page of the discovery document, about.
+PAGE_ENTRIES = 1000
+
+
+def discovery_pages(entries: DataFrame, run_date: date | str) -> DataFrame:
+    """The discovery document in pages: page, pages, count, symbols[] and entries[], about ``PAGE_ENTRIES`` entries each.
+
+    Entries are dealt to pages by hash, so that no page grows with the run or with one symbol; a page's symbols are its own.
+    """
+    total = entries.agg(F.ceil(F.count("*") / PAGE_ENTRIES).cast("int").alias("n")).scalar()
+    pages = F.greatest(total, F.lit(1))
+    dealt = entries.withColumn("_page", F.pmod(F.xxhash64(*entries.columns), pages).cast("int"))
+    body = F.struct(*entries.columns)
+    return dealt.groupBy(F.col("_page").alias("page")).agg(
+        F.count("*").alias("count"), F.sort_array(F.collect_set("symbol")).alias("symbols"), F.sort_array(F.collect_list(body)).alias("entries")
+    ).withColumn("pages", pages).withColumn("discovery_date", _day(run_date))
+
+
 def write_discovery(entries: DataFrame, path: str, run_date: date | str) -> None:
-    """Entries as JSON lines, one file set per run date; null fields are kept."""
+    """The discovery document as JSON lines, a page each, in one folder per run date; null fields are kept."""
     (
-        entries.withColumn("discovery_date", _day(run_date))
+        discovery_pages(entries, run_date)
         .write.mode("overwrite")
         .option("ignoreNullFields", "false")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("discovery_date")
         .json(path)
     )
+
+
+def read_discovery(spark: SparkSession, path: str, entry: StructType) -> DataFrame:
+    """The stored pages; ``entry`` is the schema of an entry."""
+    page = f"page int, pages int, count long, symbols array<string>, entries array<{entry.simpleString()}>, discovery_date date"
+    return spark.read.schema(page).json(path)

@@ -21,7 +21,7 @@ from tickerloom.functions.collections import array_populated_sql, head, tail, va
 from tickerloom.operators import discovery as d
 from tickerloom.sources import landed as landed_rules
 from tickerloom.sources.catalog import BY_NAME, names_with_shape
-from tickerloom.sources.scans import first_per_group
+from tickerloom.sources.scans import first_per_group, latest_rows
 
 # field of the record -> dataset whose latest landed payload fills it
 PAYLOAD_FIELDS = {
@@ -196,11 +196,7 @@ def fold_fields(rows: DataFrame, fields: Sequence[str] = tuple(ROW_FIELDS)) -> D
 
 def latest_payloads(landed: DataFrame) -> DataFrame:
     """Latest landed payload of each (symbol, dataset)."""
-    return (
-        landed.groupBy("symbol", "dataset")
-        .agg(F.max_by(F.struct("http_status", "payload"), "event_id").alias("p"))
-        .select("symbol", "dataset", "p.http_status", "p.payload")
-    )
+    return latest_rows(landed, ["symbol", "dataset"], "event_id").select("symbol", "dataset", "http_status", "payload")
 
 
 def normalized_payloads(latest: DataFrame) -> DataFrame:

@@ -88,6 +88,31 @@ def shared_bundle_key(day: Column) -> Column:
     return F.concat(F.lit(fv.SHARED_BUNDLE_PREFIX), day, F.lit("/" + fv.SHARED_BUNDLE_NAME))
 
 
+def history_key() -> Column:
+    """The one key of the deviation history; it has no date or symbol."""
+    return F.lit(fv.DEVIATION_HISTORY_KEY)
+
+
+def prompt_version_key(prompt: Column, version: Column) -> Column:
+    """Archive key of a prompt's replaced version: the prompt and the time at which it was replaced (UTC)."""
+    stamp = F.date_format(version, "yyyyMMdd'T'HHmmss")
+    return F.concat(F.lit(fv.PROMPT_VERSIONS_PREFIX), F.regexp_replace(prompt, "[^A-Za-z0-9._-]", "_"), F.lit("_"), stamp, F.lit(fv.PROMPT_VERSION_SUFFIX))
+
+
+def parse_free_key(keys: DataFrame) -> DataFrame:
+    """family, date, prompt and version of the keys that stand for no company: shared bundle, deviation history, prompt versions."""
+    bundle = rf"^{fv.SHARED_BUNDLE_PREFIX}(\d{{4}}-\d{{2}}-\d{{2}})/{fv.SHARED_BUNDLE_NAME}$".replace(".json", r"\.json")
+    version = rf"^{fv.PROMPT_VERSIONS_PREFIX}([^/]+)_(\d{{8}}T\d{{6}})\{fv.PROMPT_VERSION_SUFFIX}$"
+    family = F.when(F.col("key").rlike(bundle), "shared_bundle").when(F.col("key") == fv.DEVIATION_HISTORY_KEY, "deviation_history").when(
+        F.col("key").rlike(version), "prompt_version")
+    is_version = family == "prompt_version"
+    return keys.withColumns({
+        "family": family, "date": F.when(family == "shared_bundle", F.regexp_extract("key", bundle, 1)),
+        "prompt": F.when(is_version, F.regexp_extract("key", version, 1)),
+        "version": F.when(is_version, F.to_timestamp(F.regexp_extract("key", version, 2), "yyyyMMdd'T'HHmmss")),
+    })
+
+
 def parse_storage_key(keys: DataFrame) -> DataFrame:
     """Inverse of ``storage_key``: family, date and symbol of every known key."""
     family = F.lit(None).cast("string")

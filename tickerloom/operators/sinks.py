@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickerloom.session import materialize
+from tickerloom.sources.scans import latest_rows
 
 KEYS = ("date", "symbol")
 
 
 def latest_per_key(rows: DataFrame, order: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """The last write of each key wins within one batch."""
-    body = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col(order)).alias("_row")).select(*keys, "_row.*")
+    return latest_rows(rows, keys, order).select(*keys, *[c for c in rows.columns if c not in keys])
 
 
 def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -10,7 +10,7 @@ from tickerloom.operators import discovery as d
 from tickerloom.plans.registry import iso, query
 from tickerloom.plans.source_queries import _CIK, C_EXPECTED
 from tickerloom.plans.views import RUN_DATE, Views
-from tickerloom.session import materialize
+from tickerloom.session import materialize, scratch_dir
 
 LOOKBACK = 2500
 
@@ -213,3 +213,22 @@ SELECT '{RUN_DATE}' AS discovery_date, COUNT(*) AS count, COUNT(DISTINCT symbol)
 def a08(v):
     out = d.discovery_summary(d.discover(v.v_calendar, RUN_DATE, LOOKBACK), RUN_DATE)
     return out.select(iso("discovery_date"), "count", "symbols", iso("first_date"), iso("last_date"))
+
+
+@query("a08_discovery_document", f"""
+SELECT '{RUN_DATE}' AS discovery_date, 'entry' AS kind, symbol, ord, coalesce(CAST(date AS STRING), '') AS date, coalesce(company, '') AS company, 1 AS n FROM {{c_found}}
+UNION ALL SELECT '{RUN_DATE}', 'symbol', symbol, -1, '', '', COUNT(*) FROM {{c_found}} GROUP BY symbol""", c_found=C_FOUND)
+def a08_document(v):
+    """Written in pages, read back and taken apart again; each page lists exactly the symbols of its entries."""
+    entries = d.discover(v.v_calendar, RUN_DATE, LOOKBACK).select("symbol", "ord", "date", "company", "exchange", "price_range")
+    path = scratch_dir(v.spark, "discovery")
+    d.write_discovery(entries, path, RUN_DATE)
+    pages = d.read_discovery(v.spark, path, entries.schema)
+    rows = pages.select("discovery_date", "symbols", F.inline("entries"))
+    rows = rows.where(F.array_contains("symbols", F.col("symbol")))
+    own = rows.select(
+        iso("discovery_date"), F.lit("entry").alias("kind"), "symbol", "ord", F.coalesce(F.col("date").cast("string"), F.lit("")).alias("date"),
+        F.coalesce("company", F.lit("")).alias("company"), F.lit(1).cast("long").alias("n"))
+    counts = rows.groupBy("discovery_date", "symbol").agg(F.count("*").alias("n"))
+    return own.unionByName(counts.select(
+        iso("discovery_date"), F.lit("symbol").alias("kind"), "symbol", F.lit(-1).cast("long").alias("ord"), F.lit("").alias("date"), F.lit("").alias("company"), "n"))

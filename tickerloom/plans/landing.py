@@ -26,8 +26,10 @@ MACRO = {
     "treasury_rates": "treasury-rates", "economic_calendar": "economic-calendar", "economic_indicators": "economic-indicators",
     "sector_performance_snapshot": "sector-performance-snapshot", "industry_performance_snapshot": "industry-performance-snapshot",
     "sector_pe_snapshot": "sector-pe-snapshot", "industry_pe_snapshot": "industry-pe-snapshot", "etf_sector_weightings_spy": "etf/sector-weightings",
+    "major_index_batch_quotes": "batch-quote", "market_risk_premium": "market-risk-premium",
 }
-_SNAPSHOTS = [d for p, d in MACRO.items() if p != "economic_indicators"]
+_NAMED = ("economic_indicators", "major_index_batch_quotes")
+_SNAPSHOTS = [d for p, d in MACRO.items() if p not in (*_NAMED, "market_risk_premium")]
 
 
 def _named(column: str, names: dict[str, str]) -> Column:
@@ -78,7 +80,7 @@ def landed_filings(v: Views) -> DataFrame:
 def landed_macro(v: Views) -> DataFrame:
     return _payloads(
         v.v_macro.withColumn("symbol", F.lit(None).cast("string")), _named("part", MACRO), F.struct(_year().alias("year"), "name"),
-        {"id": F.col("ord"), "date": _day(), "value": F.col("value"), "name": F.col("name")})
+        {"id": F.col("ord"), "date": _day(), "value": F.col("value"), "name": F.col("name"), "symbol": F.lit(None).cast("string")})
 
 
 def typed_prices(v: Views) -> Typed:
@@ -110,8 +112,10 @@ def _filings(v: Views) -> DataFrame:
 
 def _macro(v: Views) -> DataFrame:
     landed = materialize(landed_macro(v), "landed-macro")
-    snapshots = typed_rows(landed, *_SNAPSHOTS, keep=("dataset",)).rows.withColumn("name", F.lit(None).cast("string"))
-    rows = snapshots.unionByName(typed_rows(landed, "economic-indicators", keep=("dataset",)).rows)
+    rows = typed_rows(landed, *_SNAPSHOTS, keep=("dataset",)).rows.unionByName(typed_rows(landed, "market-risk-premium", keep=("dataset",)).rows)
+    rows = rows.withColumn("name", F.lit(None).cast("string"))
+    for part in _NAMED:
+        rows = rows.unionByName(typed_rows(landed, MACRO[part], keep=("dataset",)).rows)
     return rows.withColumn("part", _named("dataset", {d: n for n, d in MACRO.items()})).drop("pos", "dataset", "leftover")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
+from tickerloom.functions.collections import strict_json
 from tickerloom.operators import publish as p
 from tickerloom.operators import sinks
 from tickerloom.plans.registry import iso, query
@@ -59,7 +60,7 @@ SELECT CASE WHEN GROUPING(rating) = 0 THEN 'rating' WHEN GROUPING(sector) = 0 TH
   coalesce(rating, sector, market, '(none)') AS value, COUNT(*) AS reports
 FROM {c_rated} GROUP BY GROUPING SETS ((rating), (sector), (market))""", c_rated=C_RATED)
 def p04(v):
-    body = F.when(F.json_array_length(F.concat(F.lit("["), F.col("metrics_json"), F.lit("]"))) == 1, F.col("metrics_json"))
+    body = F.when(strict_json(F.col("metrics_json")), F.col("metrics_json"))
     rated = v.v_metrics.select(*[
         F.get_json_object(body, f"$.{k}").alias(n)
         for n, k in (("rating", "subscription_recommendation"), ("sector", "sector"), ("market", "market"))])
@@ -120,6 +121,25 @@ def k02(v):
     return p.parse_storage_key(keys).select("ord", "family", "key", "date", "symbol")
 
 
+@query("k02_free_keys", f"""
+SELECT ord, 'shared_bundle' AS family, '{fv.SHARED_BUNDLE_PREFIX}' || CAST(date AS STRING) || '/{fv.SHARED_BUNDLE_NAME}' AS key, CAST(date AS STRING) AS date,
+  '' AS prompt, '' AS version FROM {{c_named}}
+UNION ALL SELECT ord, 'deviation_history', '{fv.DEVIATION_HISTORY_KEY}', '', '', '' FROM {{c_named}}
+UNION ALL SELECT ord, 'prompt_version', '{fv.PROMPT_VERSIONS_PREFIX}' || regexp_replace(company, '[^A-Za-z0-9._-]', '_', 'g') || '_' || strftime(date, '%Y%m%d')
+  || 'T000000{fv.PROMPT_VERSION_SUFFIX}', '', regexp_replace(company, '[^A-Za-z0-9._-]', '_', 'g'), CAST(date AS STRING) || ' 00:00:00' FROM {{c_named}}
+UNION ALL SELECT ord, '', 'state/evolution/prompt_versions/' || symbol, '', '', '' FROM {{c_named}}""",
+       c_named="SELECT * FROM {v_calendar} WHERE company IS NOT NULL AND date IS NOT NULL AND symbol <> ''")
+def k02_free(v):
+    named = v.v_calendar.where("company is not null and date is not null and symbol <> ''")
+    key = F.explode(F.array(
+        p.shared_bundle_key(F.col("date").cast("string")), p.history_key(), p.prompt_version_key(F.col("company"), F.col("date").cast("timestamp")),
+        F.concat(F.lit(fv.PROMPT_VERSIONS_PREFIX), "symbol")))
+    rows = p.parse_free_key(named.select("ord", key.alias("key")))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("ord", blank(F.col("family")).alias("family"), "key", blank(F.col("date")).alias("date"), blank(F.col("prompt")).alias("prompt"),
+                       blank(F.date_format("version", "yyyy-MM-dd HH:mm:ss")).alias("version"))
+
+
 @query("k03_json_sink", """
 SELECT to_json(struct_pack(ord := ord, symbol := symbol, day := CAST(date AS STRING), label := '研报 ' || company, cik := cik,
   shares := shares)) AS json FROM {v_calendar}""")

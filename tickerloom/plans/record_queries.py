@@ -50,7 +50,7 @@ def assembled(v: Views, **store) -> DataFrame:
         regulatory=v.v_regulatory,
         landed=v.v_landed,
         fundraising=fundraising_of(v),
-        macro=macro_of(v),
+        macro=materialize(macro_of(v), "macro") if store else macro_of(v),
         run_date=RUN_DATE,
         **store,
     )
@@ -108,7 +108,7 @@ UNION ALL SELECT 'economic_indicators_trimmed', name, COUNT(*), SUM(value) FROM
 def a02_bundle(v):
     bundle = en.macro_bundle(macro_of(v), RUN_DATE)
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x["value"])
-    lists = [c for c in bundle.columns if c not in ("prefetch_as_of", "market_risk_premium", "economic_indicators_trimmed")]
+    lists = [c for c in bundle.columns if c not in ("prefetch_as_of", "economic_indicators_trimmed")]
     flat = bundle.select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.lit("").alias("name"), F.col(c).alias("p"))
                                             for c in lists])))
     named = bundle.select(F.explode("economic_indicators_trimmed").alias("name", "p")).select(

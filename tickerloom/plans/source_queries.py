@@ -9,6 +9,7 @@ from tickerloom.operators.deviation import read_forecasts
 from tickerloom.plans.registry import iso, query
 from tickerloom.plans.silver import SilverViews
 from tickerloom.plans.views import RUN_DATE, Views
+from tickerloom.session import scratch_dir
 from tickerloom.sources import artifacts, landed, scans
 
 
@@ -88,6 +89,34 @@ def s09(v):
         "doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
 
 
+_DAYS = """SELECT CAST(run_date AS STRING) AS date, symbol, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body FROM {v_files}
+WHERE text IS NOT NULL GROUP BY run_date, symbol"""
+
+
+def stored_files(v: Views) -> str:
+    """The documents written as files below the scratch folder."""
+    root = scratch_dir(v.spark, "documents")
+    artifacts.write_documents(v.v_files.where("text IS NOT NULL"), root)
+    return root
+
+
+@query("s08_listed_files", """
+SELECT date, symbol, CAST(octet_length(encode(body)) AS BIGINT) AS length FROM {c_days} WHERE date LIKE '2024-01-1%'""", c_days=_DAYS)
+def s08_files(v):
+    """Files of ten days, listed by prefix without reading one."""
+    listed = artifacts.list_artifacts(v.spark, stored_files(v), "run_date=2024-01-1")
+    part = lambda name: F.regexp_extract("key", f"{name}=([^/]+)/", 1).alias(name)
+    return listed.where("key LIKE '%.txt'").select(part("run_date").alias("date"), part("symbol"), "length")
+
+
+@query("s09_read_files", "SELECT date, symbol, length(body) AS n_chars, md5(body) AS digest FROM {c_days}", c_days=_DAYS)
+def s09_files(v):
+    """Every file read back whole."""
+    read = artifacts.read_documents(v.spark, stored_files(v)).where("key LIKE '%.txt'")
+    part = lambda name: F.regexp_extract("key", f"{name}=([^/]+)/", 1)
+    return read.select(part("run_date").alias("date"), part("symbol").alias("symbol"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 C_FORECASTS = """
 SELECT r.symbol, r.metrics_date,
   CASE WHEN metrics_json IS NULL THEN 'missing_metrics' WHEN NOT json_valid(metrics_json) THEN 'invalid_metrics'

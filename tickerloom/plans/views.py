@@ -118,7 +118,7 @@ _PX = f"({_div('cents', 'qty')} * (85 + ord % 31))"
 VIEWS["v_metrics"] = f"""
 SELECT symbol, metrics_date AS date, ord,
   CASE ord % 41 WHEN 0 THEN NULL WHEN 1 THEN '{{{{bad' WHEN 2 THEN '{{{{"symbol": "' || symbol || '"}}}} trailing'
-    WHEN 3 THEN '[]' WHEN 5 THEN '{{{{"symbol": "' || symbol || '"}}}}] trailing' WHEN 6 THEN chr(10) || '{{{{"symbol": "x"}}}}' || chr(10)
+    WHEN 3 THEN '[]' WHEN 5 THEN '{{{{"symbol": "' || symbol || '", "sector": "Planted", "market": "US"}}}}] trailing' WHEN 6 THEN chr(10) || '{{{{"symbol": "x"}}}}' || chr(10)
     ELSE '{{{{"symbol": "' || symbol || '", "analysis_date": "' || CAST(metrics_date AS STRING) || '", "market": "'
       || CASE ord % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'HK' ELSE 'OTHER' END
       || '", "company_display_name": "Company ' || symbol || '", "confidence": 0.' || CAST(10 + ord % 90 AS STRING)
@@ -212,7 +212,13 @@ UNION ALL
 SELECT level || '_pe_snapshot', CAST(NULL AS STRING), ord * 100 + item, date, value FROM {{v_series}}
 UNION ALL
 SELECT 'etf_sector_weightings_spy', CAST(NULL AS STRING), CAST(r_regionkey AS BIGINT), CAST(NULL AS DATE),
-  CAST(r_regionkey AS DOUBLE) FROM {{region}}"""
+  CAST(r_regionkey AS DOUBLE) FROM {{region}}
+UNION ALL
+SELECT 'major_index_batch_quotes', CAST(NULL AS STRING), CAST(n_nationkey AS BIGINT), CAST(NULL AS DATE), CAST(n_nationkey * 7 AS DOUBLE)
+FROM {{nation}} WHERE n_nationkey % 8 = 1
+UNION ALL
+SELECT 'market_risk_premium', CAST(NULL AS STRING), CAST(n_nationkey AS BIGINT), CAST(NULL AS DATE), CAST(n_nationkey AS DOUBLE) / CAST(4 AS DOUBLE)
+FROM {{nation}}"""
 
 _K = "replace(replace(props, '{{\"k\": ', ''), '}}', '')"
 VIEWS["v_landed"] = f"""

@@ -26,6 +26,22 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
 
 
+def latest_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The row with the largest ``order`` of each key, wide columns and all.
+
+    Keys and order are aggregated alone, in hash tables; the wide rows are then
+    filtered by a semi join, which needs no exchange of them while the newest
+    keys fit a broadcast (checked by size at run time).  Of rows that tie, the one
+    with the smallest hash stays; rows without ``order`` only where a key has no other.
+    """
+    newest = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(order).alias("_newest"))
+    same = F.col(order).eqNullSafe(F.col("_newest"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    picked = df.join(newest, same, "left_semi").withColumn("_tie", F.xxhash64(*df.columns))
+    return first_per_group(picked, keys, [F.col("_tie")], 1, "_rank").drop("_tie", "_rank")
+
+
 def _between(rows: DataFrame, lo: Column, hi: Column) -> Column:
     """Rows of an inclusive date range; tables partitioned by ``month`` read the range's months only."""
     inside = F.col("date").between(lo, hi)

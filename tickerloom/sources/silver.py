@@ -1,7 +1,7 @@
 """Silver tables: shared inputs written once, in the layout their readers need.
 
 A table read by company is bucketed by its key, so that grouping, windows and joins on the key need no exchange and a lookup of some
-companies reads their buckets only.  A table read by day is partitioned by month, so that a date range reads its months only
+companies is a filter on a stored column, which reaches the scan.  A table read by day is partitioned by month, so that a date range reads its months only
 (``scans.calendar_between`` and ``scans.window_page`` add the filter on ``month`` where a table has that column).
 """
 
