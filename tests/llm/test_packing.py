@@ -89,3 +89,28 @@ def test_local_search_never_opens_bins(sizes):
     number, offset, full = packing.pack_shard(sizes, 30)
     assert len(set(number.tolist())) <= len(set(before.tolist()))
     assert max(np.bincount(number, sizes)) <= 30
+
+
+def test_chunks_that_only_share_a_hash():
+    """Words of 2048 letters along the two Thue-Morse sequences have equal polynomial hashes modulo 2**64 for any odd base."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tickerloom.llm.common import range_hashes
+    from tickerloom.llm.packing import Encoder, same_bytes
+
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    h = range_hashes(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert h[0] == h[1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for texts in ([a, b], [f"x {a} y", f"x {b} y", a], [f"{a} {b}"]):
+        encoder = Encoder(path)
+        for text in texts:
+            assert next(encoder.encode(pa.array([text]))).tolist() == encoder.whole(text).tolist()
+        assert [x.tolist() for x in Encoder(path).encode(pa.array(texts))] == [encoder.whole(t).tolist() for t in texts]
+    one = np.frombuffer(b"abcabdab", np.uint8)
+    same = same_bytes(one, np.array([0, 0, 6, 0, 2]), np.array([3, 2, 2, 0, 0]), one, np.array([3, 3, 3, 5, 0]), np.array([3, 2, 2, 0, 1]), 4)
+    assert same.tolist() == [False, True, True, True, False]

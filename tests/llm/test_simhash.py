@@ -76,3 +76,32 @@ def test_empty_and_null(spark):
 def test_repeated_rows_are_kept_once(spark):
     docs = documents(spark, [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "quite other words stand here")])
     assert rows_of(simhash.one_of_each(docs), "doc_id") == [(1,), (3,)]
+
+
+def test_one_of_each_equals_brute_force_on_repeated_ids(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = [None, "", "a b c d", "quite other words here", "a b c d", "one two three four five six", "one two three four five six", "zz yy xx ww"]
+    for seed in range(4):
+        rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(texts)) for _ in range(3 + 6 * seed)]
+        marks = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+        group = list(range(len(rows)))
+        for _ in rows:
+            for i in range(len(rows)):
+                for j in range(len(rows)):
+                    if (marks[i] ^ marks[j]).bit_count() <= simhash.RADIUS:
+                        group[i] = group[j] = min(group[i], group[j])
+        want = []
+        for g in set(group):
+            members = [k for k in range(len(rows)) if group[k] == g]
+            ids = [rows[k][0] for k in members if rows[k][0] is not None]
+            least = min(ids) if ids else None
+            signed = lambda m: m - (1 << 64) if m >> 63 else m
+            first = min(signed(marks[k]) for k in members if rows[k][0] == least)
+            want.append((least, marks[[k for k in members if rows[k][0] == least and signed(marks[k]) == first][0]]))
+        frame = documents(spark, rows).selectExpr("*", "'k' AS _row", "'k' AS _row_id", "1 AS _keeper")
+        kept = simhash.one_of_each(frame)
+        assert kept.columns == frame.columns
+        assert sorted(((r.doc_id, simhash.fingerprint((r.text or "").encode())) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert simhash.one_of_each(documents(spark, [])).count() == 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import LOWER, WORD_BYTE, text_blocks, word_hashes
+from tickerloom.llm.common import LOWER, WORD_BYTE, free_name, text_blocks, word_hashes
 
 #: Latent dimensions kept, and random vectors of the sketch.
 RANK = 48
@@ -322,6 +322,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_O
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns unchanged, that hold no benchmark item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.expr("doc_id <=> _leak"), "left_anti")
+    """The documents, all columns unchanged, that hold no benchmark item.
+
+    Null and empty texts hold none; all rows of an id go with the one that holds an item, null ids together; an empty table, or one
+    without benchmark items, stays as it is; columns of any name may be there.
+    """
+    name = free_name(docs, "_leak")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -45,6 +45,13 @@ UNWANTED = {
 }
 #: Parts of names that keep an element in spite of an unwanted part.
 WANTED = {"article", "content", "main", "story", "entry", "post", "body", "text"}
+#: Name parts that say nothing; inside a marked article a name counts as unwanted only if all its other parts are.
+NEUTRAL = {
+    "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "container", "form", "group", "icon", "icons", "inline", "inner",
+    "item", "items", "label", "left", "link", "links", "list", "module", "outer", "panel", "row", "right", "section", "slot", "thread", "top", "unit",
+    "wrap", "wrapper",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "h2", "h3", "h4"}
 LEAST_CHARS = 25
 
@@ -61,12 +68,11 @@ def _left_out(tag: str, rest: str, parent: Node) -> bool:
     """Whether an element is none of the article by its name, role, visibility, class or id."""
     if tag in NEVER:
         return True
-    if tag == "header":
-        node = parent
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        if node is None:
-            return True
+    inside = parent
+    while inside is not None and inside.tag not in ("article", "main"):
+        inside = inside.parent
+    if tag == "header" and inside is None:
+        return True
     if not rest or tag in ("html", "body", "article", "main"):
         return False
     names: list[str] = []
@@ -80,6 +86,8 @@ def _left_out(tag: str, rest: str, parent: Node) -> bool:
             names += value.split()
     for name in names:
         parts = [p.lower() for p in _PARTS.findall(name)]
+        if inside is not None and any(p not in UNWANTED and p not in NEUTRAL and not p.isdigit() for p in parts):
+            continue
         if UNWANTED.intersection(parts) and not (WANTED.intersection(parts) and not {"comment", "comments", "ad", "ads", "related"}.intersection(parts)):
             return True
     return False
@@ -208,20 +216,26 @@ def containers(root: Node) -> list[Node]:
         best = whole
     if best.parent is None:
         return [best]
-    bar = max(5.0, 0.2 * best.score * (1 - _density(best)))
-    kept, nodes = [], [c for c in best.parent.children if isinstance(c, Node) and not c.out]
-    ahead = True
-    for c in nodes:
-        if c is best:
-            ahead = False
-            kept.append(c)
-        elif c.score * (1 - _density(c)) >= bar:
-            kept.append(c)
-        elif c.tag in PARAGRAPHS and c.chars >= 80 and _density(c) < 0.25:
-            kept.append(c)
-        elif c.tag == "h1" and ahead:
-            kept.append(c)
-    return kept
+    nodes = [c for c in best.parent.children if isinstance(c, Node) and not c.out and c.chars]
+    bar = 0.2 * best.score * (1 - _density(best))
+    sure = [k for k, c in enumerate(nodes) if c is best or _belongs(c, bar)]
+    # Between blocks that are kept everything is the article's, but for menus.
+    return [c for k, c in enumerate(nodes) if k in sure or (sure[0] < k < sure[-1] and _density(c) < MENU)]
+
+
+#: Share of link text from which a block is a menu; a block beside the container must stay below the other share.
+MENU, MIXED = 0.5, 0.33
+
+
+def _belongs(node: Node, bar: float) -> bool:
+    """Whether a sibling of the best container is part of the article: a heading, a paragraph, or a block that scores at all.
+
+    A block far below the container's score must be made of text without any link list.
+    """
+    dense = _density(node)
+    if node.tag in HEADINGS or node.tag in PARAGRAPHS:
+        return dense < MIXED
+    return node.score * (1 - dense) >= bar or (node.score > 0 and dense < MIXED and node.links < 3)
 
 
 def _render(node: Node, marked: bool, out: list[str]) -> None:

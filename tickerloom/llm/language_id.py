@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickerloom.llm.common import fold, text_blocks
+from tickerloom.llm.common import fold, free_name, text_blocks
 
 #: Training documents per language, chosen by id hash, and passages taken from each: the bound of the sample.
 DOCUMENTS_PER_LANGUAGE = 400
@@ -289,7 +289,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents, all columns unchanged, with a known language and at least the given score."""
-    kept = predict(docs, fit(docs.select("doc_id", "lang", "text")), "_language_")
-    made = [c for c in kept.columns if c.startswith("_language_")]
-    return kept.where((F.col("_language_lang_pred") != UNKNOWN) & (F.col("_language_score") >= least)).drop(*made)
+    """The documents, all columns unchanged, with a known language and at least the given score.
+
+    Null texts and texts without a letter go; repeated rows and null ids stay or go with their text; an empty table stays empty;
+    columns of any name may be there.
+    """
+    prefix = free_name(docs, "_language_")
+    kept = predict(docs, fit(docs.select("doc_id", "lang", "text")), prefix)
+    made = [c for c in kept.columns if c.startswith(prefix)]
+    return kept.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least)).drop(*made)

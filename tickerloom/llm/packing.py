@@ -37,22 +37,24 @@ class Encoder:
     """Token ids of the ``tokenizers`` library for a byte-level BPE file.
 
     The pre-tokenizer ends a token at certain places whatever stands around them, so the chunks between such places can be
-    encoded alone: each distinct chunk once, by a byte-pair encoder built from the same file.  Known chunks are kept as
-    sorted 64-bit hashes with their ids in one flat array.  Texts where a place is unsure (a space inside a longer gap) or
-    a special token's text occurs, and all texts where the file is of another kind, go through the library whole.
+    encoded alone: each distinct chunk once, by a byte-pair encoder built from the same file.  Known chunks are found by
+    sorted 64-bit hashes and compared byte by byte; their ids stand in one flat array.  Texts where a place is unsure (a
+    space inside a longer gap), a special token's text occurs or a chunk only shares another one's hash, and all texts where
+    the file is of another kind, go through the library whole.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 3_000_000, most_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
-        self.pairs, self.most = byte_pairs(path), most
+        self.pairs, self.most, self.most_bytes = byte_pairs(path), most, most_bytes
         self.forget()
 
     def forget(self) -> None:
         self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.raw, self.place, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
@@ -82,16 +84,19 @@ class Encoder:
             return self.ids[:0], np.zeros(len(offsets), np.int64), odd
         ends = np.append(starts[1:], len(data))
         h, one, inverse = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        row = self._known(h, starts[one], ends[one], data)
+        row, other = self._known(h, starts[one], ends[one], data)
+        first = one[inverse]
+        unlike = other[inverse] | ~same_bytes(data, starts, ends - starts, data, starts[first], (ends - starts)[first])
+        odd[np.searchsorted(offsets, starts[unlike], "right") - 1] = True
         size, start = self.size[row][inverse], self.start[row][inverse]
         done = np.cumsum(size)
         flat = self.ids[np.arange(done[-1]) - np.repeat(done - size - start, size)]
         bounds = np.append(0, done)[np.searchsorted(starts, offsets, "left")]
         return flat, bounds, odd
 
-    def _known(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Rows of the sorted hashes ``h`` in the store, after the unknown chunks have been encoded."""
-        if len(self.hashes) > self.most:
+    def _known(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the sorted hashes ``h`` in the store, after the unknown chunks have been encoded; which rows hold other bytes."""
+        if len(self.hashes) > self.most or len(self.raw) > self.most_bytes:
             self.forget()
         at = np.searchsorted(self.hashes, h)
         missing = np.flatnonzero((at == len(self.hashes)) | (self.hashes[np.minimum(at, len(self.hashes) - 1)] != h) if len(self.hashes) else np.ones(len(h), bool))
@@ -103,8 +108,32 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(new)), np.uint32)])
             self.start, self.size = np.insert(self.start, at[missing], where), np.insert(self.size, at[missing], size)
             self.hashes = np.insert(self.hashes, at[missing], h[missing])
+            long = (end - start)[missing]
+            self.place = np.insert(self.place, at[missing], len(self.raw) + np.cumsum(long) - long)
+            self.length = np.insert(self.length, at[missing], long)
+            self.raw = np.concatenate([self.raw, *(data[a:b] for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True))])
             at = np.searchsorted(self.hashes, h)
-        return at
+        return at, ~same_bytes(data, start, end - start, self.raw, self.place[at], self.length[at])
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether the byte ranges of ``a`` and ``b`` are the same, pair by pair; about ``step`` bytes are compared at once."""
+    same = a_size == b_size
+    rows = np.flatnonzero(same & (a_size > 0) & ~((a_start == b_start) & (a is b)))
+    done = np.cumsum(a_size[rows])
+    k = 0
+    while k < len(rows):
+        end = max(k + 1, int(np.searchsorted(done, done[k] - a_size[rows[k]] + step, "right")))
+        part = rows[k:end]
+        size = a_size[part]
+        if len(part) == 1:
+            same[part] = np.array_equal(a[a_start[part[0]] : a_start[part[0]] + size[0]], b[b_start[part[0]] : b_start[part[0]] + size[0]])
+        else:
+            first = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) - np.repeat(first, size)
+            same[part] = np.logical_and.reduceat(a[np.repeat(a_start[part], size) + at] == b[np.repeat(b_start[part], size) + at], first)
+        k = end
+    return same
 
 
 _GAP = SPACE_BYTE

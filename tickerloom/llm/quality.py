@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import LOWER, WORD_BYTE, fold, range_hashes, text_blocks, word_hashes
+from tickerloom.llm.common import LOWER, WORD_BYTE, fold, free_name, range_hashes, text_blocks, word_hashes
 from tickerloom.session import materialize
 
 #: Labelled rows that the fit may use, chosen by id hash: the bound of the training sample.
@@ -231,6 +231,10 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Data
 
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The documents, all columns unchanged, that the classifier accepts."""
-    model = fit(docs, labels)
-    return score(docs, model, "_quality").where(F.col("_quality") >= accept).drop("_quality")
+    """The documents, all columns unchanged, that the classifier accepts.
+
+    Null and empty texts are scored like any other; repeated rows and null ids stay or go with their text; an empty table stays
+    empty; columns of any name may be there.
+    """
+    model, name = fit(docs, labels), free_name(docs, "_quality")
+    return score(docs, model, name).where(F.col(name) >= accept).drop(name)

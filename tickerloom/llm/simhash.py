@@ -13,10 +13,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import star_components, texts_of
+from tickerloom.llm.common import free_name, star_components, texts_of
 from tickerloom.session import materialize
 
 RADIUS = 4
@@ -175,26 +175,50 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     empty texts have fingerprint zero and are linked like any other; a null id gets its row, and a component of null ids
     alone has a null id; repeated rows each get one; an empty table gives none; other columns are not read.
     """
+    return _grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, component (its smallest fingerprint) and component_id of every document."""
     marked = materialize(fingerprints(docs), "simhash")
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-prints")
     members = star_components(links(prints, radius), "simhash-stars")
     found = prints.join(members.withColumnRenamed("node", "fp"), "fp", "left")
     smallest = found.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first_id").alias("component_id"))
-    named = found.select("fp", F.coalesce("component", "fp").alias("component")).join(smallest, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = found.select("fp", F.coalesce("component", "fp").alias("component")).join(smallest, "component").select("fp", "component", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays.
 
-    All columns are kept as they are.  Rows that repeat a kept id, or have a null id in a component of null ids, are reduced
-    to one.
+    All columns are kept as they are.  Where an id repeats, rows are told apart by their fingerprints: each component keeps
+    one row of its smallest id (a null id only among null ids), of several the one with the smallest fingerprint, then hash.  So a
+    repeated id with unlike texts keeps a row for each component that it leads.  Null and empty texts are copies of each
+    other; ties and very long texts need no rule of their own; an empty table stays empty.
     """
-    found = materialize(near_duplicates(docs.select("doc_id", "text"), radius), "simhash-groups")
-    keepers = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = not keepers.where("n > 1").isEmpty()
-    kept = docs.join(keepers.select(F.col("doc_id").alias("_keeper")), F.expr("doc_id <=> _keeper"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    grouped = materialize(_grouped(docs.select("doc_id", "text"), radius), "simhash-groups")
+    led = grouped.where("doc_id <=> component_id").groupBy("component").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp"))
+    leaders = materialize(led, "simhash-leaders")
+    counts = grouped.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(leaders.join(counts, F.expr("kept_id <=> doc_id"), "left_semi").select(F.col("kept_id").alias("again")).distinct(), "simhash-repeated")
+    tag = free_name(docs, "_row")
+    key = f"{tag}_id"
+    once = leaders.join(repeated, F.expr("kept_id <=> again"), "left_anti").select(F.col("kept_id").alias(key))
+    same_id = F.col("doc_id").eqNullSafe(F.col(key))
+    kept = docs.join(once, same_id, "left_semi")
+    if repeated.isEmpty():
+        return kept
+    # Only rows of a repeated id are marked a second time; they carry a number until their fingerprint is known.
+    several = materialize(docs.join(repeated.select(F.col("again").alias(key)), same_id, "left_semi").withColumn(tag, F.monotonically_increasing_id()), "simhash-rows")
+    marks = fingerprints(several.select(F.col(tag).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("fp").alias(f"{tag}_fp"))
+    marked = several.join(marks, F.col(tag) == F.col(key)).drop(key)
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant", "array", "struct"))]
+    first = Window.partitionBy("doc_id", f"{tag}_fp").orderBy(F.xxhash64(*plain), tag)
+    marked = marked.withColumn(f"{tag}_n", F.row_number().over(first)).where(F.col(f"{tag}_n") == 1)
+    keeps = leaders.select(F.col("kept_id").alias(key), F.col("kept_fp").alias(f"{tag}_kept"))
+    chosen = marked.join(keeps, same_id & (F.col(f"{tag}_fp") == F.col(f"{tag}_kept")), "left_semi")
+    return kept.unionByName(chosen.select(*docs.columns))
 
 
 def brute_force(ids: list[int], texts: list[str | None], radius: int = RADIUS) -> pd.DataFrame:
