@@ -61,3 +61,19 @@ def test_operators_swallow_no_import_errors():
         tree = ast.parse(open(name).read())
         assert not any(isinstance(n, ast.Try) for n in ast.walk(tree)), name
     assert os.path.exists(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark):
+    import corpus_pipeline
+    from tests.llm.helpers import ODD, documents
+
+    rows = [*ODD, (None, "no id here"), (None, None), (1, "some other words stand here"), (3, None)]
+    for given in (rows, []):
+        docs = documents(spark, given).selectExpr("*", "1 AS _quality", "2 AS _language_score", "'l' AS _leak", "4 AS _row", "5 AS _row_fp", "map('a', 1) AS m")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, FOLDER).cache()
+            assert out.count() <= docs.count() or k == 4
+            if k < 4:
+                assert out.columns == docs.columns
+                docs = out
+        assert given or out.count() == 0

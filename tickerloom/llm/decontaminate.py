@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from tickerloom.llm.common import LOWER, WORD_BYTE, free_name, text_blocks, word
 #: Latent dimensions kept, and random vectors of the sketch.
 RANK = 48
 SKETCH = 64
+#: Lanes in which the sketch's parts of all tasks are added up first.
+LANES = 256
 #: Words of a search window, and of a sketched passage.
 WINDOW = 12
 PASSAGE = 32
@@ -130,19 +133,24 @@ def sketch(docs: DataFrame, bench: Benchmark, lines: int = 512) -> tuple[int, np
                 heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
                 moment[ordered[heads]] += np.add.reduceat(rows[passage[order]], heads, axis=0)
         blocks = range(0, size, lines)
+        lane = TaskContext.get().partitionId() % LANES
         yield pa.RecordBatch.from_arrays([
+            pa.array([lane] * (len(blocks) + 1), pa.int32()),
             pa.array([*(b // lines for b in blocks), -1], pa.int32()),
             pa.array([*(np.column_stack([frequency[b : b + lines], moment[b : b + lines]]).astype("<f8").tobytes() for b in blocks), np.array([n], "<f8").tobytes()], pa.binary()),
-        ], ["block", "part"])
+        ], ["lane", "block", "part"])
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = None
         for part in frame["part"]:
             values = np.frombuffer(part, "<f8")
             total = values.copy() if total is None else total + values
-        return pd.DataFrame({"block": [key[0]], "part": [total.tobytes()]})
+        return pd.DataFrame({"block": [key[-1]], "part": [total.tobytes()]})
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(sums, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
+    # Added up in two steps: a group holds a share of the input parts, then a row of each lane.
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(sums, "lane int, block int, part binary")
+    lanes = parts.groupBy("lane", "block").applyInPandas(add, "block int, part binary")
+    found = lanes.groupBy("block").applyInPandas(add, "block int, part binary").collect()
     parts = {r["block"]: np.frombuffer(r["part"], "<f8") for r in found}
     if not parts:
         return 0, np.zeros(size), np.zeros((size, SKETCH))

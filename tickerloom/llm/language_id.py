@@ -209,17 +209,25 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return owner, offsets[:-1][owner] + at, number * WINDOW - at, np.minimum(size[owner], WINDOW)
 
 
+#: Slices of ids that are ranked on their own.
+SLICES = 64
+
+
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, documents: int = DOCUMENTS_PER_LANGUAGE) -> Network | None:
     """Train on documents outside the held-out fold with a language; None if there are none.
 
     Of each language the ``documents`` ids with the smallest hash take part, with a few passages each; the sample is bounded
     by these parameters and the number of languages.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # Ranked within slices of ids first: one task then ranks a language's firsts of SLICES slices, whatever the number of input parts.
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sliced = Window.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(SLICES))).orderBy(*order)
+    whole = Window.partitionBy("lang").orderBy(*order)
     chosen = (
         docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"))
         .where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= documents)
+        .withColumn("place", F.row_number().over(sliced)).where(F.col("place") <= documents)
+        .withColumn("place", F.row_number().over(whole)).where(F.col("place") <= documents)
         .groupBy("doc_id", "lang").agg(F.min("place").alias("place"))
     )
     n = F.char_length("text")
