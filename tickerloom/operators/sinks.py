@@ -57,7 +57,10 @@ def upsert(rows: DataFrame, path: str, *, order: str | None = None, keys: Sequen
     pending = f"{path.rstrip('/')}__pending"
     finish_pending(spark, pending, path)
     # Written once: the rows are read for their dates, their keys and the merge.
-    incoming = materialize(latest_per_key(rows, order, keys).drop(order) if order else rows, "upsert")
+    # The last of each key reads its rows twice, which must number them alike (an order of arrival is not computed twice).
+    incoming = materialize(rows, "upsert")
+    if order:
+        incoming = materialize(latest_per_key(incoming, order, keys).drop(order), "upsert")
     if not order and not incoming.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError("rows repeat a key; give the column that orders them")
     existing = read_if_present(spark, path, incoming.schema)

@@ -38,7 +38,9 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     same = F.col(order).eqNullSafe(F.col("_newest"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    picked = df.join(newest, same, "left_semi").withColumn("_tie", F.xxhash64(*df.columns))
+    # Maps and VARIANT values have no hash of their own; their JSON has.
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in df.dtypes]
+    picked = df.join(newest, same, "left_semi").withColumn("_tie", F.xxhash64(*hashed))
     return first_per_group(picked, keys, [F.col("_tie")], 1, "_rank").drop("_tie", "_rank")
 
 
