@@ -37,6 +37,46 @@ def test_status_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert rows(spark.read.parquet(out), "symbol", "event_id", "previous", "status") == want
 
 
+def test_state_tables_are_the_digits_of_the_batch_count():
+    assert jobs.state_tables(0, 3) == []
+    assert jobs.state_tables(5, 3) == [(0, 3), (3, 4), (4, 5)]
+    assert jobs.state_tables(9, 3) == [(0, 9)]
+    for done in range(200):
+        tables = jobs.state_tables(done, 3)
+        assert [a for a, _ in tables] + [done] == [0] + [b for _, b in tables]
+        assert len(set(jobs.state_tables(done + 1, 3)) - set(tables)) == 1
+
+
+def test_state_holds_changed_symbols_only_and_merged_tables_go(spark, tmp_path):
+    start = dt.datetime(2026, 1, 1)
+    batches = [[(s, start + dt.timedelta(days=k), 100 * k + i, x) for i, (s, x) in enumerate(b)] for k, b in enumerate([
+        [("A", "new"), ("B", "new"), ("C", "new")],
+        [("A", "new"), ("B", "priced")],
+        [("C", "filed"), ("C", "new"), ("A", "priced")],
+        [],
+        [("A", "priced"), ("B", "new")],
+        [("D", "new")],
+        [("B", "priced"), ("C", "new"), ("D", "new")],
+        [("A", "new")],
+    ])]
+    out, state = str(tmp_path / "out"), str(tmp_path / "last")
+    frame = lambda b: spark.createDataFrame(b, EVENTS)
+    sizes = []
+    for epoch, batch in enumerate(batches):
+        # A micro-batch that runs again must give what it gave.
+        for _ in range(2):
+            jobs.store_status_changes(frame(batch), epoch, out, state, merge_every=3)
+            added = [t for t in jobs.state_tables(epoch + 1, 3) if t not in jobs.state_tables(epoch, 3)]
+            sizes.append(spark.read.parquet(jobs._state_path(state, added[0])).count())
+    # Batches 3 and 6 (from 1) merge the tables of three batches.
+    assert sizes[::2] == sizes[1::2] == [3, 1, 3, 0, 1, 2, 1, 1]
+    want = rows(jobs.status_changes(frame([r for b in batches for r in b])), "symbol", "event_id", "previous", "status")
+    assert rows(spark.read.parquet(out), "symbol", "event_id", "previous", "status") == want
+    assert sorted(p.name for p in (tmp_path / "last").iterdir()) == ["batches=0-3", "batches=3-6", "batches=6-7", "batches=7-8"]
+    last = rows(spark.read.parquet(*map(str, (tmp_path / "last").iterdir())).groupBy("symbol").agg(F.max_by("status", "epoch").alias("s")), "symbol", "s")
+    assert last == [("A", "new"), ("B", "priced"), ("C", "new"), ("D", "new")]
+
+
 def test_discovery_stream(spark, tmp_path):
     keys = spark.createDataFrame([("reports/2025-01-01/b_report.md",)], "key STRING")
     source = stream(spark, events(spark), str(tmp_path / "in"), 2)

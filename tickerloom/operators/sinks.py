@@ -88,6 +88,12 @@ def finish_pending(spark: SparkSession, pending: str, path: str) -> None:
         files.delete(folder, True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a later table replaces; one that is gone already is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """The table at ``path`` read with a given schema, or None before its first write."""
     try:
