@@ -60,6 +60,24 @@ def test_final_outcomes_and_summary(spark):
     assert kept == [("drafter/report.md", "x" * 10 + "\n\n[TRUNCATED — original 12 chars]")]
 
 
+def test_run_of_any_length_keeps_every_attempt(spark):
+    n = 1_000_000
+    hot = spark.range(n, numPartitions=8).select(
+        F.lit(DAY(2026, 1, 1)).alias("run_date"), F.lit("HOT").alias("symbol"), F.when(F.col("id") % 4 == 0, "drafter").otherwise("reviser").alias("stage"),
+        (n - F.col("id")).cast("int").alias("attempt"), F.lit(True).alias("success"), F.lit(False).alias("gate_passed"),
+        F.lit(None).cast("string").alias("error"), F.lit(1.0).alias("duration_seconds"))
+    both = hot.unionByName(attempts(spark).select(*hot.columns))
+    record = {r["symbol"]: r for r in oc.run_records(both, artifacts(spark), nested=3).collect()}
+    assert [(o["stage"], o["attempt"]) for o in record["HOT"]["stage_outcomes"]] == [("drafter", 4), ("drafter", 8), ("drafter", 12)]
+    assert record["HOT"]["more_outcomes"] == n - 3 and record["A"]["more_outcomes"] == 1 and record["C"]["more_outcomes"] == 0
+    assert "WindowGroupLimit" in plan_of(oc.run_records(both, artifacts(spark)))
+    ranked = oc.ranked_outcomes(both)
+    places = ranked.where("symbol = 'HOT'").agg(F.min("rank"), F.max("rank"), F.count_distinct("rank"), F.count("*")).first()
+    assert tuple(places) == (1, n, n, n)
+    assert rows(ranked.where("symbol = 'HOT' AND (rank = 250000 OR rank = 250001)"), "stage", "attempt") == [("drafter", n), ("reviser", 1)]
+    assert rows(ranked.where("symbol = 'B'"), "rank", "stage", "attempt") == [(1, "drafter", 1), (2, "drafter", 2), (3, "reviser", 1), (4, "reviser", 2)]
+
+
 def test_attempt_violations(spark):
     out = rows(oc.attempt_violations(attempts(spark)), "symbol", "stage", "attempt", "broken")
     assert out == [("B", "drafter", 2, ["after_pass"]), ("C", "drafter", 3, ["after_failure", "beyond_max"])]

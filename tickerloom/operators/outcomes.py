@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom import fixed_values as fv
+from tickerloom.functions.ordered import running_total
 from tickerloom.functions.scalars import truncate_with_note
+from tickerloom.sources.scans import first_per_group
 
 RUN = ["run_date", "symbol"]
 # --- fixed values: attempts allowed per stage --------------------------------
@@ -70,21 +72,46 @@ def attempt_violations(attempts: DataFrame) -> DataFrame:
     )
 
 
-def run_records(attempts: DataFrame, artifacts: DataFrame) -> DataFrame:
+#: Outcomes that a run's nested record holds at most; the rest is counted there and stands in the long form.
+NESTED_OUTCOMES = 100
+#: Attempts per bucket of the long form's ranking: no task sorts more of a run's stage.
+_RANK_BUCKET = 10_000
+
+
+def _with_stage_no(attempts: DataFrame) -> DataFrame:
+    order = F.create_map(*[F.lit(x) for i, s in enumerate(MAX_ATTEMPTS) for x in (s, i)])
+    return attempts.select(*RUN, order[F.col("stage")].alias("stage_no"), "attempt", "stage", "success", "duration_seconds", "error")
+
+
+def ranked_outcomes(attempts: DataFrame) -> DataFrame:
+    """Long form: every attempt with its place in the run, from 1, by stage and attempt.
+
+    Nothing is cut.  A run of any length is ranked in buckets of attempts.
+    """
+    bucket = F.struct("stage_no", F.floor(F.col("attempt") / _RANK_BUCKET).alias("part"))
+    order = ["stage_no", "attempt", "success", "duration_seconds", "error"]
+    return running_total(_with_stage_no(attempts), RUN, order, F.lit(1), bucket, "rank").drop("stage_no")
+
+
+def run_records(attempts: DataFrame, artifacts: DataFrame, nested: int = NESTED_OUTCOMES) -> DataFrame:
     """Nested record per run: ordered outcomes, artifact keys and text sizes.
 
-    A run's attempts and files are bounded by the retry rules and the file
-    list, so the nested arrays are small.
+    ``stage_outcomes`` holds the first ``nested`` outcomes, ``more_outcomes`` counts those beyond, which ``ranked_outcomes``
+    lists.  Surplus rows are dropped in each task before the shuffle, so a run may have any number of attempts; the retry rules
+    allow fewer than a record holds.  Files of a run are bounded by the file list.
     """
-    order = F.create_map(*[F.lit(x) for i, s in enumerate(MAX_ATTEMPTS) for x in (s, i)])
-    outcome = F.struct(order[F.col("stage")].alias("stage_no"), "attempt", "stage", "success", "duration_seconds", "error")
-    folded = attempts.groupBy(*RUN).agg(F.sort_array(F.collect_list(outcome)).alias("stage_outcomes"))
+    numbered = _with_stage_no(attempts)
+    fields = ["stage_no", "attempt", "stage", "success", "duration_seconds", "error"]
+    head = first_per_group(numbered, RUN, [F.col(c) for c in fields], nested)
+    folded = head.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("ranked"))
+    heads = folded.select(*RUN, F.transform("ranked", lambda o: F.struct(*[o[c].alias(c) for c in fields])).alias("stage_outcomes"))
+    counts = attempts.groupBy(*RUN).agg(F.greatest(F.count("*") - nested, F.lit(0)).alias("more_outcomes"))
     sizes = artifacts.select(
         *RUN, "artifact_keys",
         F.coalesce("notes_chars", F.lit(0)).alias("research_notes_chars"),
         F.coalesce("critique_chars", F.lit(0)).alias("critique_chars"),
     )
-    return folded.join(sizes, RUN, "left")
+    return heads.join(counts, RUN).join(sizes, RUN, "left")
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:

@@ -417,6 +417,24 @@ def o03(v):
                        "research_notes_chars", "critique_chars")
 
 
+@query("o03_ranked_outcomes", """
+SELECT CAST(run_date AS STRING) AS run_date, symbol, stage, attempt, success, ROW_NUMBER() OVER (PARTITION BY run_date, symbol
+    ORDER BY CASE stage WHEN 'drafter' THEN 0 WHEN 'reviewer' THEN 1 ELSE 2 END, attempt) AS rank FROM {v_outcomes}""")
+def o03_long(v):
+    return oc.ranked_outcomes(v.v_outcomes).select(iso("run_date"), "symbol", "stage", "attempt", "success", "rank")
+
+
+@query("o03_record_heads", """
+SELECT CAST(run_date AS STRING) AS run_date, symbol, first_stage, first_attempt, CASE WHEN n > 1 THEN n - 1 ELSE 0 END AS more_outcomes FROM (
+  SELECT run_date, symbol, COUNT(*) AS n, min_by(stage, place) AS first_stage, min_by(attempt, place) AS first_attempt FROM (
+    SELECT *, CASE stage WHEN 'drafter' THEN 0 WHEN 'reviewer' THEN 1 ELSE 2 END * 1000000 + attempt AS place FROM {v_outcomes}) p
+  GROUP BY run_date, symbol) t""")
+def o03_heads(v):
+    first = F.get("stage_outcomes", F.lit(0))
+    rows = oc.run_records(v.v_outcomes, v.v_artifacts, nested=1)
+    return rows.select(iso("run_date"), "symbol", first["stage"].alias("first_stage"), first["attempt"].alias("first_attempt"), "more_outcomes")
+
+
 @query("o04_run_summary", """
 SELECT CAST(run_date AS STRING) AS run_date, COUNT(*) AS runs, COUNT(*) FILTER (WHERE success) AS success_count,
   COUNT(*) FILTER (WHERE NOT success) AS failure_count, COUNT(*) FILTER (WHERE final_gate_passed) AS final_gate_passed
