@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tests.helpers import plan_of
 from tests.llm.helpers import ODD, documents
 from tickerloom.llm import licenses
@@ -56,9 +58,62 @@ def test_spans_count_words(spark):
     assert sorted((r.label, r.first, r.end) for r in found) == [("gpl", 1, 3), ("mit", 4, 6), ("mit", 8, 13)]
 
 
+BODIES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
+    "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-0": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
+    "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\"",
+    "ncsa": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
+    "deal with the Software without restriction",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\nTHE SOFTWARE IS PROVIDED",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this",
+    "bsd-4-clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-2-clause": "under a FreeBSD license",
+    "apache-2.0": "you may not use this file except in compliance with the License.",
+    "gpl-2.0": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+    "lgpl-2.1": "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "agpl-3.0": "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "zlib": "The origin of this software must not be misrepresented;",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by",
+    "json": "The Software shall be used for Good, not Evil.",
+    "cc-by-4.0": "SPDX-License-Identifier: CC-BY-4.0",
+    "bsd-2-clause ": "SPDX-License-Identifier: BSD-2-Clause",
+}
+
+
+def test_license_bodies_without_a_name(spark):
+    # Labels of base phrases always stay; the mit-0 text also holds a warranty hint.
+    got = licenses.scan(documents(spark, list(enumerate(BODIES.values())))).collect()
+    found = {r.doc_id: (set(filter(None, r.labels.split(","))) - {*r.base_labels.split(","), "no-warranty"}, r.score) for r in got}
+    sure = {"cc-by-4.0": 1.0, "bsd-2-clause ": 1.0, "bsd-2-clause": 0.8}
+    for k, label in enumerate(BODIES):
+        assert found[k] == ({label.strip()}, sure.get(label, 0.95)), label
+
+
+def test_ordinary_prose_gets_no_label(spark):
+    prose = ["We hereby thank every contributor for their compliance.", "Advertising may endorse a beer; the recipient keeps the document.", "Freedom to redistribute evil attribution verbatim."]
+    assert {r.labels for r in licenses.scan(documents(spark, list(enumerate(prose)))).collect()} == {""}
+
+
+def test_prefilter_passes_every_keyword_and_whole_words_only(spark):
+    rows = [(w,) for k in licenses.keywords() for w in (k, k.upper(), f"({k})")] + [(f"x{k}",) for k in licenses.keywords()] + [(f"{k}é",) for k in licenses.keywords()]
+    frame = spark.createDataFrame(rows, "w string").withColumn("hit", F.col("w").rlike(licenses._prefilter()))
+    alone = set(licenses.keywords())
+    for r in frame.collect():
+        assert r.hit == (r.w.strip("()").lower() in alone), r.w
+
+
 def test_rules():
     rows = licenses.rule_rows()
     assert len(rows) > 300
+    for label in {r[2] for r in rows}:
+        assert re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+(\.\d+)*)*", label), label
     for keyword, pattern, _, _ in rows:
         re.compile(pattern)
 

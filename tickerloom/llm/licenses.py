@@ -7,6 +7,9 @@ Detections inside a longer or more important one are suppressed.
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +44,8 @@ FAMILIES: list[tuple[str, str, str]] = [
     ("mit-0", "mit", r"mit no attribution(?: license)?"),
     ("x11", "x11", r"x11 license"),
     ("isc", "isc", r"isc license"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd license|bsd 2 clause(?: license)?|2 clause bsd(?: license)?|freebsd license)"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd license|bsd 2 clause(?: license)?|2 clause bsd(?: license)?)"),
+    ("bsd-2-clause", "freebsd", r"freebsd license"),
     ("bsd-3-clause", "bsd", r"(?:new bsd license|modified bsd license|revised bsd license|bsd 3 clause(?: license)?|3 clause bsd(?: license)?)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd license|bsd 4 clause(?: license)?|4 clause bsd(?: license)?)"),
     ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)(?: license)?"),
@@ -101,6 +105,72 @@ FAMILIES: list[tuple[str, str, str]] = [
     ("no-warranty", "warranty", r"(?:without warranty of any kind|without any warranty|as is without warranty)"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 ]
+_SOFTWARE = r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+_SHARED = r"redistribution and use in source and binary forms with or without modification are permitted"
+_TERMS = r"redistribute it and or modify it under the terms of the gnu"
+_ISSUED = r"(?: v(?:ersion)? ?[123](?: \d)?)? (?:of the license )?as published by the free software foundation"
+#: Sentences that stand in a license's own text or in its standard file header; they name no license, or do so within a longer grant.
+#: Where one grant begins like another, the longer pattern wins by containment.
+BODIES: list[tuple[str, str, str]] = [
+    ("mit", "hereby", _SOFTWARE),
+    ("mit", "furnished", r"to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit-0", "furnished", _SOFTWARE + r"(?: [^ ]+){10,50}? furnished to do so the software is provided"),
+    ("ncsa", "hereby", _SOFTWARE + r"(?: [^ ]+){0,3} to deal with the software without restriction"),
+    ("bsl-1.0", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl-1.1", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is"),
+    ("postgresql", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "hereby", r"permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)? (?:without fee is hereby granted|is hereby granted without fee)"),
+    ("curl", "hereby", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", "redistribution", _SHARED),
+    ("bsd-3-clause", "endorse", r"neither the names? (?:of )?(?:[^ ]+ ){1,12}?(?:nor the names of (?:its|any|the) contributors )?may be used to endorse or promote products derived"),
+    ("bsd-3-clause", "endorse", r"the names? of (?:[^ ]+ ){1,8}?may not be used to endorse or promote products derived"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause-patent", "redistribution", _SHARED + r"(?: [^ ]+){60,160}? patent license"),
+    ("x11", "advertising", r"except as contained in this notice the names? of (?:[^ ]+ ){1,10}?shall not be used in advertising or otherwise to promote the sale"),
+    ("apache-2.0", "compliance", r"you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache-2.0", "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except)"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl", "redistribute", _TERMS + r" general public license" + _ISSUED),
+    ("gpl-2.0", "redistribute", _TERMS + r" general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3.0", "redistribute", _TERMS + r" general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl", "redistribute", _TERMS + r" (?:lesser|library) general public license" + _ISSUED),
+    ("lgpl-2.0", "redistribute", _TERMS + r" (?:lesser|library) general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-2.1", "redistribute", _TERMS + r" (?:lesser|library) general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3.0", "redistribute", _TERMS + r" lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3.0", "redistribute", _TERMS + r" affero general public license" + _ISSUED + r"(?: either version 3 of the license)?"),
+    ("gpl-2.0", "freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "freedom", r"the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("lgpl-2.1", "lesser", r"this license the lesser general public license applies to some specially designated software packages typically libraries"),
+    ("lgpl-3.0", "lesser", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3.0", "affero", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl", "document", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "recipient", r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "cddl", r"the contents of this file are subject to the terms of the common development and distribution license(?: [^ ]+){0,6} cddl"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "misrepresented", r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("cc0-1.0", "neighboring", r"(?:has )?(?:dedicated|waived) all copyright and related (?:or|and) neighboring rights"),
+    ("cc-by", "attribution", r"bound by the terms and conditions of this creative commons attribution(?: \d \d)? international public license"),
+    ("python-2.0", "psf", r"psf hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("php-3.01", "php", r"this product includes php software"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("beerware", "beer", r"if we meet some ?day and you think this stuff is worth it you can buy me a beer in return"),
+    ("ms-pl", "infringed", r"if you bring a patent claim against any contributor over patents that you claim are infringed by the software"),
+    ("artistic", "artistic", r"the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("artistic-2.0", "artistic", r"the copyright holder maintains some artistic control over the development of that package"),
+    ("eupl", "eupl", r"licensed under the eupl"),
+    ("vim", "vim", r"there are no restrictions on distributing unmodified copies of vim"),
+    ("sleepycat", "redistributions", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("ftl", "freetype", r"portions of this software are copyright (?:c )?(?:[^ ]+ )?the freetype project"),
+]
 #: Creative Commons terms; every term has short and long names, and versions.
 CC_TERMS = {
     "by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative)?s?", "by-nc": "attribution non ?commercial",
@@ -137,8 +207,15 @@ def rule_rows() -> list[tuple[str, str, str, int]]:
         named.append(("cc", rf"{short}(?! (?:sa|nd|nc)\b)", f"cc-{term}", NAME))
         named.append(("creative", rf"creative commons {spoken}(?! (?:non|no|share))", f"cc-{term}", NAME))
     notices = [(k, rf"{n}{p}", label, NOTICE) for k, p, label, kind in named if kind == NAME for n in NOTICES]
-    spdx = [("spdx", rf"spdx license identifier {s}(?: only| or later)?", s.replace(" ", "-", 1).replace(" ", "."), IDENTIFIER) for s in SPDX]
-    return [(k, rf"(?<= ){p}(?= )", label, kind) for k, p, label, kind in spdx + notices + named]
+    spdx = [("spdx", rf"spdx license identifier {s}(?: only| or later)?", spelled(s), IDENTIFIER) for s in SPDX]
+    # A license's own words are as sure as a notice.
+    bodies = [(k, p, label, NOTICE) for label, k, p in BODIES]
+    return [(k, rf"(?<= ){p}(?= )", label, kind) for k, p, label, kind in spdx + bodies + notices + named]
+
+
+def spelled(words: str) -> str:
+    """Label of a name in normalised words: a dot within a version, else hyphens ("cc by 4 0" is cc-by-4.0)."""
+    return re.sub(r"(?<= \d) (?=\d)", ".", words).replace(" ", "-")
 
 
 def keywords() -> list[str]:
@@ -148,7 +225,9 @@ def keywords() -> list[str]:
 def _prefilter() -> str:
     """A text can hold a base phrase or a rule only if this matches it; ASCII case is ignored, words stand alone."""
     letter = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-    return rf"(?i)(?<!{letter})(?:{'|'.join(keywords())})(?!{letter})"
+    # Grouped by first letter, so that a word is tried against few keywords.
+    groups = [f"{first}(?:{'|'.join(k[1:] for k in same)})" for first, same in groupby(keywords(), lambda k: k[0])]
+    return rf"(?i)(?<!{letter})(?:{'|'.join(groups)})(?!{letter})"
 
 
 def normalised(text: Column) -> Column:
