@@ -96,3 +96,42 @@ def test_likeness_of_texts_of_unequal_length_is_that_of_all_kmers(spark):
     for times, x in got.items():
         share = (600 - order_minhash.K + 1) / (600 * times - order_minhash.K + 1)
         assert abs(x - share**2) < 0.04
+
+
+def test_batches_equal_data_frame_form(spark):
+    rng = random.Random(11)
+    letters = "ab é中ñ…"
+    rows = [*ODD, (None, "other"), (None, None)]
+    rows += [(2000 + i, "".join(rng.choices(letters[: rng.choice((2, 3, 8))], k=rng.choice((1, 3, 7, 8, 9, 20, 500, 6000))))) for i in range(60)]
+    rows += [(3000, "中" * 50), (3001, "abcdefg"), (3002, "abcdefgh"), (3003, "abcdefghi" * 1000)]
+    want = order_minhash.fingerprint(documents(spark, rows)).collect()
+    got = order_minhash.fingerprint_in_batches(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    assert order_minhash.fingerprint_in_batches(documents(spark, [])).count() == 0
+
+
+def test_kmers_of_wide_characters_equal_plain_python():
+    """Code points of four bytes, up to the 32-byte form of the hash, against the reference library of the hash."""
+    import numpy as np
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def of_ints(mark, number):
+        h = xxhash.xxh64_intdigest((mark & (1 << 64) - 1).to_bytes(8, "little"), 42)
+        return signed(xxhash.xxh64_intdigest(number.to_bytes(4, "little"), h))
+
+    rng = random.Random(2)
+    for text in ("😀" * 30, "".join(rng.choices("a😀é中", k=400)), "😀a", "x" * 20):
+        seen, want = {}, []
+        for i in range(max(1, len(text) - order_minhash.K + 1)):
+            mark = signed(xxhash.xxh64_intdigest(text[i : i + order_minhash.K].encode(), 42)) >> order_minhash.POSITION_BITS
+            number = seen[mark] = seen.get(mark, -1) + 1
+            want.append(of_ints(mark, number) >> order_minhash.POSITION_BITS if number else mark)
+        marks = order_minhash.kmer_marks(np.frombuffer(text.encode(), np.uint8))
+        assert marks.tolist() == want
+        least, where = order_minhash.two_least(marks)
+        for j in range(order_minhash.HASHES):
+            two = sorted((of_ints(m, j) >> order_minhash.POSITION_BITS, i) for i, m in enumerate(want))[:2]
+            assert [(h, i) for h, i in zip(least[j].tolist(), where[j].tolist(), strict=True) if i >= 0] == two

@@ -51,7 +51,7 @@ def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_order_minhash")
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return order_minhash.fingerprint(table(spark, folder, "documents"))
+    return order_minhash.fingerprint_in_batches(table(spark, folder, "documents"))
 
 
 @query("op7_language_id")
