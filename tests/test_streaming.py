@@ -127,3 +127,24 @@ def test_scratch_dir_follows_the_session():
     assert scratch_dir(session(None, "local[2]"), "x").startswith("/tmp/run-")
     with pytest.raises(ValueError):
         scratch_dir(session(None, "yarn"), "x")
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_queries_read_a_table_of_any_number_of_files(spark, tmp_path, files):
+    from tickerloom.plans.registry import QUERIES
+    from tickerloom.plans.stream_queries import stream_of
+    from tickerloom.plans.views import Views
+
+    source = "/root/testdata/sf0.001"
+    for table in ("documents", "pages", "labels"):
+        df = spark.read.parquet(f"{source}/{table}.parquet")
+        if table == "documents":
+            df = df.where("doc_id < 12") if files else df.where("false")
+        df.repartition(max(files, 1)).write.parquet(str(tmp_path / "in" / f"{table}.parquet"))
+    (tmp_path / "in" / "documents.parquet.old").mkdir()
+    want = spark.read.parquet(str(tmp_path / "in" / "documents.parquet")).count()
+    assert QUERIES["t02_gate_stream"](spark, str(tmp_path / "in")).count() == want == (12 if files else 0)
+    # One plain file works as before.
+    out = str(tmp_path / "out")
+    jobs.run_to_table(stream_of(Views(spark, source), "labels"), out, str(tmp_path / "state"))
+    assert spark.read.parquet(out).count() == spark.read.parquet(f"{source}/labels.parquet").count()

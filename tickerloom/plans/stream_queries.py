@@ -13,9 +13,10 @@ from tickerloom.streaming import jobs
 
 
 def stream_of(v: Views, table: str):
-    """The driver's Parquet file as a file stream."""
-    reader = v.spark.readStream.schema(getattr(v, table).schema).option("pathGlobFilter", f"{table}.parquet")
-    return reader.parquet(v.folder)
+    """A driver table, one Parquet file or a folder of them, as a file stream."""
+    # A stream's path must be a folder or a pattern; the braces make a pattern that only the table's own name matches.
+    reader = v.spark.readStream.schema(getattr(v, table).schema).option("basePath", v.folder)
+    return reader.parquet(f"{v.folder}/{{{table}.parquet}}")
 
 
 def status_events(events):
@@ -34,13 +35,17 @@ def t01(v):
     return v.spark.read.schema("symbol STRING").parquet(path)
 
 
+GATE_SCHEMA = "symbol STRING, stage STRING, passed BOOLEAN, severity STRING, failures ARRAY<STRING>, date DATE"
+
+
 @query("t02_gate_stream", """
 SELECT CAST(date AS STRING) AS date, symbol, stage, passed, severity, failures FROM {c_gate}""", **GATE)
 def t02(v):
     path, checkpoint = scratch_dir(v.spark, "gate"), scratch_dir(v.spark, "state")
     reports = lambda batch: Views(batch.sparkSession, v.folder, documents=batch).v_reports
     jobs.gate_stream(stream_of(v, "documents"), path, checkpoint, "doc_key", prepare=reports).awaitTermination()
-    rows = v.spark.read.parquet(path)
+    # With a schema a table without rows is read, too.
+    rows = v.spark.read.schema(GATE_SCHEMA).parquet(path)
     return rows.select(iso("date"), "symbol", "stage", "passed", "severity", joined("failures", "; "))
 
 
