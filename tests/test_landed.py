@@ -69,3 +69,18 @@ def test_read_landed_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"dataset":"quote","symbol":"A","http_status":200,"payload":"{bad"}\n')
     row = artifacts.read_landed_json(spark, str(tmp_path)).first()
     assert (row["dataset"], row["payload"]) == ("quote", "{bad")
+
+
+def test_shapes_come_without_a_schema_of_the_whole_list(spark):
+    from tests.helpers import plan_of
+    from tickerloom.sources import landed as rules
+
+    texts = [None, "null", " \n[1]", "[]", "\t{}", '{"a": 1}', "[{}, null]", "[{}, [1]]", '[{"a": 1}, {}]', '"[x"', "-3", "[1", "{} x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string")
+    listed = rules.list_rows(df)
+    got = [(r.kind, r.row_error, r.n) for r in listed.selectExpr("i", "kind", "row_error", "size(rows) n").orderBy("i").collect()]
+    assert got == [
+        ("missing", None, 0), ("null", None, 0), ("list", "non_object_entries", 0), ("list", None, 0), ("object", None, 1), ("object", None, 1),
+        ("list", "non_object_entries", 0), ("list", "non_object_entries", 0), ("list", None, 2), ("scalar", "unexpected_type", 0),
+        ("scalar", "unexpected_type", 0), ("missing", "invalid_json", 0), ("missing", "invalid_json", 0)]
+    assert "schema_of_variant" not in plan_of(rules.explode_rows(listed, "i"))
