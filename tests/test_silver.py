@@ -128,3 +128,27 @@ def test_streaks_follow_the_order_of_appending(spark):
     for _ in range(2):
         got = rows(bias.miss_streaks(df.repartition(5), 2), "symbol", "streak", "first_date", "last_date")
         assert got == sorted(brute_streaks(data, 2), key=repr) or sorted(got) == brute_streaks(data, 2)
+
+
+def test_partitions_grow_with_the_largest_table(spark, tmp_path, monkeypatch):
+    from tickerloom import session
+    from tickerloom.sources.silver import bucketed
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.partitions_for(spark, 0) == session.partitions_for(spark, n * session._PARTITION_BYTES) == n
+    assert session.partitions_for(spark, 7 * n * session._PARTITION_BYTES) == 8 * n
+    try:
+        Views(spark, "/root/testdata/sf0.001").region  # noqa: B018
+        assert spark.conf.get(name, None) is None
+        lines = Views(spark, "/root/testdata/sf0.001").lineitem
+        size = float(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        monkeypatch.setattr(session, "_PARTITION_BYTES", size / (3 * n))
+        lines = Views(spark, "/root/testdata/sf0.001").lineitem
+        assert spark.conf.get(name) == str(4 * n) and session.scaled_partitions(spark) == 4 * n
+        Views(spark, "/root/testdata/sf0.001").region  # noqa: B018
+        assert spark.conf.get(name) == str(4 * n)
+        table = bucketed(lines.select("l_suppkey").limit(50), "grown", "l_suppkey")
+        assert f"{4 * n} buckets" in spark.sql(f"DESCRIBE EXTENDED {table.select('*')._jdf.queryExecution().analyzed().collectLeaves().head().catalogTable().get().identifier().table()}").where("col_name = 'Num Buckets'").selectExpr("concat(data_type, ' buckets') x").first()["x"]
+    finally:
+        spark.conf.unset(name)
