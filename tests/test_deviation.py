@@ -134,3 +134,16 @@ def test_bias_by_factor(spark):
     both = history(spark, 4, 1).unionByName(history(spark, 6, 6, -1.0, "B"))
     out = rows(b.bias_by_factor(both, profile), "sector", "is_total", "samples", "misses")
     assert out == [("Energy", 0, 6, 6), ("Tech", 0, 4, 1), (None, 1, 10, 7)]
+
+
+def test_history_is_worked_out_once_for_two_appends(spark, monkeypatch):
+    from tests.helpers import plan_of
+    from tickerloom.operators import deviation
+    from tickerloom.plans import load_all
+    from tickerloom.plans.registry import QUERIES
+
+    load_all()
+    given, append = [], deviation.append_history
+    monkeypatch.setattr(deviation, "append_history", lambda records, *a: (given.append(plan_of(records)), append(records, *a)))
+    QUERIES["e06_history_append"](spark, "/root/testdata/sf0.001")
+    assert len(given) == 2 and not any("Join" in p or "Exchange" in p for p in given)

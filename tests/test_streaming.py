@@ -131,10 +131,12 @@ def test_scratch_dir_follows_the_session():
 
 @pytest.mark.parametrize("files", [0, 1, 3])
 def test_stream_queries_read_a_table_of_any_number_of_files(spark, tmp_path, files):
+    from tickerloom.plans import load_all
     from tickerloom.plans.registry import QUERIES
     from tickerloom.plans.stream_queries import stream_of
     from tickerloom.plans.views import Views
 
+    load_all()
     source = "/root/testdata/sf0.001"
     for table in ("documents", "pages", "labels"):
         df = spark.read.parquet(f"{source}/{table}.parquet")
