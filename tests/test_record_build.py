@@ -1,4 +1,4 @@
-"""What the record build moves, reads and holds: lines by order, one pass over regulatory rows, cut rows."""
+"""What the record build moves, reads and holds: lines by order, one pass over regulatory rows, cut rows, payloads of entries only."""
 
 import os
 
@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import plan_of, rows
+from tickerloom import session
 from tickerloom.operators import discovery as d
 from tickerloom.plans import record_queries as rq
 from tickerloom.plans import silver
@@ -45,3 +46,35 @@ def test_statements_are_cut_to_their_own_limits(spark):
     plan = plan_of(rq.statement_rows(Views(spark, FOLDER)))
     assert "row_number(), 8, Partial" in plan and "row_number(), 72" not in plan
     assert "row_number(), 35, Partial" in plan_of(rq.news_rows(Views(spark, FOLDER)))
+
+
+@with_data
+def test_only_payloads_of_entries_are_folded(spark):
+    v, seen = Views(spark, FOLDER), {}
+
+    def store(tables):
+        seen.update({name: table() for name, table in tables.items()})
+        return seen
+
+    rq.assembled(v, store=store)
+    wanted, landed = ({r.symbol for r in t.select("symbol").collect()} for t in (seen["company"], v.v_landed))
+    assert {r.symbol for r in seen["payloads"].select("symbol").collect()} == wanted & landed < landed
+
+
+@with_data
+def test_records_are_built_in_small_tasks(spark, monkeypatch):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen = [spark.conf.get(n) for n in names], []
+
+    def assembled(v, **store):
+        seen.append([spark.conf.get(n) for n in names])
+        return spark.range(3)
+
+    monkeypatch.setattr(rq, "assembled", assembled)
+    monkeypatch.setattr(silver, "_WRITTEN", {})
+    monkeypatch.setattr(silver.SilverViews, "prepare", lambda self: self)
+    assert rq.records_of(Views(spark, FOLDER)).count() == 3
+    assert seen == [[str(session._TASK_BYTES)] * 2] and [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ValueError), session.small_tasks(spark):
+        raise ValueError
+    assert [spark.conf.get(n) for n in names] == before
