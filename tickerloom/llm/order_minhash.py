@@ -1,11 +1,11 @@
 """Order MinHash fingerprints, in two forms with equal results.
 
-``fingerprint`` uses DataFrame operations only; ``fingerprint_in_batches`` draws the minima with numpy inside the tasks, at a
-fraction of the time, as higher-order functions evaluate each of 32 hashes of every k-mer without compiled code.
+``fingerprint`` uses DataFrame operations only: a text's sorted k-mers become rows, and all hash functions are evaluated on them in
+compiled code; ``fingerprint_in_batches`` draws the minima with numpy inside the tasks.
 
 Every run of ``K`` code points is numbered among its equals in the text.  For each of ``HASHES`` hash functions the ``2`` smallest
 of all numbered k-mers are put in text order and hashed as a tuple.  Unlike plain MinHash the tuples change when the same k-mers
-stand in another order or number.  All steps work inside the document's own row, in time n log n.
+stand in another order or number.  ``with_signature`` does it inside the row of one text, in time n log n, without compiled code.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickerloom.functions.collections import with_once
-from tickerloom.session import materialize
+from tickerloom.session import materialize, partitions_for
 
 K = 8
 HASHES = 32
@@ -29,7 +29,12 @@ POSITION_BITS = 26
 POOL = 1 << POSITION_BITS
 _POSITION = (1 << POSITION_BITS) - 1
 #: Document ids in one window; the texts of a bucket meet in one task.
-BUCKET = 1024
+BUCKET = 128
+#: Code points of a text whose k-mers are cut from one piece: a place in a piece is found by counting from its begin.
+PIECE = 64
+#: K-mers below a hash function's bound that a text is expected to have.  Fewer than 2 have about 3 texts of a million; those are
+#: drawn again from all their k-mers.
+CANDIDATES = 20
 
 
 def _long(x: int) -> Column:
@@ -48,12 +53,10 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the array of tuple hashes (32-bit, as longs) of a non-null text column.
 
     A text shorter than ``K`` code points is one k-mer; an empty one has none, and all its tuples are the hash of nothing.
-    (A k-mer is also taken at the second half of a code point beyond the 16-bit range: one more per such character, equal for
-    equal texts.)
     """
     kmers, repeats, pool, drawn = f"_{name}_kmers", f"_{name}_repeats", f"_{name}_pool", f"_{name}_drawn"
     whole = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(F.col(text)))
-    runs = F.when(F.length(text) < K, whole).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{K}}}))"), F.lit(1)))
+    runs = F.when(F.length(text) < K, whole).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{K}}}))."), F.lit(1)))
     df = with_once(df, **{kmers: F.sort_array(F.transform(runs, lambda x, i: _packed(F.xxhash64(x), i)))})
     s = F.col(kmers)
     # Sorted by (hash, position), equal k-mers stand together in text order; a repeat has its like before it.
@@ -112,48 +115,185 @@ def _buckets_before(rows: DataFrame) -> DataFrame:
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, text and what orders the rows: ``bucket`` of ids and ``tie``, a hash of the text."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    spread = _long(1 << 55) + F.pmod("tie", F.lit(4096))
+    # Never null, so that no filter for it keeps two readers from sharing a shuffle.
+    spread = _long(1 << 55) + F.col("tie").bitwiseAND(_long(4095))
     return rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET).cast("long"), spread))
 
 
-def with_next(rows: DataFrame, column: str, name: str) -> DataFrame:
+def with_next(rows: DataFrame, column: str, name: str, spread: DataFrame | None = None, by: tuple[str, ...] = ("doc_id", "tie")) -> DataFrame:
     """Add the column's value of the row with the next doc_id; after the last row comes the first.
 
     Rows without an id come last; equal ids and missing ids are ordered by ``tie``.  One shuffle by id bucket; a bucket's last row
-    gets its next from the following bucket's first row.
+    gets its next from the following bucket's first row.  ``spread``, if given, are the rows in partitions by bucket.
     """
-    order = Window.partitionBy("bucket").orderBy("doc_id", "tie")
-    first = rows.select("bucket", "doc_id", "tie", column).withColumn("n", F.row_number().over(order)).where("n = 1")
+    order = Window.partitionBy("bucket").orderBy(*by)
+    first = rows.select("bucket", *by, column).withColumn("n", F.row_number().over(order)).where("n = 1")
     first = first.join(_buckets_before(rows), "bucket").select(F.col("before").alias("bucket"), F.col(column).alias("_first"))
-    inner = rows.select("*", F.lead(column).over(order).alias("_lead"))
+    inner = (rows if spread is None else spread).select("*", F.lead(column).over(order).alias("_lead"))
     return inner.join(first, "bucket", "left").withColumn(name, F.coalesce("_lead", "_first")).drop("_lead", "_first")
 
 
+def _kmers(text: Column, begin: Column, whole: Column) -> Column:
+    """Packed k-mers in text order, the first at position ``begin``; a text shorter than ``K`` is one k-mer if ``whole``."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{K},{PIECE + K - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+
+    def cut(piece: Column, number: Column) -> Column:
+        first = begin + number * _long(PIECE)
+        return F.transform(
+            F.sequence(first, first + F.length(piece) - K),
+            lambda position, i: F.xxhash64(F.substring(piece, i + 1, F.lit(K))).bitwiseAND(_long(~_POSITION)).bitwiseOR(position))
+
+    return F.when(F.length(text) >= K, F.flatten(F.transform(pieces, cut))).when(
+        # A slice, as the type of a cast would allow nulls, with which Spark sorts objects instead of longs.
+        whole & (F.length(text) > 0), F.array(_packed(F.xxhash64(text), begin))).otherwise(F.slice(F.array(_long(0)), 1, 0))
+
+
+def _sorted_kmers(rows: DataFrame) -> DataFrame:
+    """Sorted packed k-mers of both texts; those before position ``shared`` stand in both."""
+    n = F.length("text")
+    end = F.when(n >= POOL, F.raise_error(F.lit(f"a text of {POOL} code points or more"))).otherwise(n - F.floor(n / 4).cast("int"))
+    rows = rows.select("bucket", "number", "text", "edited", F.coalesce(F.greatest(end - (K - 1), F.lit(0)).cast("long"), _long(0)).alias("shared"))
+    rest = F.substring(F.col("edited"), F.col("shared").cast("int") + 1, F.length("edited"))
+    rows = rows.select(
+        "bucket", "number", "shared", _kmers(F.col("text"), _long(0), F.lit(True)).alias("own"), _kmers(rest, F.col("shared"), F.col("shared") == 0).alias("rest"))
+    return rows.select(
+        "bucket", "number", "shared", F.sort_array("own").alias("own"),
+        F.sort_array(F.concat(F.slice("own", F.lit(1), F.col("shared").cast("int")), F.col("rest"))).alias("other"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A row per k-mer: ``part`` (0 of both texts, 1 of the text, 2 of the edited one), ``position`` and ``mark``, which tells equal k-mers apart."""
+    # Hashes are even over all longs: the bound lets CANDIDATES of the shorter text's k-mers through.
+    share = F.lit(float(CANDIDATES)) / F.greatest(F.least(F.size("own"), F.size("other")), F.lit(1))
+    bound = F.coalesce(F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")), _long((1 << 63) - 1)).bitwiseOR(_long(_POSITION))
+    rows = rows.select("bucket", "number", "shared", bound.alias("bound"), F.inline(F.array(
+        F.struct(F.lit(0).alias("edit"), F.col("own").alias("sorted")), F.struct(F.lit(1).alias("edit"), F.col("other").alias("sorted")))))
+    rows = rows.select("*", F.posexplode("sorted").alias("i", "kmer"))
+    rows = rows.withColumn("position", F.col("kmer").bitwiseAND(_long(_POSITION))).where((F.col("edit") == 0) | (F.col("position") >= F.col("shared")))
+    # Equal k-mers stand together in text order; the last smaller k-mer before them is found bit by bit of its place.
+    smaller = lambda i: F.get("sorted", i) < F.col("least")
+    rows = rows.withColumn("least", F.col("kmer").bitwiseAND(_long(~_POSITION)))
+    rows = rows.withColumn("again", F.coalesce(~smaller(F.col("i") - 1), F.lit(False))).withColumn("last", F.lit(0))
+    for bit in reversed(range(POSITION_BITS)):
+        further = F.col("last").bitwiseOR(F.lit(1 << bit))
+        rows = rows.withColumn("last", F.when(F.col("again") & smaller(further), further).otherwise(F.col("last")))
+    # Place 0 was not looked at.
+    before = F.col("i") - F.col("last") - F.when(smaller(F.col("last")), 1).otherwise(0)
+    part = F.when(F.col("position") < F.col("shared"), 0).otherwise(F.col("edit") + 1)
+    mark = _mark(F.col("kmer"))
+    return rows.select("bucket", "number", "bound", part.alias("part"), "position", F.when(F.col("again"), _mark(F.xxhash64(mark, before))).otherwise(mark).alias("mark"))
+
+
+def _least(kmers: DataFrame) -> DataFrame:
+    """(bucket, draw, packed): the two smallest below the bound; ``draw`` holds document number, hash function and part."""
+    below = [F.when(F.xxhash64("mark", F.lit(j)) <= F.col("bound"), _long(1 << j)).otherwise(_long(0)) for j in range(HASHES)]
+    mask = below[0]
+    for x in below[1:]:
+        mask = mask.bitwiseOR(x)
+    # Once, or the filter would be moved below and take copies of every step of the numbering with it.
+    found = with_once(kmers, mask=mask).where("mask != 0").select("*", F.explode(F.array(*map(F.lit, range(HASHES)))).alias("j"))
+    found = found.where("shiftright(mask, j) & 1 = 1").select(
+        "bucket", ((F.col("number").cast("long") * HASHES + F.col("j")) * 4 + F.col("part")).alias("draw"),
+        F.xxhash64("mark", "j").bitwiseAND(_long(~_POSITION)).bitwiseOR(F.col("position")).alias("packed"))
+    order = Window.partitionBy("draw", "bucket").orderBy("packed")
+    return found.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """bucket, number, signature, edited_signature and how many minima each has, of every row with a k-mer.
+
+    Everything stays in the task of the bucket.
+    """
+    none = _long((1 << 63) - 1)
+    least = _least(_numbered(_sorted_kmers(rows))).withColumn("part", F.col("draw").bitwiseAND(_long(3))).withColumn("draw", F.shiftright("draw", 2))
+    names = [(part, nth, f"least_{part}_{nth}") for part in range(3) for nth in (1, 2)]
+    least = least.groupBy("draw", "bucket").agg(*[
+        F.coalesce(F.min(F.when((F.col("part") == part) & (F.col("nth") == nth), F.col("packed"))), none).alias(name) for part, nth, name in names])
+
+    def two_of(part: int) -> list[Column]:
+        a, b = F.col("least_0_1"), F.col(f"least_{part}_1")
+        return [F.least(a, b), F.least(F.greatest(a, b), "least_0_2", f"least_{part}_2")]
+
+    least = least.select("bucket", "draw", *[x.alias(f"{name}_{nth}") for part, name in ((1, "own"), (2, "other")) for nth, x in enumerate(two_of(part))])
+
+    def tuple_hash(name: str) -> Column:
+        a, b = F.col(f"{name}_0"), F.col(f"{name}_1")
+        later = b.bitwiseAND(_long(_POSITION)) > a.bitwiseAND(_long(_POSITION))
+        both = F.when(later, F.xxhash64(_mark(a), _mark(b))).otherwise(F.xxhash64(_mark(b), _mark(a)))
+        h = F.when(a == none, F.xxhash64(F.array().cast("array<long>"))).when(b == none, F.xxhash64(_mark(a))).otherwise(both)
+        return h.bitwiseAND(_long(0xFFFFFFFF))
+
+    minima = lambda name: sum((F.col(f"{name}_{k}") != none).cast("int") for k in range(2))
+    drawn = least.select(
+        "bucket", F.shiftright("draw", HASHES.bit_length() - 1).alias("number"),
+        F.struct(F.col("draw").bitwiseAND(_long(HASHES - 1)).alias("j"), tuple_hash("own").alias("own"), tuple_hash("other").alias("other")).alias("tuple"),
+        minima("own").alias("own_minima"), minima("other").alias("other_minima"))
+    drawn = drawn.groupBy("bucket", "number").agg(
+        F.sort_array(F.collect_list("tuple")).alias("tuples"), F.sum("own_minima").alias("own_minima"), F.sum("other_minima").alias("other_minima"))
+    return drawn.select(
+        "bucket", "number", F.transform("tuples", lambda t: t["own"]).alias("signature"), F.transform("tuples", lambda t: t["other"]).alias("edited_signature"),
+        "own_minima", "other_minima")
+
+
+def _plain(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("bucket", "number", "doc_id", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *more)
+
+
+def _kmers_in(n: Column) -> Column:
+    return F.greatest(n - (K - 1), F.least(n, F.lit(1)))
+
+
+def _again(docs: DataFrame, lacking: DataFrame) -> DataFrame:
+    """Signed rows of few documents, drawn from all their k-mers within their rows."""
+    rows = placed(docs)
+    buckets = lacking.select("bucket").distinct()
+    # A bucket's last text is edited with the first one of the bucket behind it.
+    following = _buckets_before(rows).join(buckets.withColumnRenamed("bucket", "before"), "before", "left_semi").select("bucket")
+    few = edited_rows(rows.join(buckets.unionByName(following).distinct(), "bucket", "left_semi")).join(lacking, ["bucket", "number"], "left_semi")
+    return _plain(with_signature(with_signature(few, "text", "signature"), "edited", "edited_signature"), "signature", "edited_signature")
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     In the edited text the last quarter of the code points gives way to as many of the next document's first ones.  A null text
     counts as empty; equal texts have equal fingerprints; repeated rows get a row each; an empty table gives none; other columns
-    are not read.
+    are not read.  A text of ``POOL`` code points (67 million) or more is an error.
     """
-    rows = edited_rows(docs)
-    rows = with_signature(with_signature(rows, "text", "signature"), "edited", "edited_signature")
-    return _compared(rows.select(
-        "bucket", "doc_id", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "signature", "edited_signature"))
-
-
-def edited_rows(docs: DataFrame) -> DataFrame:
-    """``placed`` rows with the edited text."""
+    texts = placed(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # So many that a task sorts the candidates of some megabytes of text.
+    rows = edited_rows(texts, partitions_for(docs.sparkSession, size))
+    lengths = rows.withColumn("own_kmers", _kmers_in(F.length("text"))).withColumn("other_kmers", _kmers_in(F.length("edited")))
+    signed = _plain(lengths, "own_kmers", "other_kmers").join(_drawn(rows), ["bucket", "number"], "left")
+    complete = F.lit(True)
+    for name in ("own", "other"):
+        complete &= F.coalesce(F.col(f"{name}_minima"), F.lit(0)) == F.least(F.col(f"{name}_kmers"), F.lit(2)) * HASHES
+    empty = F.array_repeat(F.xxhash64(F.array().cast("array<long>")).bitwiseAND(_long(0xFFFFFFFF)), HASHES)
+    names = ["bucket", "number", "doc_id", "tie", "n_chars", "edited_sha256"]
+    signed = materialize(signed.select(
+        *names, *[F.coalesce(name, empty).alias(name) for name in ("signature", "edited_signature")], complete.alias("complete")), "order-minhash-drawn")
+    lacking = signed.where("not complete").select("bucket", "number")
+    if not lacking.isEmpty():
+        again = materialize(_again(docs, lacking), "order-minhash-again")
+        signed = signed.where("complete").drop("complete").unionByName(again)
+    return _compared(signed)
+
+
+def edited_rows(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows of ``placed`` with the edited text and ``number``, their place in the bucket, in so many partitions."""
+    spread = rows if partitions is None else rows.repartition(partitions, "bucket")
+    spread = spread.withColumn("number", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "tie")))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    return with_once(with_next(placed(docs), "text", "next_text"), edited=edited).drop("next_text")
+    return with_once(with_next(rows, "text", "next_text", spread), edited=edited).drop("next_text")
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Digits and likenesses of signed rows."""
-    # Small rows without texts: every signature is computed once, whoever reads it.
-    rows = with_next(materialize(rows, "order-minhash"), "signature", "next_signature")
+    """Digits and likenesses of signed rows, small ones without texts that were stored, so that every signature is computed once."""
+    # By number, as repeated rows must keep the neighbour whose text they were edited with.
+    rows = with_next(rows, "signature", "next_signature", by=("number",))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
@@ -324,12 +464,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        plain = [batch.column(c) for c in ("bucket", "doc_id", "tie", "n_chars", "edited_sha256")]
-        texts = zip(batch.column("text"), batch.column("edited"), plain[3].to_pylist(), strict=True)
+        plain = [batch.column(c) for c in ("bucket", "number", "doc_id", "tie", "n_chars", "edited_sha256")]
+        texts = zip(batch.column("text"), batch.column("edited"), plain[4].to_pylist(), strict=True)
         own, other = signatures(((bytes_of(t), bytes_of(e), max(0, n - n // 4 - K + 1)) for t, e, n in texts), batch.num_rows)
         ends = np.arange(0, len(own) + 1, HASHES, dtype=np.int32)
         lists = [pa.ListArray.from_arrays(ends, x) for x in (own, other)]
-        yield pa.RecordBatch.from_arrays([*plain, *lists], ["bucket", "doc_id", "tie", "n_chars", "edited_sha256", "signature", "edited_signature"])
+        yield pa.RecordBatch.from_arrays([*plain, *lists], ["bucket", "number", "doc_id", "tie", "n_chars", "edited_sha256", "signature", "edited_signature"])
 
 
 def fingerprint_in_batches(docs: DataFrame) -> DataFrame:
@@ -338,7 +478,7 @@ def fingerprint_in_batches(docs: DataFrame) -> DataFrame:
     Only texts with code points beyond the 16-bit range differ: here each is one character of a k-mer and no k-mer begins inside
     it.  Positions have 64 bits, so texts may have any length; a task holds some numbers per code point of one text at a time.
     """
-    rows = edited_rows(docs).select(
-        "bucket", "doc_id", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    return _compared(rows.mapInArrow(
-        _signed, "bucket long, doc_id long, tie long, n_chars long, edited_sha256 string, signature array<long>, edited_signature array<long>"))
+    rows = edited_rows(placed(docs)).select(
+        "bucket", "number", "doc_id", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    return _compared(materialize(rows.mapInArrow(
+        _signed, "bucket long, number int, doc_id long, tie long, n_chars long, edited_sha256 string, signature array<long>, edited_signature array<long>"), "order-minhash"))
